@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from citeloom.llm.common import ascii_words, materialize, mix, shingles, sized_broadcast
+from citeloom.llm.common import ascii_words, buckets, materialize, mix, shingles, sized_broadcast
 from citeloom.llm.components import connected_components
 
 BITS = 1024
+#: Members of a bucket that meet in one task.
+BLOCK = 512
 
 
 class Bands:
@@ -143,6 +145,61 @@ def _near(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").where(sizes & (distance * (bands.den + bands.num) <= allowed)).select("u", "v", "doc_u", "doc_v")
 
 
+def _across(nodes: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
+    """(u, v): members u > v of one bucket but of different components whose sizes and parity bits allow a link.
+
+    nodes: key, u, root_u. Only such pairs leave a task. Buckets of more than BLOCK members are cut into blocks, and every
+    two blocks meet in a task of their own.
+    """
+    large = nodes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    rows = nodes.join(sized_broadcast(materialize(large, "large-buckets")), "key", "left").join(classes.select(F.col("sid").alias("u"), "n", "bits"), "u")
+    own = F.pmod(F.xxhash64("u"), F.coalesce("blocks", F.lit(1))).cast("int")
+    ways = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda b: F.struct(F.least(b, own).alias("low"), F.greatest(b, own).alias("high")))
+    rows = rows.select("key", F.explode(ways).alias("way"), own.alias("own"), "u", "root_u", "n", "bits").select("key", "way.low", "way.high", "own", "u", "root_u", "n", "bits")
+
+    def meet(low, high, own, u, root, n, bits):
+        a = np.flatnonzero(own == low)
+        b = np.flatnonzero(own == high) if low != high else a
+        for at in range(0, len(a), 256):
+            part = a[at : at + 256]
+            total, least, most = n[part][:, None] + n[b], np.minimum(n[part][:, None], n[b]), np.maximum(n[part][:, None], n[b])
+            fits = (root[part][:, None] != root[b]) & (least * bands.den >= most * bands.num)
+            if low == high:
+                fits &= u[part][:, None] > u[b]
+            i, j = np.nonzero(fits)
+            for k in range(0, len(i), 1 << 16):
+                p, q = part[i[k : k + (1 << 16)]], b[j[k : k + (1 << 16)]]
+                distance = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)
+                near = distance * (bands.den + bands.num) <= (n[p] + n[q]) * (bands.den - bands.num)
+                if near.any():
+                    p, q = u[p[near]], u[q[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["u", "v"])
+
+    def run(batches):
+        rest = None
+        for batch in _with_end(batches):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            key, low, high, own, u, root, n = (table.column(i).to_numpy() for i in range(7))
+            bits = table.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+            new = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            ends = [0, *new.tolist(), table.num_rows]
+            for i, j in zip(ends[:-1] if batch is None else ends[:-2], ends[1:], strict=False):
+                if j - i > 1:
+                    cut = slice(i, j)
+                    yield from meet(low[i], high[i], own[cut], u[cut], root[cut], n[cut], bits[cut])
+            rest = None if batch is None else table.slice(ends[-2])
+
+    dealt = rows.repartition(buckets(nodes.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
 def _verified(near: DataFrame, documents: DataFrame, width: int, bands: Bands) -> DataFrame:
     """The pairs (u, v) of near that are links, by their whole texts. near is a written table."""
     wanted = materialize(near.select(F.col("doc_u").alias("doc_id")).unionByName(near.select(F.col("doc_v").alias("doc_id"))).distinct(), "wanted")
@@ -206,8 +263,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 80, den: in
         rows = members.join(sized_broadcast(materialize(keys, "open-keys")), "key", "left_semi")
         nodes = rows.select("key", F.col("sid").alias("u")).unionByName(rows.select("key", F.col("center").alias("u"))).distinct()
         nodes = materialize(at(nodes, "u"), "open-nodes")
-        other = nodes.select("key", F.col("u").alias("v"), F.col("root_u").alias("root_v"))
-        more = nodes.join(other, "key").where("u > v and root_u <> root_v").select("u", "v").distinct().join(apart, ["u", "v"], "left_anti")
+        more = materialize(_across(nodes, classes, bands).distinct(), "across").join(apart, ["u", "v"], "left_anti")
         near = materialize(_near(more, classes, bands), "near")
         if not near.isEmpty():
             links = _verified(near, documents, width, bands)
