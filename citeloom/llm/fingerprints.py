@@ -71,9 +71,9 @@ def merged_fingerprints(parts: DataFrame, key: str, fingerprint: str = "fingerpr
     """
     from pyspark.sql import Window
 
-    place = F.sequence(F.lit(0), F.length("_f") / 16 - 1)
+    place = F.sequence(F.lit(0), (F.length("_f") / 16).cast("int") - 1)
     rows = parts.select(F.col(key).alias("_key"), F.coalesce(F.col(fingerprint), F.lit("")).alias("_f"))
-    hashes = rows.select("_key", F.explode_outer(F.when(F.length("_f") > 0, F.transform(place.cast("array<int>"), lambda i: F.substr("_f", i * 16 + 1, F.lit(16))))).alias("_h")).distinct()
+    hashes = rows.select("_key", F.explode_outer(F.when(F.length("_f") > 0, F.transform(place, lambda i: F.substr("_f", i * 16 + 1, F.lit(16))))).alias("_h")).distinct()
     first = Window.partitionBy("_key", F.crc32(F.col("_h").cast("binary")) % 64).orderBy("_h")
     hashes = hashes.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)
     hashes = hashes.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.col("_h").asc_nulls_last()))).where(F.col("_n") <= k)
