@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import running_total
+from citeloom.llm.common import materialize, running_total
 
 #: Distinct words a worker keeps encoded; beyond it, the table starts anew, so memory is bounded.
 CACHED_WORDS = 250_000
@@ -107,6 +107,7 @@ def length_histogram(documents: DataFrame, path: str) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"length": list(count), "n_docs": list(count.values())}, pa.schema([("length", pa.int64()), ("n_docs", pa.int64())]))
 
     rows = documents.select("text").mapInArrow(run, kind).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    rows = materialize(rows, "lengths")
     rows = rows.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("_down", -F.col("length")).withColumn("_block", F.floor(F.col("_down") / 1024))
     rows = running_total(rows, "n_docs", "docs_at_least", "_block", ["_down"])
     rows = running_total(rows, "tokens", "tokens_at_least", "_block", ["_down"])
