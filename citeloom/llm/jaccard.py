@@ -126,14 +126,15 @@ def memberships(documents: DataFrame, width: int, bands: Bands) -> DataFrame:
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
             center = sid[first][np.cumsum(first) - 1]
+            deal = np.where(first, key, mix(mix(key.view(np.uint64)) ^ sid.view(np.uint64)).view(np.int64))
             for at in range(0, len(key), 200_000):
                 cut = slice(at, at + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(sid[cut]), pa.array(center[cut], mask=first[cut])], ["key", "sid", "center"])
+                yield pa.RecordBatch.from_arrays([pa.array(deal[cut]), pa.array(sid[cut]), pa.array(key[cut], mask=first[cut]), pa.array(center[cut], mask=first[cut])], ["deal", "sid", "key", "center"])
 
-    rows = documents.select("text").mapInArrow(run, "key long, sid long, center long")
-    deal = F.when(F.col("center").isNull(), F.col("key")).otherwise(F.xxhash64("key", "sid"))
-    smallest = F.first("sid").over(Window.partitionBy("deal", F.col("center").isNull()).orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("deal", deal).select("key", "sid", F.coalesce("center", smallest).alias("center")).where("sid <> center")
+    # Rows are dealt by their key, which then isn't sent twice, or by a hash of key and sid if they have a center already.
+    rows = documents.select("text").mapInArrow(run, "deal long, sid long, key long, center long")
+    smallest = F.first("sid").over(Window.partitionBy("deal").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(F.coalesce("key", "deal").alias("key"), "sid", F.coalesce("center", smallest).alias("center")).where("sid <> center")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
