@@ -419,7 +419,7 @@ def augment_offsets(s, d):
     return rows.select("conv_id", "turn", before.cast("long").alias("start"), (before + F.col("n")).cast("long").alias("stop"))
 
 
-@query()
+@query("WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS n FROM documents), c AS (SELECT conv_id AS doc_id, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::INT AS m, count(*)::INT AS k FROM conversations GROUP BY conv_id) SELECT doc_id, n + coalesce(m, 0) AS n_words, n AS start, n + coalesce(m, 0) AS stop, 1 + coalesce(k, 0) AS n_sections FROM w LEFT JOIN c USING (doc_id)")
 def augmented_documents(s, d):
     turns = table(s, d, "conversations").select("conv_id", "turn", X.split_words(F.col("text")).alias("w"))
     by = F.transform(F.array_sort(F.collect_list(F.struct("turn", "w"))), lambda x: F.array(x["w"]))
