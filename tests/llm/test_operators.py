@@ -1,11 +1,13 @@
 """Each operator on small tables with nulls, empty and long texts, repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from citeloom.llm import fingerprints, itq, jaccard, licenses, mixing, packing, quality, queries, tokens, urls, warc
@@ -302,3 +304,89 @@ def test_pipeline(spark):
         before = after.cache()
     packed = corpus_pipeline.STAGES[3][1](spark, before, DATA)
     assert packed.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+
+
+def serial_pipeline(rows, model):
+    """The four stages in plain loops over (doc_id, text, source) rows; the pieces they end in, sorted."""
+    plain = [zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+
+    def good(text):
+        data = (text or "").encode()
+        x, y = (sum(len(c.compress(data[i : i + 512])) for i in range(0, len(data), 512)) for c in plain)
+        return model.score(np.array([((y - x) / (x + y), np.log((x + y) / (2 * len(data))))] if data else [(0.0, 0.0)]))[0] >= 0.3
+
+    rows = [r for r in rows if good(r[1])]
+    sets = []
+    for _, text, _ in rows:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    group = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and group[a] != group[b]:
+            old, new = group[b], group[a]
+            group = [new if g == old else g for g in group]
+    lowest = {g: min((rows[k][0] for k in range(len(rows)) if group[k] == g and rows[k][0] is not None), default=None) for g in set(group)}
+    kept = [r for k, r in enumerate(rows) if r[0] is None or r[0] == lowest[group[k]]]
+    rows = sorted(set(r for r in kept if r[0] is not None), key=str) + [r for r in kept if r[0] is None]
+
+    size = [len((t or "").encode().split()) for _, t, _ in rows]
+    of = {s: sum(n for n, r in zip(size, rows) if r[2] == s) for s in {r[2] for r in rows}}
+    order = sorted(s for s in of if s is not None) + [None] * (None in of)
+    weight, target, free, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}, set(order), 1.5 * sum(size)
+    while over := {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * of[s]}:
+        target |= {s: 2.0 * of[s] for s in over}
+        left, free = left - sum(2 * of[s] for s in over), free - over
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    digest = [int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:15], 16) for i, _, _ in rows]
+    total, queue = dict.fromkeys(of, 0), []
+    for k in sorted(range(len(rows)), key=lambda k: (digest[k], -1 if rows[k][0] is None else rows[k][0], size[k])):
+        s = rows[k][2]
+        total[s] += size[k]
+        queue += [((total[s] + copy * of[s]) / target[s], s or "", digest[k], size[k], copy, k) for copy in (0, 1) if target[s]]
+    copies, running = [0] * len(rows), 0
+    for *_, k in sorted(queue):
+        running += size[k]
+        copies[k] += running <= 1.5 * sum(size)
+
+    enc, out = tokens.Encoder(queries.byte_bpe()), []
+    for k, (i, text, _) in enumerate(rows):
+        ids = enc.ids(text) + bytes(4)
+        cuts = [0, *range(len(ids) // 4 % 2048 or 2048, len(ids) // 4 + 1, 2048)]
+        pieces = [(str(i), p, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for p, (a, b) in enumerate(itertools.pairwise(cuts))]
+        out += pieces * (copies[k] if size[k] else 0)
+    return sorted(out)
+
+
+def test_pipeline_equals_serial_loops(spark, tmp_path):
+    """Null ids, texts and sources, wordless and very long texts, repeated rows and columns named like inner ones."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    good = base.orderBy("doc_id").first()["text"]
+    odd = [(9001, None), (9002, ""), (9003, " \n"), (9004, good * 40), (9005, good), (9006, good + " end"), (None, "one row without an id"), (9007, good.upper())]
+    extra = spark.createDataFrame([(i, t, None, None if k % 2 else "web", None) for k, (i, t) in enumerate(odd)], base.schema)
+    docs = base.unionByName(extra).unionByName(base.where("doc_id % 9 = 0"))
+    clash = ["quality", "score", "sid", "root", "dropped", "copies", "size", "target", "length", "piece", "salt", "_row", "_h"]
+    docs = docs.select("*", *[F.lit("x").alias(c) for c in clash])
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    labels.unionByName(labels.limit(3).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast(labels.schema["quality"].dataType).alias("quality"), "toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    model = quality.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels)
+    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == serial_pipeline(rows, model)
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in places.values():
+        ends = list(itertools.accumulate((n for _, n in sorted(parts)), initial=0))
+        assert [at for at, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
