@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import citances, graph, linkage, text, vectors
+from citeloom.operators import citances, graph, linkage, matching, text, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -338,9 +338,9 @@ _OFF = "o AS (SELECT d.doc_id, b.item_id, strpos(d.text, b.text) - 1 AS pl, leng
 
 
 def _offsets(s, d):
-    bench = F.broadcast(table(s, d, "benchmark").select("item_id", F.col("text").alias("passage")))
-    docs = table(s, d, "documents").select("doc_id", "text")
-    return docs.join(bench, F.col("text").contains(F.col("passage"))).select("doc_id", "item_id", "text", (F.instr("text", F.col("passage")) - 1).alias("at"), F.length("passage").alias("len"))
+    bench = table(s, d, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    found = matching.first_places(table(s, d, "documents").select("doc_id", "text"), "text", bench.select("phrase"))
+    return found.join(bench, "phrase").select("doc_id", "item_id", "text", "at", F.length("phrase").alias("len"))
 
 
 @query(f"WITH {_OFF} SELECT doc_id, item_id, substr(text, 1, pl) || '[CITE]' || substr(text, pl + len + 1) AS spliced FROM o")

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import citances, graph, linkage, text, vectors
+from citeloom.operators import citances, graph, linkage, matching, text, vectors
 from citeloom.sources import readers, sinks
 
 
@@ -79,8 +80,6 @@ def test_selection_keeps_small_groups(spark):
 
 
 def test_sentences_titles_abbreviations(spark):
-    from pyspark.sql import functions as F
-
     row = spark.createDataFrame([("He met Dr. No. Then\nhe left!  Really? \n\nNew part",)], "t string")
     assert row.select(X.sentences(F.col("t"))).first()[0] == ["He met Dr. No.", "Then he left!", "Really?", "New part"]
     names = spark.createDataFrame([("Machine_Translation",), ("3D__Object_Pose",)], "n string")
@@ -133,3 +132,17 @@ def test_negative_edges_are_no_edges(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
     got = graph.negative_edges(edges, edges, 40).collect()
     assert len(got) == 15 and all(r["src"] != r["dst"] and tuple(sorted((r["src"], r["dst"]))) not in {(1, 2), (2, 3), (3, 4)} for r in got)
+
+
+def test_first_places(spark):
+    rng = random.Random(7)
+    draw = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    texts, phrases = [*[draw(rng.randrange(60)) for _ in range(60)], "", None, "ab" * 50_000, "ab"], ["", None, "ab", "b", "abab", "é a", "a", "a", *[draw(3) for _ in range(9)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("n", F.lit(None).cast("string"))
+    known = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    want = sorted((i, p, t.index(p)) for i, t in enumerate(texts) for p in set(phrases) if t and p and p in t)
+    for limit in (20_000, 4):
+        got = matching.first_places(rows, "t", known, max_phrases=limit)
+        assert got.columns == ["id", "t", "n", "phrase", "at"]
+        assert sorted((r["id"], r["phrase"], r["at"]) for r in got.collect()) == want
+    assert matching.first_places(rows, "t", known.limit(0)).count() == 0 == matching.first_places(rows.limit(0), "t", known).count()
