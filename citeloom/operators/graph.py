@@ -14,6 +14,12 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def adjacency(edges: DataFrame, ordinal: str) -> DataFrame:
+    """(src, list): each node's neighbours in order of ordinal. A list is one value: keep the edge table for hot nodes."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("at"), F.col("dst").alias("dst"))))
+    return edges.groupBy("src").agg(F.transform(items, lambda x: x["dst"]).alias("list"))
+
+
 def expand(out_edges: DataFrame, in_edges: DataFrame, seeds: DataFrame, radius: int = 2) -> tuple[DataFrame, DataFrame]:
     """(nodes with hop, edges of expanded nodes): bounded breadth-first search over both directions.
 

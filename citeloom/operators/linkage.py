@@ -77,6 +77,26 @@ def priority_match(catalogue: DataFrame, targets: DataFrame, keys: Sequence[str]
     return out
 
 
+def chained_lookup(rows: DataFrame, key: str, tables: Sequence[DataFrame], out: str, missing=-1) -> DataFrame:
+    """rows with out, the value that key leads to through tables (key, value) in turn, and missed, the hop that failed.
+
+    Where a hop misses (or leads to null), out is missing and missed its number from 1. Keys must be unique in a table.
+    """
+    now = rows.withColumn("_k", F.col(key)).withColumn("missed", F.lit(None).cast("int"))
+    for hop, table in enumerate(tables, 1):
+        step = table.select(F.col("key").alias("_k"), F.col("value").alias("_v"))
+        now = now.join(step, "_k", "left").withColumn("missed", F.coalesce("missed", F.when(F.col("_v").isNull(), F.lit(hop))))
+        now = now.drop("_k").withColumnRenamed("_v", "_k")
+    return now.withColumn(out, F.coalesce("_k", F.lit(missing))).select(*rows.columns, out, "missed")
+
+
+def strict_lookup(rows: DataFrame, key: str, table: DataFrame, out: str) -> DataFrame:
+    """rows with out, the value of key in table (key, value; keys unique); a key that table lacks is an error."""
+    found = rows.join(table.select(F.col("key").alias(key), F.col("value").alias("_v"), F.lit(True).alias("_known")), key, "left")
+    lost = F.raise_error(F.concat(F.lit("no entry for: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(table.schema["value"].dataType)
+    return found.withColumn(out, F.when(F.col("_known"), F.col("_v")).otherwise(lost)).select(*rows.columns, out)
+
+
 def first_missing(columns: Sequence[str]) -> Column:
     """The name of the first column that is null, else null."""
     return F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +67,32 @@ def label_leaders(points: DataFrame, radius: float = 4.0, size: float = 0.5, ste
     return points.select("ord", "label", "x", "y").groupBy("label").applyInPandas(lead, f"label {kind}, x double, y double, size double")
 
 
-def sampled_with_replacement(rows: DataFrame, key: str, rate: float, seed: str = "background") -> DataFrame:
-    """floor(rate * n) draws (draw, key) with replacement, drawn by hash over dense row numbers."""
+def sampled_with_replacement(rows: DataFrame, key: str, rate: float, seed: str = "background", share_of: DataFrame | None = None) -> DataFrame:
+    """(draw, key) for floor(rate * n) draws from rows with replacement, drawn by hash over dense row numbers.
+
+    n counts share_of, or rows where that isn't given. Without rows there are no draws.
+    """
     from citeloom.operators.graph import by_hash, ranked
 
+    pool = rows.count()
+    draws = rows.sparkSession.range(1, floor(rate * (pool if share_of is None else share_of.count())) + 1).withColumnRenamed("id", "draw")
+    number = F.conv(F.substring(F.md5(F.concat_ws("\t", F.lit(seed), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long")
     numbered = ranked(rows.select(key), by_hash(seed, key), "nth")
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    draws = numbered.join(F.broadcast(n), F.lit(True)).select("n", F.col("nth").alias("draw")).where(F.col("draw") <= F.floor(F.lit(float(rate)) * F.col("n")))
-    place = F.conv(F.substring(F.md5(F.concat_ws("\t", F.lit(seed), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long") % F.col("n") + 1
-    return draws.select("draw", place.alias("nth")).join(numbered, "nth").select("draw", key)
+    return draws.select("draw", (number % max(1, pool) + 1).alias("nth")).join(numbered, "nth").select("draw", key)
+
+
+def plot_points(targets: DataFrame, topics: DataFrame, vectors: DataFrame, key: str, rate: float, threshold: float = 100.0) -> DataFrame:
+    """The points of a plot: (key, task, topic, embedding, distance).
+
+    targets: key, task; each gets its task's topic, which must exist in topics (key, value). The background is a sample
+    with replacement of floor(rate * all vectors) other vectors, with null task and topic. Targets without a vector are
+    left out; so are points at a distance of threshold or more from the mean of all points.
+    """
+    from citeloom.operators.linkage import strict_lookup
+
+    named = strict_lookup(targets.select(key, "task"), "task", topics, "topic").select(key, "task", "topic")
+    others = vectors.join(targets.select(key), key, "left_anti")
+    drawn = sampled_with_replacement(others.select(key), key, rate, share_of=vectors).select(key)
+    nothing = [F.lit(None).cast(named.schema[c].dataType).alias(c) for c in ("task", "topic")]
+    points = named.unionByName(drawn.select(key, *nothing)).join(vectors.select(key, "embedding"), key)
+    return without_outliers(points, threshold).select(key, "task", "topic", "embedding", "distance")

@@ -82,7 +82,14 @@ def or_match(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct().withColumnRenamed("found", "paper_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {P}, {T}, pk AS (SELECT ord, [hash, lang || '|' || n_chars, title] AS ks FROM p), tk AS (SELECT ord, [hash, lang || '|' || n_chars, title] AS ks FROM t),
+lk AS (SELECT i, ks[i] AS k, max(ord) AS target FROM tk, range(1, 4) AS r(i) WHERE ks[i] <> '' GROUP BY ALL),
+cd AS (SELECT ord AS row, list(target ORDER BY i) AS ts, list(i - 1 ORDER BY i)::INT[] AS ps FROM pk, range(1, 4) AS r(i) JOIN lk USING (i) WHERE lk.k = ks[i] GROUP BY ord),
+nr AS (SELECT *, row_number() OVER (ORDER BY row) AS nth FROM cd),
+st AS (SELECT 0::BIGINT AS nth, NULL::BIGINT AS row, NULL::BIGINT AS target, NULL::INT AS priority, []::BIGINT[] AS taken
+UNION ALL SELECT x.nth, x.row, hit, ps[list_position(ts, hit)], CASE WHEN hit IS NULL THEN taken ELSE list_append(taken, hit) END FROM
+(SELECT n.*, st.taken, list_filter(n.ts, lambda v: NOT list_contains(st.taken, v))[1] AS hit FROM st JOIN nr n ON n.nth = st.nth + 1) x)
+SELECT row, target, priority FROM st WHERE target IS NOT NULL""")
 def priority_match(s, d):
     rows = lambda p: p.select("ord", "hash", F.concat_ws("|", "lang", "n_chars").alias("shape"), "title")
     return linkage.priority_match(rows(papers(s, d)), rows(targets(s, d)), ["hash", "shape", "title"], "ord", "ord")
@@ -291,7 +298,12 @@ def _datasets(s, d):
     return parts.select(F.col("p_partkey").alias("ord"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"), F.array(F.concat_ws(" ", "p_brand", "p_type"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 97).cast("string"))).alias("variants"), F.col("p_brand").alias("full_name"))
 
 
-@query()
+@query("""WITH RECURSIVE ds AS (SELECT p_partkey AS ord, p_name || ' ' || p_partkey AS name, list_distinct([p_brand || ' ' || p_type, p_name || ' ' || (p_partkey % 97), p_brand]) AS others FROM part),
+ev AS (SELECT ord, 0 AS phase, name AS raw, name FROM ds UNION ALL SELECT ord, 1, raw, name FROM (SELECT ord, name, unnest(others) AS raw FROM ds) WHERE raw <> name),
+nr AS (SELECT lower(raw) AS variant, phase, name, row_number() OVER (PARTITION BY lower(raw) ORDER BY ord, phase, raw) AS nth, count(*) OVER (PARTITION BY lower(raw)) AS n FROM ev),
+st AS (SELECT DISTINCT variant, 0::BIGINT AS nth, n, NULL::VARCHAR AS cur, false AS bad FROM nr
+UNION ALL SELECT nr.variant, nr.nth, nr.n, CASE WHEN phase = 0 THEN nr.name WHEN cur IS NULL AND NOT bad THEN nr.name END, bad OR (phase = 1 AND cur IS NOT NULL) FROM st JOIN nr ON nr.variant = st.variant AND nr.nth = st.nth + 1)
+SELECT variant, cur AS name FROM st WHERE nth = n AND cur IS NOT NULL""")
 def dataset_lookup(s, d):
     return text.dataset_lookup(_datasets(s, d)).select("variant", "name")
 
@@ -496,3 +508,47 @@ def remap_keys(s, d):
 def miss_counts(s, d):
     rows = table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id", F.lit(1).alias("a")), "doc_id", "left").join(table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("b")), "doc_id", "left")
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.isnull("a")).alias("missed_first"), F.count_if(F.isnotnull("a") & F.isnull("b")).alias("missed_second"))
+
+
+@query("SELECT d.doc_id, coalesce(e.label, -1)::INT AS place, CASE WHEN l.doc_id IS NULL THEN 1 WHEN e.label IS NULL THEN 2 END AS missed FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = l.doc_id * 3")
+def chained_lookup(s, d):
+    """Documents to a vector's label over two hops; -1 where a hop misses."""
+    one = table(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("key"), (F.col("doc_id") * 3).alias("value")).distinct()
+    two = table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("value"))
+    return linkage.chained_lookup(table(s, d, "documents").select("doc_id"), "doc_id", [one, two], "place").withColumn("place", F.col("place").cast("int"))
+
+
+@query("SELECT n_nationkey, n_name, r_name AS topic FROM nation JOIN region ON n_regionkey = r_regionkey")
+def strict_topics(s, d):
+    topics = table(s, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("value"))
+    return linkage.strict_lookup(table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_regionkey", topics, "topic").drop("n_regionkey")
+
+
+@query(f"WITH {E} SELECT dst AS paper_id, count(*) AS n, string_agg(src, ',' ORDER BY ord) AS citing FROM e GROUP BY dst")
+def adjacency_lists(s, d):
+    lists = graph.adjacency(edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ord"), "ord")
+    return lists.select(F.col("src").alias("paper_id"), F.size("list").cast("long").alias("n"), F.array_join("list", ",").alias("citing"))
+
+
+@query(f"WITH {P} SELECT paper_id, shard FROM p WHERE shard IN (SELECT DISTINCT shard FROM p ORDER BY shard LIMIT 2) ORDER BY ord LIMIT 50")
+def limited_documents(s, d):
+    """The first 50 documents of the first two shards: the limit is the operator."""
+    from citeloom.sources.readers import first_documents
+
+    rows = papers(s, d)
+    return first_documents(rows.join(rows.select("shard").distinct().orderBy("shard").limit(2), "shard", "left_semi"), 50, "ord").select("paper_id", "shard")
+
+
+@query("""WITH tg AS (SELECT user_id AS vec_id, arg_min(event_type, ts) AS task FROM events WHERE user_id % 5 = 0 GROUP BY user_id),
+n AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat_ws(chr(9), 'background', vec_id))) AS nth, count(*) OVER () AS n FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM tg)),
+dr AS (SELECT unnest(range(1, floor(0.1::DOUBLE * (SELECT count(*) FROM embeddings))::BIGINT + 1)) AS draw),
+bg AS (SELECT n.vec_id FROM dr, (SELECT DISTINCT n AS k FROM n) JOIN n ON nth = ('0x' || substr(md5(concat_ws(chr(9), 'background', draw)), 1, 12))::BIGINT % k + 1),
+pt AS (SELECT row_number() OVER () AS i, * FROM (SELECT vec_id, task, 'topic of ' || task AS topic FROM tg UNION ALL SELECT vec_id, NULL, NULL FROM bg) JOIN embeddings USING (vec_id)),
+x AS (SELECT i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM pt), m AS (SELECT k, avg(v) AS m FROM x GROUP BY k), ds AS (SELECT i, sqrt(sum((v - m) * (v - m))) AS distance FROM x JOIN m USING (k) GROUP BY i)
+SELECT vec_id, task, topic, round(distance, 6) AS distance FROM pt JOIN ds USING (i) WHERE distance < 0.99""")
+def plot_points(s, d):
+    events = table(s, d, "events").where("user_id % 5 = 0")
+    targets = events.groupBy(F.col("user_id").alias("vec_id")).agg(F.min_by("event_type", "ts").alias("task"))
+    topics = table(s, d, "events").select(F.col("event_type").alias("key"), F.concat(F.lit("topic of "), "event_type").alias("value")).distinct()
+    points = vectors.plot_points(targets, topics, table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", 0.1, 0.99)
+    return points.select("vec_id", "task", "topic", F.round("distance", 6).alias("distance"))

@@ -146,3 +146,14 @@ def test_first_places(spark):
         assert got.columns == ["id", "t", "n", "phrase", "at"]
         assert sorted((r["id"], r["phrase"], r["at"]) for r in got.collect()) == want
     assert matching.first_places(rows, "t", known.limit(0)).count() == 0 == matching.first_places(rows.limit(0), "t", known).count()
+
+
+def test_lookups(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "id string")
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "key string, value int")
+    two = spark.createDataFrame([(1, 7), (3, 8)], "key int, value int")
+    got = {r["id"]: (r["place"], r["missed"]) for r in linkage.chained_lookup(rows, "id", [one, two], "place").collect()}
+    assert got == {"a": (7, None), "b": (-1, 2), "c": (-1, 1), None: (-1, 1)}
+    assert linkage.strict_lookup(rows.where("id = 'a'"), "id", one, "x").first()["x"] == 1
+    with pytest.raises(Exception, match="no entry for: c"):
+        linkage.strict_lookup(rows.where("id = 'c'"), "id", one, "x").collect()
