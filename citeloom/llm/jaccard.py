@@ -278,10 +278,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 80, den: in
 def drop_near_duplicates(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """documents with one row of each component: that with the smallest doc_id; its columns are kept as they are.
 
-    Of rows that repeat doc_id and text one stays. Wordless rows and rows without doc_id stay.
+    Of rows that repeat doc_id and text one stays. Wordless rows and rows without doc_id stay. Rows that share a doc_id but
+    not a text stay together if any of them does, so that no text is lost.
     """
     group = near_duplicates(documents, width, num, den)
-    dropped = materialize(group.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    any_copy = group.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    dropped = materialize(any_copy.where("not stays").select("doc_id"), "dropped")
     rows = documents.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("hash"))
     repeated = materialize(rows.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").distinct(), "repeated")
     kept = documents.join(sized_broadcast(dropped), "doc_id", "left_anti").select(*documents.columns)

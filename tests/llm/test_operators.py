@@ -327,7 +327,8 @@ def serial_pipeline(rows, model):
             old, new = group[b], group[a]
             group = [new if g == old else g for g in group]
     lowest = {g: min((rows[k][0] for k in range(len(rows)) if group[k] == g and rows[k][0] is not None), default=None) for g in set(group)}
-    kept = [r for k, r in enumerate(rows) if r[0] is None or r[0] == lowest[group[k]]]
+    stay = {None} | {r[0] for k, r in enumerate(rows) if r[0] == lowest[group[k]]}
+    kept = [r for r in rows if r[0] in stay]
     rows = sorted(set(r for r in kept if r[0] is not None), key=str) + [r for r in kept if r[0] is None]
 
     size = [len((t or "").encode().split()) for _, t, _ in rows]
@@ -348,6 +349,7 @@ def serial_pipeline(rows, model):
     for *_, k in sorted(queue):
         running += size[k]
         copies[k] += running <= 1.5 * sum(size)
+    copies = [max(c for c, other in zip(copies, rows) if other[0] == r[0]) for r in rows]
 
     enc, out = tokens.Encoder(queries.byte_bpe()), []
     for k, (i, text, _) in enumerate(rows):
@@ -364,7 +366,7 @@ def test_pipeline_equals_serial_loops(spark, tmp_path):
 
     base = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     good = base.orderBy("doc_id").first()["text"]
-    odd = [(9001, None), (9002, ""), (9003, " \n"), (9004, good * 40), (9005, good), (9006, good + " end"), (None, "one row without an id"), (9007, good.upper())]
+    odd = [(9001, None), (9002, ""), (9003, " \n"), (9004, good * 40), (9005, good), (9006, good + " end"), (None, "one row without an id"), (9007, good.upper()), (9008, good), (9008, base.orderBy(F.desc("doc_id")).first()["text"][::-1])]
     extra = spark.createDataFrame([(i, t, None, None if k % 2 else "web", None) for k, (i, t) in enumerate(odd)], base.schema)
     docs = base.unionByName(extra).unionByName(base.where("doc_id % 9 = 0"))
     clash = ["quality", "score", "sid", "root", "dropped", "copies", "size", "target", "length", "piece", "salt", "_row", "_h"]
