@@ -547,7 +547,16 @@ pt AS (SELECT row_number() OVER () AS i, * FROM (SELECT vec_id, task, 'topic of
 x AS (SELECT i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM pt), m AS (SELECT k, avg(v) AS m FROM x GROUP BY k), ds AS (SELECT i, sqrt(sum((v - m) * (v - m))) AS distance FROM x JOIN m USING (k) GROUP BY i)
 SELECT vec_id, task, topic, round(distance, 6) AS distance FROM pt JOIN ds USING (i) WHERE distance < 0.99""")
 def plot_points(s, d):
-    events = table(s, d, "events").where("user_id % 5 = 0")
+    return _points(s, d, table(s, d, "events").where("user_id % 5 = 0"))
+
+
+@query(ORACLE_SQL["plot_points"].replace(" WHERE user_id % 5 = 0", ""))
+def plot_points_all(s, d):
+    """plot_points with every user of events as a target."""
+    return _points(s, d, table(s, d, "events"))
+
+
+def _points(s, d, events):
     targets = events.groupBy(F.col("user_id").alias("vec_id")).agg(F.min_by("event_type", "ts").alias("task"))
     topics = table(s, d, "events").select(F.col("event_type").alias("key"), F.concat(F.lit("topic of "), "event_type").alias("value")).distinct()
     points = vectors.plot_points(targets, topics, table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", 0.1, 0.99)

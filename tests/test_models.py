@@ -157,3 +157,10 @@ def test_lookups(spark):
     assert linkage.strict_lookup(rows.where("id = 'a'"), "id", one, "x").first()["x"] == 1
     with pytest.raises(Exception, match="no entry for: c"):
         linkage.strict_lookup(rows.where("id = 'c'"), "id", one, "x").collect()
+
+
+def test_all_users_are_plotted(spark):
+    from citeloom.plans import catalogue
+
+    points = catalogue.plot_points_all(spark, "/root/testdata/sf0.001").where("task is not null")
+    assert points.where("vec_id % 5 <> 0").count() > 0
