@@ -145,27 +145,27 @@ _H = f"WITH {E}, {B}, h0 AS (SELECT DISTINCT src AS node FROM e WHERE ord < 5000
 
 
 @query(_H + " SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1")
-def bfs_r1(s, d):
+def bfs_r1(s, d, seeds=_seeds):
     e = edges(s, d).select("src", "dst")
-    return graph.expand(e, reverse(e), _seeds(s, d), 1)[0]
+    return graph.expand(e, reverse(e), seeds(s, d), 1)[0]
 
 
 @query(_H + " SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2")
-def bfs_r2(s, d):
+def bfs_r2(s, d, seeds=_seeds):
     e = edges(s, d).select("src", "dst")
-    return graph.expand(e, reverse(e), _seeds(s, d), 2)[0]
+    return graph.expand(e, reverse(e), seeds(s, d), 2)[0]
 
 
 @query(_H + " SELECT src, dst, CASE WHEN src LIKE 'o%' THEN 'out' ELSE 'in' END AS direction FROM b WHERE src IN (FROM h0) OR src IN (FROM h1)")
-def citation_graph(s, d):
+def citation_graph(s, d, seeds=_seeds):
     e = edges(s, d).select("src", "dst")
-    return graph.expand(e, reverse(e), _seeds(s, d), 2)[1]
+    return graph.expand(e, reverse(e), seeds(s, d), 2)[1]
 
 
 @query(_H + " SELECT DISTINCT src AS citing FROM b WHERE src LIKE 'o%' AND dst IN (FROM h1)")
-def citing_set(s, d):
+def citing_set(s, d, seeds=_seeds):
     e = edges(s, d).select("src", "dst")
-    nodes, _ = graph.expand(e, reverse(e), _seeds(s, d), 1)
+    nodes, _ = graph.expand(e, reverse(e), seeds(s, d), 1)
     return e.join(nodes.where("hop = 1").select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("citing")).distinct()
 
 
@@ -175,9 +175,9 @@ def undirected_merge(s, d):
 
 
 @query(_H + " SELECT DISTINCT dst AS node FROM b WHERE src IN (FROM h0) OR src IN (FROM h1)")
-def candidate_set(s, d):
+def candidate_set(s, d, seeds=_seeds):
     e = edges(s, d).select("src", "dst")
-    one, two = graph.expand(e, reverse(e), _seeds(s, d), 1)[1], graph.expand(e, reverse(e), _seeds(s, d), 2)[1]
+    one, two = graph.expand(e, reverse(e), seeds(s, d), 1)[1], graph.expand(e, reverse(e), seeds(s, d), 2)[1]
     return graph.candidates(one, two)
 
 
@@ -187,13 +187,35 @@ def first_copy_index(s, d):
 
 
 @query(_H + f", n AS (SELECT DISTINCT substr(node, 2)::BIGINT AS id FROM (FROM h1)), p AS (SELECT doc_id, text, md5(text) AS hash FROM documents), f AS (SELECT min(doc_id) AS doc_id FROM p WHERE doc_id IN (FROM n) GROUP BY hash) SELECT doc_id::VARCHAR AS paper_id, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM f")
-def neighbor_texts(s, d):
+def neighbor_texts(s, d, seeds=_seeds):
     e = edges(s, d).select("src", "dst")
-    nodes, _ = graph.expand(e, reverse(e), _seeds(s, d), 1)
+    nodes, _ = graph.expand(e, reverse(e), seeds(s, d), 1)
     ids = nodes.where("hop = 1").select(F.substring("node", 2, 30).cast("long").alias("ord"))
     return linkage.first_copies(papers(s, d).join(ids, "ord", "left_semi"), "hash", "ord").select(F.col("ord").cast("string").alias("paper_id"), "line")
 
 
+def _segment_seeds(s, d):
+    """All orders of the customers of one segment: a target set that grows with the tables."""
+    buyers = table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return table(s, d, "orders").join(buyers, "o_custkey", "left_semi").select(F.concat(F.lit("o"), "o_orderkey").alias("node")).join(edges(s, d).select(F.col("src").alias("node")), "node", "left_semi")
+
+
+def _of_segment(f):
+    """f and its SQL from the orders of a segment instead of five seeds, as a query of its own."""
+
+    def whole(s, d):
+        return f(s, d, _segment_seeds)
+
+    whole.__name__ = f"{f.__name__}_segment"
+    few = "FROM e WHERE ord < 500000000"
+    of_segment = "FROM e WHERE src IN (SELECT 'o' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING')"
+    query(ORACLE_SQL[f.__name__].replace(few, of_segment))(whole)
+
+
+for _f in (bfs_r1, bfs_r2, citation_graph, citing_set, candidate_set, neighbor_texts):
+    _of_segment(_f)
+
+
 _N = f"WITH {E}, a AS (SELECT src AS node, ord * 2 AS pl FROM e UNION ALL SELECT dst, ord * 2 + 1 FROM e), f AS (SELECT node, min(pl) AS pl FROM a GROUP BY node), n AS (SELECT node, row_number() OVER (ORDER BY pl) AS node_id FROM f), c AS (SELECT DISTINCT least(x.node_id, y.node_id) AS src, greatest(x.node_id, y.node_id) AS dst FROM e JOIN n x ON x.node = e.src JOIN n y ON y.node = e.dst)"
 _SPLIT = _N + ", r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(chr(9), 'split', src, dst))) AS r, count(*) OVER () AS n FROM c), sp AS (SELECT src, dst, CASE WHEN r <= floor(0.95::DOUBLE * n) THEN 'train' WHEN r <= floor(0.95::DOUBLE * n) + floor(0.025::DOUBLE * n) THEN 'test' ELSE 'val' END AS split FROM r)"
 

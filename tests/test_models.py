@@ -164,3 +164,10 @@ def test_all_users_are_plotted(spark):
 
     points = catalogue.plot_points_all(spark, "/root/testdata/sf0.001").where("task is not null")
     assert points.where("vec_id % 5 <> 0").count() > 0
+
+
+def test_segment_seeds_grow_with_the_tables(spark):
+    from citeloom.plans import catalogue
+
+    counts = [catalogue._segment_seeds(spark, f"/root/testdata/{sf}").count() for sf in ("sf0.001", "sf0.01")]
+    assert counts[1] > 5 * counts[0] > 100
