@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,13 +91,31 @@ def split_edges(edges: DataFrame, train: float = 0.95, test: float = 0.025, seed
 def negative_edges(edges: DataFrame, positives: DataFrame, nodes: int, times: int = 5, seed: str = "negative", strict: bool = False) -> DataFrame:
     """times as many non-edges as positives, src and dst drawn by hash from 1 to nodes.
 
-    Each draw has attempts 0 to 7, of which the first that is no edge is taken. By default both directions and self-pairs
-    are excluded; strict only excludes the drawn direction.
+    Each draw has attempts 0, 1, ... in rounds of 8, 16, 32 and so on, of which the first that is no edge is taken; only
+    draws that are still open get a further round. A draw whose source has no non-neighbour at all gets no row, and a
+    warning counts such draws. By default both directions and self-pairs are excluded; strict only excludes the drawn
+    direction.
     """
-    draws = ranked(positives, by_hash(seed, "src", "dst"), "_at").select(F.explode(F.sequence((F.col("_at") - 1) * times + 1, F.col("_at") * times)).alias("draw"))
     number = lambda *of: F.conv(F.substring(F.md5(F.concat_ws("\t", F.lit(seed), *of)), 1, 12), 16, 10).cast("long") % nodes + 1
-    pairs = draws.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    pairs = pairs.select("draw", "attempt", number(F.lit("src"), F.col("draw").cast("string")).alias("src"), number(F.lit("dst"), F.col("draw").cast("string"), F.col("attempt").cast("string")).alias("dst"))
-    known = edges.select("src", "dst") if strict else undirected(edges)
-    free = (pairs if strict else pairs.where("src <> dst")).join(known, ["src", "dst"], "left_anti")
-    return free.groupBy("draw", "src").agg(F.min_by("dst", "attempt").alias("dst")).select("draw", "src", "dst", F.lit(0).alias("label"))
+    draws = ranked(positives, by_hash(seed, "src", "dst"), "_at").select(F.explode(F.sequence((F.col("_at") - 1) * times + 1, F.col("_at") * times)).alias("draw"))
+    still = written(draws.select("draw", number(F.lit("src"), F.col("draw").cast("string")).alias("src")), "draws")
+    known = written(edges.select("src", "dst").distinct() if strict else undirected(edges), "known")
+    others = known if strict else known.where("src <> dst")
+    taken, first, size = None, 0, 8
+    while True:
+        pairs = still.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + size - 1))))
+        pairs = pairs.select("draw", "attempt", "src", number(F.lit("dst"), F.col("draw").cast("string"), F.col("attempt").cast("string")).alias("dst"))
+        free = (pairs if strict else pairs.where("src <> dst")).join(known, ["src", "dst"], "left_anti")
+        hits = written(free.groupBy("draw", "src").agg(F.min_by("dst", "attempt").alias("dst")), f"free{first}")
+        taken = hits if taken is None else taken.unionByName(hits)
+        still = written(still.join(hits.select("draw"), "draw", "left_anti"), f"open{first}")
+        if not first and not still.isEmpty():
+            linked = others.where(F.col("dst").between(1, nodes)).groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
+            still = still.join(linked, "src", "left").withColumn("_full", F.coalesce("_n", F.lit(0)) >= nodes - (0 if strict else 1))
+            full = still.where("_full").count()
+            if full:
+                warnings.warn(f"{full} draws get no negative edge: their source is linked to every node", stacklevel=2)
+            still = written(still.where("not _full").select("draw", "src"), "open")
+        if still.isEmpty():
+            return taken.select("draw", "src", "dst", F.lit(0).alias("label"))
+        first, size = first + size, 2 * size

@@ -171,3 +171,14 @@ def test_segment_seeds_grow_with_the_tables(spark):
 
     counts = [catalogue._segment_seeds(spark, f"/root/testdata/{sf}").count() for sf in ("sf0.001", "sf0.01")]
     assert counts[1] > 5 * counts[0] > 100
+
+
+def test_negative_edges_of_hubs_are_all_drawn(spark):
+    """Sources linked to all but one of 40 nodes need more than eight attempts; a source linked to all has no row."""
+    hubs = spark.createDataFrame([(a, b) for a in range(1, 41) for b in range(1, 41) if a < b and (a, b) not in {(k, k + 1) for k in range(1, 40, 2)}], "src long, dst long")
+    positives = hubs.limit(20)
+    got = graph.negative_edges(hubs, positives, 40).collect()
+    assert sorted(r["draw"] for r in got) == list(range(1, 101)) and all(r["dst"] == (r["src"] + 1 if r["src"] % 2 else r["src"] - 1) for r in got)
+    whole = spark.createDataFrame([(a, b) for a in range(1, 6) for b in range(a + 1, 6)], "src long, dst long")
+    with pytest.warns(UserWarning, match="10 draws"):
+        assert graph.negative_edges(whole, whole.limit(2), 5).count() == 0
