@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from functools import lru_cache
 
@@ -22,10 +23,11 @@ class Encoder(dict):
     The pattern of the byte-level vocabularies never joins what stands left and right of a blank that follows or precedes
     a non-blank. A text is therefore cut at blanks, and each piece (with its blank) is encoded once and then looked up. A text
     in which a blank stands between two white-space characters is encoded in one go. The merges run in tiktoken, on ranks
-    read from the tokenizers file; the ids are those of tokenizers with special tokens as ordinary text.
+    read from the tokenizers file; the ids are those of tokenizers without post-processing. With added, the file's added
+    tokens are found in the text first, as tokenizers does by default; else they count as ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import json
 
         with open(path, encoding="utf-8") as f:
@@ -36,6 +38,11 @@ class Encoder(dict):
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
         special = {t["content"] for t in spec["added_tokens"]}
+        if added and any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("only added tokens that match as they stand are supported")
+        self._added = {t["content"]: struct.pack("<I", t["id"]) for t in spec["added_tokens"]} if added else {}
+        # Of tokens that start at one place, tokenizers takes the longest.
+        self._marks = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
         ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self._bpe = tiktoken.Encoding(f"file:{path}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -53,6 +60,15 @@ class Encoder(dict):
 
     def ids(self, text: str | None) -> bytes:
         """The text's ids; null and empty texts have none."""
+        if not text:
+            return b""
+        if self._marks:
+            parts = self._marks.split(text)
+            if len(parts) > 1:
+                return b"".join(self._added[t] if i % 2 else self._plain(t) for i, t in enumerate(parts))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = text.split(" ")
@@ -71,8 +87,8 @@ class Encoder(dict):
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process."""
-    return Encoder(path)
+    """One encoder per worker process, which finds added tokens."""
+    return Encoder(path, added=True)
 
 
 def lengths(documents: DataFrame, path: str) -> DataFrame:

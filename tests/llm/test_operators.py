@@ -137,6 +137,24 @@ def test_encoder_equals_tokenizers(documents):
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_are_found(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.byte_bpe()
+    plain = Tokenizer.from_file(path)
+    mark, rng = "<|endoftext|>", random.Random(6)
+    odd = ["".join(rng.choice([mark, " ", "\n", "ab", "'s", "1", "<|", "|>", "endoftext", "é", "\t"]) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    rows = [f"a {mark} b", mark, mark * 3, f"{mark} a", f"a{mark}", f"x  {mark}  y", "<|endoftext|", *odd]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in rows]
+    enc = tokens.encoder(path)
+    for t, ids in zip(rows, want):
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == ids, repr(t)
+    docs = spark.createDataFrame(list(enumerate(rows[:7])), "doc_id long, text string")
+    assert {r["doc_id"]: r["length"] for r in tokens.lengths(docs, path).collect()} == {i: len(ids) for i, ids in enumerate(want[:7])}
+    crc = {r["doc_id"]: r["ids_crc32"] for r in packing.pack(docs, path).collect()}
+    assert crc == {i: zlib.crc32(np.array([*ids, 0], "<u4").tobytes()) for i, ids in enumerate(want[:7])}
+
+
 def test_packing(documents, empty):
     enc = tokens.Encoder(queries.byte_bpe())
     got = packing.pack(documents, queries.byte_bpe()).collect()
