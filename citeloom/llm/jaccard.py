@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from citeloom.llm.common import ascii_words, buckets, materialize, mix, shingles, sized_broadcast
+from citeloom.llm.common import WORD_PATTERN, ascii_words, buckets, materialize, mix, shingles, sized_broadcast
 from citeloom.llm.components import connected_components
 
 BITS = 1024
@@ -87,20 +87,24 @@ def _sets(column: pa.ChunkedArray | pa.Array, width: int) -> Iterator[np.ndarray
 
 
 def signatures(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, sid, bits) for each row: set size, 64-bit name of the set (null if empty), parity bits as 16 longs."""
+    """(doc_id, hash, n, sid, bits) for each row: set size, 64-bit name of the set (null if empty), parity bits as 16 longs.
+
+    hash names the texts of rows without doc_id; it is null in other rows.
+    """
 
     def run(batches):
         for batch in batches:
             n, sid, bits = [], [], np.zeros((batch.num_rows, BITS // 8), np.uint8)
-            for i, h in enumerate(_sets(batch.column(1), width)):
+            for i, h in enumerate(_sets(batch.column(2), width)):
                 n.append(len(h))
                 sid.append(_sid(h) if len(h) else None)
                 bits[i] = np.packbits((np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
             longs = pa.array(bits.view(np.int64).reshape(-1))
             offsets = pa.array(np.arange(0, len(longs) + 1, BITS // 64, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.ListArray.from_arrays(offsets, longs)], ["doc_id", "n", "sid", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.ListArray.from_arrays(offsets, longs)], ["doc_id", "hash", "n", "sid", "bits"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n long, sid long, bits array<long>")
+    rows = documents.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("hash"), "text")
+    return rows.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, hash long, n long, sid long, bits array<long>")
 
 
 def memberships(documents: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -138,12 +142,12 @@ def memberships(documents: DataFrame, width: int, bands: Bands) -> DataFrame:
 
 
 def _near(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
-    """Of pairs (u, v), those whose sizes and parity bits allow a link, with a document of each."""
-    side = lambda a: classes.select(*[F.col(c).alias(t) for c, t in (("sid", a), ("n", f"n_{a}"), ("bits", f"bits_{a}"), ("doc", f"doc_{a}"))])
+    """Of pairs (u, v), those whose sizes and parity bits allow a link, with a document of each, or its hash if it has no doc_id."""
+    side = lambda a: classes.select(*[F.col(c).alias(t) for c, t in (("sid", a), ("n", f"n_{a}"), ("bits", f"bits_{a}"), ("doc", f"doc_{a}"), ("hash", f"hash_{a}"))])
     distance = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     sizes = (F.least("n_u", "n_v") * bands.den >= F.greatest("n_u", "n_v") * bands.num)
     allowed = (F.col("n_u") + F.col("n_v")) * (bands.den - bands.num)
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(sizes & (distance * (bands.den + bands.num) <= allowed)).select("u", "v", "doc_u", "doc_v")
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(sizes & (distance * (bands.den + bands.num) <= allowed)).select("u", "v", "doc_u", "doc_v", "hash_u", "hash_v")
 
 
 def _across(nodes: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
@@ -204,7 +208,13 @@ def _with_end(batches):
 def _verified(near: DataFrame, documents: DataFrame, width: int, bands: Bands) -> DataFrame:
     """The pairs (u, v) of near that are links, by their whole texts. near is a written table."""
     wanted = materialize(near.select(F.col("doc_u").alias("doc_id")).unionByName(near.select(F.col("doc_v").alias("doc_id"))).distinct(), "wanted")
-    found = documents.select("doc_id", "text").join(sized_broadcast(wanted), "doc_id", "left_semi")
+    found = documents.select("doc_id", "text").join(sized_broadcast(wanted), "doc_id", "left_semi").select("text")
+    unnamed = near.where("doc_u is null").select(F.col("hash_u").alias("hash")).unionByName(near.where("doc_v is null").select(F.col("hash_v").alias("hash")))
+    unnamed = materialize(unnamed.distinct(), "unnamed")
+    if not unnamed.isEmpty():
+        # Copies without doc_id are many rows of one hash: one text of each is enough.
+        rows = documents.where("doc_id is null").select(F.xxhash64("text").alias("hash"), "text")
+        found = found.unionByName(rows.join(sized_broadcast(unnamed), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")).select("text"))
 
     def named(batches):
         for batch in batches:
@@ -234,7 +244,7 @@ def _verified(near: DataFrame, documents: DataFrame, width: int, bands: Bands) -
                 keep.append(both * bands.den >= bands.num * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = found.select("text").mapInArrow(named, "sid long, text string")
+    texts = found.mapInArrow(named, "sid long, text string")
     both = near.select("u", "v").join(texts.select(F.col("sid").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("sid").alias("v"), F.col("text").alias("text_v")), "v")
     return both.select("u", "v", "text_u", "text_v").mapInArrow(compared, "u long, v long").distinct()
 
@@ -244,14 +254,19 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 80, den: in
 
     Two rows link when their sets of width-word shingles have |a∩b| * den >= num * |a∪b|. component_id is the smallest
     doc_id that links reach. Null or wordless texts have the empty set and link with nothing: component_id is their own
-    doc_id. Fewer than width words are one shingle. Repeated rows are equal sets, so they share a component. A row without
-    doc_id is linked as an equal set only, and gets the smallest doc_id of its set, or null. Sets are compared as 64-bit
+    doc_id. Fewer than width words are one shingle. Repeated rows are equal sets, so they share a component. Rows without
+    doc_id are linked like any others; where no row of a component has one, component_id is null. Sets are compared as 64-bit
     shingle hashes and named by 64 bits. Rows come in no order; an empty table gives no rows.
     """
+    return _grouped(documents, width, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """near_duplicates() with hash (as in signatures) and root, which names the component (null for the empty set)."""
     bands = Bands(num, den)
     documents = documents.select("doc_id", "text")
     signed = materialize(signatures(documents, width), "signatures")
-    classes = materialize(signed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    classes = materialize(signed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     members = materialize(memberships(documents, width, bands), "members")
     met = materialize(members.select(F.col("sid").alias("u"), F.col("center").alias("v")).distinct(), "met")
     links = materialize(_verified(materialize(_near(met, classes, bands), "near"), documents, width, bands), "links")
@@ -271,25 +286,34 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 80, den: in
             found = connected_components(links.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     named = classes.select("sid", "doc").join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     lowest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    component = named.select("sid", "root").join(lowest, "root").select("sid", "component_id")
-    return signed.select("doc_id", "n", "sid").join(component, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = named.select("sid", "root").join(lowest, "root").select("sid", "root", "component_id")
+    return signed.select("doc_id", "hash", "n", "sid").join(component, "sid", "left").select("doc_id", "hash", "root", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def drop_near_duplicates(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """documents with one row of each component: that with the smallest doc_id; its columns are kept as they are.
 
-    Of rows that repeat doc_id and text one stays. Wordless rows and rows without doc_id stay. Rows that share a doc_id but
-    not a text stay together if any of them does, so that no text is lost.
+    Of rows that repeat doc_id and text one stays. Wordless rows stay. Rows that share a doc_id but not a text stay together
+    if any of them does, so that no text is lost. A component without any doc_id keeps one of its rows.
     """
-    group = near_duplicates(documents, width, num, den)
+    group = _grouped(documents, width, num, den)
+    nameless = documents.where("doc_id is null")
+    if not nameless.isEmpty():
+        alone = group.where("root is not null and component_id is null").groupBy("root").agg(F.min("hash").alias("__hash"))
+        alone = materialize(alone.select("__hash").distinct(), "nameless")
+        names = documents.columns
+        plain = [F.col(c) for c in names if "map<" not in documents.schema[c].dataType.simpleString()]
+        rows = nameless.select(F.struct(*names).alias("row"), F.xxhash64("text").alias("__hash"), F.xxhash64(*plain).alias("order"), F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False)).alias("words"))
+        one = rows.where("words").join(sized_broadcast(alone), "__hash", "left_semi").groupBy("__hash").agg(F.min_by("row", "order").alias("row"))
+        nameless = rows.where("not words").select("row.*").unionByName(one.select("row.*"))
     any_copy = group.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
     dropped = materialize(any_copy.where("not stays").select("doc_id"), "dropped")
     rows = documents.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("hash"))
     repeated = materialize(rows.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").distinct(), "repeated")
-    kept = documents.join(sized_broadcast(dropped), "doc_id", "left_anti").select(*documents.columns)
+    kept = documents.where("doc_id is not null").join(sized_broadcast(dropped), "doc_id", "left_anti").select(*documents.columns)
     if repeated.isEmpty():
-        return kept
+        return kept.unionByName(nameless)
     again = kept.join(repeated, "doc_id", "left_semi").select(*documents.columns)
     w = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
-    one = again.withColumn("__first", F.row_number().over(w)).where("__first = 1").select(*documents.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*documents.columns).unionByName(one)
+    first = again.withColumn("__first", F.row_number().over(w)).where("__first = 1").select(*documents.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*documents.columns).unionByName(first).unionByName(nameless)

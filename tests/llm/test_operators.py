@@ -80,6 +80,18 @@ def test_jaccard_empty(empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_without_ids(spark):
+    """A ~ T ~ B where only T links A and B and has no doc_id; groups without any doc_id keep one row."""
+    words = [f"w{i}" for i in range(100)]
+    a, b = [*words[:90], *[f"a{i}" for i in range(10)]], [*[f"b{i}" for i in range(10)], *words[10:]]
+    rows = [(1, " ".join(a)), (None, " ".join(words)), (2, " ".join(b)), *[(None, " ".join(f"n{i}" for i in range(60)))] * 50, (None, " ".join(f"n{i}" for i in range(62))), (None, None), (None, " "), (None, "other")]
+    docs = spark.createDataFrame([(i, t, {"k": "v"}) for i, t in rows], "doc_id long, text string, tags map<string,string>").repartition(3)
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert (got[1, 96], got[2, 96], got[None, 96]) == (1, 1, 1)
+    kept = sorted((r["doc_id"] or 0, len((r["text"] or "").split())) for r in jaccard.drop_near_duplicates(docs).collect())
+    assert kept[:4] in ([(0, 0), (0, 0), (0, 1), (0, 60)], [(0, 0), (0, 0), (0, 1), (0, 62)]) and kept[4:] == [(1, 100)]
+
+
 def test_quality(spark, documents, empty):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     model = quality.train(docs, labels)
