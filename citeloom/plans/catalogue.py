@@ -304,10 +304,20 @@ _NB = "nb AS (SELECT a.doc_id::VARCHAR AS key, 'out' AS direction, b.doc_id::VAR
 
 @query(f"WITH {_IDF}, {_NB}, u AS (SELECT * FROM nd WHERE doc IN (SELECT doc FROM wt)), k AS (SELECT key, direction, count(*) AS k FROM u GROUP BY ALL), m AS (SELECT key, direction, term, sum(weight) / any_value(k) AS weight FROM u JOIN wt USING (doc) JOIN k USING (key, direction) GROUP BY ALL) SELECT key, direction, term, round(weight, 6) AS weight FROM (SELECT DISTINCT key, direction FROM nd) LEFT JOIN m USING (key, direction)")
 def neighbor_tfidf(s, d):
+    return _neighbor_tfidf(s, d, 3)
+
+
+@query(ORACLE_SQL["neighbor_tfidf"].replace("a.doc_id + 3", "a.doc_id + 5"))
+def neighbor_tfidf_5(s, d):
+    """neighbor_tfidf with the next five ids as neighbours instead of three."""
+    return _neighbor_tfidf(s, d, 5)
+
+
+def _neighbor_tfidf(s, d, reach):
     from citeloom.plans.checkpoint import written
 
     ids = table(s, d, "documents").select("doc_id", "lang")
-    near = ids.select(F.col("doc_id").cast("string").alias("key"), "lang", F.explode(F.sequence(F.col("doc_id") + 1, F.col("doc_id") + 3)).alias("doc_id")).join(ids, ["doc_id", "lang"])
+    near = ids.select(F.col("doc_id").cast("string").alias("key"), "lang", F.explode(F.sequence(F.col("doc_id") + 1, F.col("doc_id") + reach)).alias("doc_id")).join(ids, ["doc_id", "lang"])
     out = near.select("key", F.col("doc_id").cast("string").alias("doc"))
     back = out.select(F.col("doc").alias("key"), F.col("key").alias("doc"))
     both = graph.undirected(out.select(F.col("key").alias("src"), F.col("doc").alias("dst"))).select(F.col("src").alias("key"), F.col("dst").alias("doc"))

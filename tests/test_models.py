@@ -182,3 +182,11 @@ def test_negative_edges_of_hubs_are_all_drawn(spark):
     whole = spark.createDataFrame([(a, b) for a in range(1, 6) for b in range(a + 1, 6)], "src long, dst long")
     with pytest.warns(UserWarning, match="10 draws"):
         assert graph.negative_edges(whole, whole.limit(2), 5).count() == 0
+
+
+def test_five_ids_are_neighbours(spark):
+    from citeloom.plans import catalogue
+
+    data = "/root/testdata/sf0.001"
+    three, five = (f(spark, data).where("direction = 'out'").select("key").distinct().count() for f in (catalogue.neighbor_tfidf, catalogue.neighbor_tfidf_5))
+    assert five > three
