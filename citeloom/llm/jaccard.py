@@ -9,8 +9,11 @@ are joined on (band, part, XOR). A second sketch of 1024 parity bits (each shing
 is never above the true symmetric difference; it removes false candidates before the texts are compared exactly.
 
 Only connectedness is wanted, so no bucket is expanded into all its pairs. Each member meets its bucket's smallest member;
-links found that way are contracted to components, and only in buckets that still hold several components do members of
-different components meet each other. A pair that is linked is thus compared or already connected: nothing is lost.
+links found that way are contracted to components. In buckets that still hold several components, members of different
+components meet inside tasks, and each member picks one other that its sketch allows. Picks are verified: a link contracts
+two components, any other pair is not picked again. While all picks are links, each turn at least halves the components of
+a bucket. What is still open after TURNS turns is returned and verified in full. A pair that is linked is thus compared or
+already connected: nothing is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from citeloom.llm.components import connected_components
 BITS = 1024
 #: Members of a bucket that meet in one task.
 BLOCK = 512
+#: Turns in which each member picks one other; then all pairs that are left are verified.
+TURNS = 4
 
 
 class Bands:
@@ -150,35 +155,63 @@ def _near(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").where(sizes & (distance * (bands.den + bands.num) <= allowed)).select("u", "v", "doc_u", "doc_v", "hash_u", "hash_v")
 
 
-def _across(nodes: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
-    """(u, v): members u > v of one bucket but of different components whose sizes and parity bits allow a link.
+def _buckets(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, u): the members of the buckets named in keys, without buckets that hold the same members as another.
 
-    nodes: key, u, root_u. Only such pairs leave a task. Buckets of more than BLOCK members are cut into blocks, and every
-    two blocks meet in a task of their own.
+    Near copies share most of their parts, so most buckets repeat another; a set of members is known by its size and 128
+    bits of their hashes.
+    """
+    rows = members.join(sized_broadcast(keys), "key", "left_semi")
+    rows = materialize(rows.select("key", F.col("sid").alias("u")).unionByName(rows.select("key", F.col("center").alias("u"))).distinct(), "open-rows")
+    alike = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u")).alias("x"), F.bit_xor(F.xxhash64("u", F.lit(1))).alias("y"))
+    one = materialize(alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "buckets")
+    return materialize(rows.join(sized_broadcast(one), "key", "left_semi").select("key", "u"), "open-nodes")
+
+
+def _picks(nodes: DataFrame, bands: Bands, every: bool) -> DataFrame:
+    """(key, u, v): each member u of a bucket with the smallest member v of another component whose size and parity bits allow a link.
+
+    nodes: key, u, root_u, n, bits and no, the members that u is known not to link with. A task thus returns at most one
+    row for each member of a bucket, or of two blocks of it: buckets of more than BLOCK members are cut into blocks, and
+    every two blocks meet in a task of their own. With every, all such pairs are returned.
     """
     large = nodes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    rows = nodes.join(sized_broadcast(materialize(large, "large-buckets")), "key", "left").join(classes.select(F.col("sid").alias("u"), "n", "bits"), "u")
+    rows = nodes.join(sized_broadcast(materialize(large, "large-buckets")), "key", "left")
     own = F.pmod(F.xxhash64("u"), F.coalesce("blocks", F.lit(1))).cast("int")
     ways = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda b: F.struct(F.least(b, own).alias("low"), F.greatest(b, own).alias("high")))
-    rows = rows.select("key", F.explode(ways).alias("way"), own.alias("own"), "u", "root_u", "n", "bits").select("key", "way.low", "way.high", "own", "u", "root_u", "n", "bits")
+    rows = rows.select("key", F.explode(ways).alias("way"), own.alias("own"), "u", "root_u", "n", "bits", "no").select("key", "way.low", "way.high", "own", "u", "root_u", "n", "bits", "no")
 
-    def meet(low, high, own, u, root, n, bits):
+    def near(p, q, root, n, bits):
+        ok = (root[p] != root[q]) & (np.minimum(n[p], n[q]) * bands.den >= np.maximum(n[p], n[q]) * bands.num)
+        p, q = p[ok], q[ok]
+        distance = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)
+        ok = distance * (bands.den + bands.num) <= (n[p] + n[q]) * (bands.den - bands.num)
+        return p[ok], q[ok]
+
+    def meet(low, high, own, u, root, n, bits, no):
         a = np.flatnonzero(own == low)
         b = np.flatnonzero(own == high) if low != high else a
-        for at in range(0, len(a), 256):
-            part = a[at : at + 256]
-            total, least, most = n[part][:, None] + n[b], np.minimum(n[part][:, None], n[b]), np.maximum(n[part][:, None], n[b])
-            fits = (root[part][:, None] != root[b]) & (least * bands.den >= most * bands.num)
-            if low == high:
-                fits &= u[part][:, None] > u[b]
-            i, j = np.nonzero(fits)
-            for k in range(0, len(i), 1 << 16):
-                p, q = part[i[k : k + (1 << 16)]], b[j[k : k + (1 << 16)]]
-                distance = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)
-                near = distance * (bands.den + bands.num) <= (n[p] + n[q]) * (bands.den - bands.num)
-                if near.any():
-                    p, q = u[p[near]], u[q[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["u", "v"])
+        out = [] if every else np.full(len(u), len(u))
+        banned = [np.empty(0, np.int64)]
+        for i, values in no:
+            j = np.minimum(np.searchsorted(u, values), len(u) - 1)
+            j = j[u[j] == values]
+            banned += [i * len(u) + j, j * len(u) + i]
+        banned = np.concatenate(banned)
+        for at in range(0, len(a), 64):
+            part = a[at : at + 64]
+            to = b if low != high else a[at:]
+            p, q = near(np.repeat(part, len(to)), np.tile(to, len(part)), root, n, bits)
+            if len(banned):
+                free = ~np.isin(p * len(u) + q, banned)
+                p, q = p[free], q[free]
+            if every:
+                out.append(np.stack([p, q]))
+            else:
+                np.minimum.at(out, p, q)
+                np.minimum.at(out, q, p)
+        p, q = np.concatenate(out, axis=1) if every else (np.flatnonzero(out < len(u)), out[out < len(u)])
+        return u[p], u[q]
 
     def run(batches):
         rest = None
@@ -188,16 +221,30 @@ def _across(nodes: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
                 continue
             key, low, high, own, u, root, n = (table.column(i).to_numpy() for i in range(7))
             bits = table.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+            no = table.column(8).combine_chunks()
+            upto, values = np.concatenate([[0], np.cumsum(no.value_lengths().to_numpy())]), no.flatten().to_numpy()
             new = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            ends = [0, *new.tolist(), table.num_rows]
-            for i, j in zip(ends[:-1] if batch is None else ends[:-2], ends[1:], strict=False):
-                if j - i > 1:
+            ends = np.array([0, *new.tolist(), table.num_rows])
+            if batch is not None:
+                ends = ends[:-1]
+            # Buckets of two members, which are most, are compared all at once.
+            size = np.diff(ends)
+            p = ends[:-1][(size == 2) & ((upto[ends[1:]] == upto[ends[:-1]]) if len(size) else False)]
+            p, q = near(p, p + 1, root, n, bits)
+            found = [(key[p], u[p], u[q])]
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if j - i > 2 or (j - i == 2 and upto[j] > upto[i]):
                     cut = slice(i, j)
-                    yield from meet(low[i], high[i], own[cut], u[cut], root[cut], n[cut], bits[cut])
-            rest = None if batch is None else table.slice(ends[-2])
+                    lists = [(k - i, values[upto[k] : upto[k + 1]]) for k in range(i, j) if upto[k + 1] > upto[k]] if upto[j] > upto[i] else []
+                    p, q = meet(low[i], high[i], own[cut], u[cut], root[cut], n[cut], bits[cut], lists)
+                    found.append((np.full(len(p), key[i]), p, q))
+            columns = [np.concatenate([f[side] for f in found]) for side in range(3)]
+            for at in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], ["key", "u", "v"])
+            rest = None if batch is None else table.slice(int(ends[-1]))
 
-    dealt = rows.repartition(buckets(nodes.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(run, "u long, v long")
+    dealt = rows.repartition(buckets(nodes.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "u")
+    return dealt.mapInArrow(run, "key long, u long, v long")
 
 
 def _with_end(batches):
@@ -205,6 +252,12 @@ def _with_end(batches):
     yield None
 
 
+def _at(df: DataFrame, name: str, found: DataFrame) -> DataFrame:
+    """df with root_name, the component of its column name."""
+    roots = found.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    return df.join(roots, name, "left").withColumn(f"root_{name}", F.coalesce(f"root_{name}", name))
+
+
 def _verified(near: DataFrame, documents: DataFrame, width: int, bands: Bands) -> DataFrame:
     """The pairs (u, v) of near that are links, by their whole texts. near is a written table."""
     wanted = materialize(near.select(F.col("doc_u").alias("doc_id")).unionByName(near.select(F.col("doc_v").alias("doc_id"))).distinct(), "wanted")
@@ -269,21 +322,34 @@ def _grouped(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
     classes = materialize(signed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     members = materialize(memberships(documents, width, bands), "members")
     met = materialize(members.select(F.col("sid").alias("u"), F.col("center").alias("v")).distinct(), "met")
-    links = materialize(_verified(materialize(_near(met, classes, bands), "near"), documents, width, bands), "links")
+    near = materialize(_near(met, classes, bands), "near")
+    links = materialize(_verified(near, documents, width, bands), "links")
     found = connected_components(links)
-    at = lambda df, name: df.join(found.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}")), name, "left").withColumn(f"root_{name}", F.coalesce(f"root_{name}", name))
-    apart = materialize(at(at(met, "u"), "v").where("root_u <> root_v").select("u", "v"), "apart")
+    apart = materialize(_at(_at(met, "u", found), "v", found).where("root_u <> root_v").select("u", "v"), "apart")
     if not apart.isEmpty():
         # Buckets whose members are not yet connected: their members meet across components.
         keys = members.join(sized_broadcast(apart.select(F.col("u").alias("sid"), F.col("v").alias("center"))), ["sid", "center"], "left_semi").select("key").distinct()
-        rows = members.join(sized_broadcast(materialize(keys, "open-keys")), "key", "left_semi")
-        nodes = rows.select("key", F.col("sid").alias("u")).unionByName(rows.select("key", F.col("center").alias("u"))).distinct()
-        nodes = materialize(at(nodes, "u"), "open-nodes")
-        more = materialize(_across(nodes, classes, bands).distinct(), "across").join(apart, ["u", "v"], "left_anti")
-        near = materialize(_near(more, classes, bands), "near")
-        if not near.isEmpty():
-            links = _verified(near, documents, width, bands)
+        nodes = _buckets(members, materialize(keys, "open-keys"))
+        unlike = near.select("u", "v").join(links, ["u", "v"], "left_anti")
+        for turn in range(TURNS + 1):
+            unlike = materialize(unlike, "unlike")
+            placed = _at(nodes, "u", found)
+            open_ = placed.groupBy("key").agg(F.min("root_u").alias("_l"), F.max("root_u").alias("_h")).where("_l < _h").select("key")
+            placed = placed.join(sized_broadcast(materialize(open_, "open-buckets")), "key", "left_semi")
+            placed = placed.join(classes.select(F.col("sid").alias("u"), "n", "bits"), "u")
+            no = unlike.groupBy("u").agg(F.collect_list("v").alias("no"))
+            placed = placed.join(no, "u", "left").withColumn("no", F.coalesce("no", F.array().cast("array<long>")))
+            picks = materialize(_picks(materialize(placed, "open-members"), bands, turn == TURNS), "picks")
+            if picks.isEmpty():
+                break
+            # A bucket without a pick has none in a later turn either.
+            nodes = nodes.join(sized_broadcast(materialize(picks.select("key").distinct(), "picking")), "key", "left_semi")
+            picks = picks.select("u", "v").distinct()
+            pairs = picks.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+            links = materialize(_verified(materialize(_near(pairs, classes, bands), "near"), documents, width, bands), "links")
             found = connected_components(links.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+            same = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            unlike = unlike.unionByName(picks.join(same, ["u", "v"], "left_anti"))
     named = classes.select("sid", "doc").join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     lowest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     component = named.select("sid", "root").join(lowest, "root").select("sid", "root", "component_id")
