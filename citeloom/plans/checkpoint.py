@@ -6,36 +6,84 @@ import getpass
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: What a broadcast side may take, by its rows and the usual width of its columns; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: Scratch folders made by this driver and not yet dropped, oldest first.
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a temporary folder for a local master and an error for a cluster."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder for a local master and an error for a cluster.
+
+    local-cluster counts as a cluster: its executors are processes of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
     return f"file://{tempfile.gettempdir()}/checkpoints/{getpass.getuser()}"
 
 
-def written(df: DataFrame, tag: str = "table") -> DataFrame:
-    """df written as Parquet in the shared folder (removed when the JVM ends) and read back."""
-    spark = df.sparkSession
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, by which Spark itself resolves the path."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder, removed by forget() or when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/citeloom-{tag}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, found = hadoop_path(spark, path)
+    store.deleteOnExit(found)
+    _made.append(path)
+    return path
+
+
+def written(df: DataFrame, tag: str = "table") -> DataFrame:
+    """df written as Parquet in the shared folder and read back: lineage is cut, and lost executors cost no recompute."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path  # for forget()
+    return out
+
+
+def made() -> int:
+    """A mark for forget(): how many scratch folders there are now."""
+    return len(_made)
+
+
+def forget(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+    """Delete the scratch folders made since mark, but for that of keep, a written table. Nothing else may need them."""
+    for path in _made[mark:]:
+        if keep is None or path != keep._written_to:
+            store, found = hadoop_path(spark, path)
+            store.delete(found, True)
+            _made.remove(path)
+
+
+def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a written table, cheap to count) with a broadcast hint if its rows take at most limit bytes, else as it is.
+
+    A row counts as the default widths of its columns and 16 bytes for its place in the hash table.
+    """
+    width = 16 + sum(df._jdf.schema().apply(c).dataType().defaultSize() for c in df.columns)
+    most = max(1, limit // width)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def cached(spark: SparkSession, folder: str, build, inputs: dict, overwrite: bool = False) -> DataFrame:
+def cached(spark: SparkSession, folder: str, build: Callable[[], DataFrame], inputs: dict, overwrite: bool = False) -> DataFrame:
     """build() as a table under folder, named by a hash of all inputs; read back if it exists, unless overwrite."""
     name = hashlib.sha256(repr(sorted(inputs.items())).encode()).hexdigest()[:32]
     path = f"{folder.rstrip('/')}/{name}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if overwrite or not there:
+    store, found = hadoop_path(spark, f"{path}/_SUCCESS")
+    if overwrite or not store.exists(found):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
