@@ -15,7 +15,9 @@ SHORT_FORMS = {
     "Image_Generation": "gan", "Sentiment_Analysis": "sent", "Speech_Recognition": "speech", "Visual_Question_Answering": "vqa", "Image_Classification": "img",
 }
 # Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = "sgt. sen. col. brig. gen. maj. sr. lt. cmdr. u.s. mr. p.o.w. u.k. u.n. ft. dr. d.c. mt. st. snr. rep. ms. capt. sq. jr. ave.".split()
+ABBREVIATIONS = (
+    "sgt.", "sen.", "col.", "brig.", "gen.", "maj.", "sr.", "lt.", "cmdr.", "u.s.", "mr.", "p.o.w.", "u.k.", "u.n.", "ft.", "dr.", "d.c.", "mt.", "st.", "snr.", "rep.", "ms.", "capt.", "sq.", "jr.", "ave.",
+)
 MARKER = "[CITE]"
 
 
@@ -30,6 +32,11 @@ def tokens(text: Column) -> Column:
     return F.filter(bare, lambda w: w != "")
 
 
+def inverted(entries: Column) -> Column:
+    """A map's values to its keys; its values must differ."""
+    return F.map_from_arrays(F.map_values(entries), F.map_keys(entries))
+
+
 def join_sections(sections: Column, field: str = "text") -> Column:
     return F.concat_ws(" ", F.transform(sections, lambda s: s[field]))
 
@@ -55,10 +62,17 @@ def splice(text: Column, start: Column, end: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences by rule: blank lines always part them; .?! and white space do, unless an abbreviation stands before."""
-    soft = F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
+    """Sentences by rule.
+
+    Blank lines always part them, and a single newline is a blank. A blank after . ? or ! parts them too, unless an
+    abbreviation or an ellipsis stands before it, or a token with -- on either side of it.
+    """
+    joined = F.lit("$1\u0001")
+    held = F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
+    held = F.regexp_replace(held, r"[^\S\n]+(?=\S*--)", "\u0001")
+    held = F.regexp_replace(held, F.lit(r"(\S*--\S*|\.\.\.)[^\S\n]+"), joined)
     words = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    held = F.regexp_replace(soft, rf"(?i)(?<![\p{{L}}\p{{N}}.])({words})\s+", "$1\u0001")
+    held = F.regexp_replace(held, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}.])({words})[^\S\n]+"), joined)
     parts = F.split(held, r"\n{2,}|(?<=[.!?])\s+")
     return F.filter(F.transform(parts, lambda s: F.btrim(F.replace(s, F.lit("\u0001"), F.lit(" ")))), lambda s: s != "")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import MARKER, sentences, splice, split_words, window
 from citeloom.operators.graph import by_hash
+from citeloom.plans.checkpoint import sized_broadcast, written
 
 
 def contexts(papers: DataFrame, targets: DataFrame, citing: DataFrame | None = None, k: int = 1) -> DataFrame:
@@ -36,19 +37,21 @@ def good_context(joined: Column, min_tokens: int = 10) -> Column:
 def select_contexts(rows: DataFrame, n: int = 20, method: str = "random", group: str = "cited", item: str = "citing", distance: str | None = None, order: str = "nearest", text: str | None = None, strict: bool = False, seed: str = "contexts") -> DataFrame:
     """At most n contexts of each group: the nearest (or farthest) by distance, or n at random of those of good quality.
 
-    Groups of at most n contexts are kept whole, or dropped with strict. Ranks at most n are cut before the shuffle.
+    Groups of at most n contexts are kept whole, whatever their quality, or dropped with strict.
     """
     if method not in ("random", "graph_embedding_distance") or order not in ("nearest", "farthest"):
         raise ValueError("method is random or graph_embedding_distance; order is nearest or farthest")
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    small, large = rows.join(sizes.where(F.col("_size") <= n), group, "left_semi"), rows.join(sizes.where(F.col("_size") > n), group, "left_semi")
     if method == "random":
-        large = large.where(good_context(F.col(text))) if text else large
         by = [by_hash(seed, group, item), F.col(item)]
+        good = good_context(F.col(text)) if text else F.lit(True)
     else:
         by = [F.col(distance).asc() if order == "nearest" else F.col(distance).desc(), F.col(item)]
-    top = large.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("_n") <= n).drop("_n")
-    return top if strict else top.unionByName(small)
+        good = F.lit(True)
+    # Only a group's size decides how it is cut: counted map-side, joined back, and ranks beyond n go before the shuffle.
+    sizes = sized_broadcast(written(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), "sizes"))
+    sized = rows.join(sizes, group).withColumn("_large", F.col("_size") > n)
+    sized = sized.where(F.col("_large") & good) if strict else sized.where(~F.col("_large") | good)
+    return sized.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("_n") <= n).select(*rows.columns)
 
 
 def augment(documents: DataFrame, added: DataFrame) -> DataFrame:
@@ -70,3 +73,13 @@ def augment(documents: DataFrame, added: DataFrame) -> DataFrame:
     by_context = bounds(F.transform("_c", lambda c: F.size(F.flatten(c))))
     words = F.concat("words", F.flatten(flat))
     return rows.withColumn("sentences", F.concat("sentences", by_sentence)).withColumn("sections", F.concat("sections", by_context)).withColumn("words", words).withColumn("citances", F.array("_n", F.size("words"))).drop("_c", "_n", "contexts")
+
+
+def augmented_corpus(splits: DataFrame, added: DataFrame, untouched: tuple[str, ...] = ("dev",)) -> DataFrame:
+    """augment() of all splits but the untouched, which pass as they are and have null citances.
+
+    splits: the columns of augment() and split. added: doc_id, contexts.
+    """
+    changed = augment(splits.where(~F.col("split").isin(*untouched)), added)
+    same = splits.where(F.col("split").isin(*untouched)).withColumn("citances", F.lit(None).cast("array<int>"))
+    return changed.unionByName(same.select(*changed.columns))

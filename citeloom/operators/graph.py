@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.linkage import dense_rank_from_zero
-from citeloom.plans.checkpoint import written
+from citeloom.plans.checkpoint import cached, sized_broadcast, written
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -22,24 +22,41 @@ def adjacency(edges: DataFrame, ordinal: str) -> DataFrame:
     return edges.groupBy("src").agg(F.transform(items, lambda x: x["dst"]).alias("list"))
 
 
-def expand(out_edges: DataFrame, in_edges: DataFrame, seeds: DataFrame, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+def from_lists(rows: DataFrame, key: str, items: str) -> DataFrame:
+    """(src, dst) from adjacency lists; rows without a key and lists that are null or empty give nothing."""
+    listed = rows.where(F.col(key).isNotNull() & (F.coalesce(F.size(items), F.lit(0)) > 0))
+    return listed.select(F.col(key).alias("src"), F.explode(items).alias("dst"))
+
+
+def expand(out_edges: DataFrame, in_edges: DataFrame, seeds: DataFrame, radius: int = 2, folder: str | None = None, inputs: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes with hop, edges of expanded nodes): bounded breadth-first search over both directions.
 
     seeds: node. Only the newly found nodes are joined in the next round (semi-naive), and each round is a written table.
-    Edges are those of nodes at a distance below radius, with their direction.
+    Edges are those of nodes at a distance below radius, with their direction. The edge tables are scanned once a round:
+    pass written ones if they are costly to make. A frontier of checked size is broadcast; a larger one is shuffled. With
+    folder, rounds are kept there under a hash of inputs (all that the edges and seeds depend on), and a later call, also
+    with another radius, goes on from the last finished round.
     """
     if radius < 1:
         raise ValueError("the radius must be at least 1")
-    frontier = written(seeds.select("node").distinct().withColumn("hop", F.lit(0)), "hop0")
-    seen, kept = frontier, None
+    if folder and inputs is None:
+        raise ValueError("name the inputs of the rounds that are kept")
+    spark = seeds.sparkSession
+
+    def kept(name: str, build):
+        return cached(spark, folder, build, {**inputs, "round": name}) if folder else written(build(), name)
+
+    frontier = kept("hop0", lambda: seeds.select("node").where("node is not null").distinct().withColumn("hop", F.lit(0)))
+    seen, found = frontier, None
     both = out_edges.select("src", "dst", F.lit("out").alias("direction")).unionByName(in_edges.select("src", "dst", F.lit("in").alias("direction")))
     for hop in range(1, radius + 1):
-        found = written(both.join(frontier.select(F.col("node").alias("src")), "src", "left_semi"), f"edges{hop}")
-        kept = found if kept is None else kept.unionByName(found)
-        new = found.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = written(new.withColumn("hop", F.lit(hop)), f"hop{hop}")
+        ends = frontier.select(F.col("node").alias("src"))
+        of_round = kept(f"edges{hop}", lambda ends=ends: both.join(sized_broadcast(ends), "src", "left_semi"))
+        found = of_round if found is None else found.unionByName(of_round)
+        new = lambda edges=of_round, seen=seen, hop=hop: edges.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = kept(f"hop{hop}", new)
         seen = seen.unionByName(frontier)
-    return seen, kept
+    return seen, found
 
 
 def candidates(*graphs: DataFrame) -> DataFrame:
@@ -70,9 +87,9 @@ def by_hash(seed: str, *cols: str) -> Column:
     return F.md5(F.concat_ws("\t", F.lit(seed), *[F.col(c).cast("string") for c in cols]))
 
 
-def ranked(rows: DataFrame, key: Column, out: str) -> DataFrame:
-    """rows ranked from 1 by a hexadecimal digest, in buckets of its first two digits."""
-    rows = rows.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, 2))
+def ranked(rows: DataFrame, key: Column, out: str, digits: int = 3) -> DataFrame:
+    """rows ranked from 1 by a hexadecimal digest, in 16 ** digits buckets of its first digits. rows must not have _ columns."""
+    rows = rows.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, digits))
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
@@ -88,29 +105,35 @@ def split_edges(edges: DataFrame, train: float = 0.95, test: float = 0.025, seed
     return rows.withColumn("split", split).drop("_rank", "_n")
 
 
-def negative_edges(edges: DataFrame, positives: DataFrame, nodes: int, times: int = 5, seed: str = "negative", strict: bool = False) -> DataFrame:
+def negative_edges(edges: DataFrame, positives: DataFrame, nodes: int, times: int = 5, seed: str = "negative", strict: bool = False, directed: bool = False) -> DataFrame:
     """times as many non-edges as positives, src and dst drawn by hash from 1 to nodes.
 
-    Each draw has attempts 0, 1, ... in rounds of 8, 16, 32 and so on, of which the first that is no edge is taken; only
+    Each draw has attempts 0, 1, ... in rounds of 1, 8, 16, 32 and so on, of which the first that is no edge is taken; only
     draws that are still open get a further round. A draw whose source has no non-neighbour at all gets no row, and a
-    warning counts such draws. By default both directions and self-pairs are excluded; strict only excludes the drawn
-    direction.
+    warning counts such draws. By default both directions and self-pairs are excluded; directed excludes only the drawn
+    direction and self-pairs, strict only the drawn direction. edges may be any table; both it and positives are read
+    several times, so pass written ones.
     """
     number = lambda *of: F.conv(F.substring(F.md5(F.concat_ws("\t", F.lit(seed), *of)), 1, 12), 16, 10).cast("long") % nodes + 1
     draws = ranked(positives, by_hash(seed, "src", "dst"), "_at").select(F.explode(F.sequence((F.col("_at") - 1) * times + 1, F.col("_at") * times)).alias("draw"))
     still = written(draws.select("draw", number(F.lit("src"), F.col("draw").cast("string")).alias("src")), "draws")
-    known = written(edges.select("src", "dst").distinct() if strict else undirected(edges), "known")
-    others = known if strict else known.where("src <> dst")
-    taken, first, size = None, 0, 8
+    known = edges.select("src", "dst").distinct() if strict or directed else undirected(edges)
+    taken, first, size = None, 0, 1
     while True:
         pairs = still.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + size - 1))))
         pairs = pairs.select("draw", "attempt", "src", number(F.lit("dst"), F.col("draw").cast("string"), F.col("attempt").cast("string")).alias("dst"))
-        free = (pairs if strict else pairs.where("src <> dst")).join(known, ["src", "dst"], "left_anti")
+        pairs = pairs if strict else pairs.where("src <> dst")
+        if strict or directed:
+            free = pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+        else:  # each edge is looked up once, whichever way it is stored
+            ends = [F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")]
+            free = pairs.select("*", *ends).join(edges.select(*ends), ["_a", "_b"], "left_anti")
         hits = written(free.groupBy("draw", "src").agg(F.min_by("dst", "attempt").alias("dst")), f"free{first}")
         taken = hits if taken is None else taken.unionByName(hits)
         still = written(still.join(hits.select("draw"), "draw", "left_anti"), f"open{first}")
-        if not first and not still.isEmpty():
-            linked = others.where(F.col("dst").between(1, nodes)).groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
+        if first == 1 and not still.isEmpty():
+            others = known if strict else known.where("src <> dst")
+            linked = others.where(F.col("dst").between(1, nodes)).join(sized_broadcast(still.select("src")), "src", "left_semi").groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
             still = still.join(linked, "src", "left").withColumn("_full", F.coalesce("_n", F.lit(0)) >= nodes - (0 if strict else 1))
             full = still.where("_full").count()
             if full:
@@ -118,4 +141,22 @@ def negative_edges(edges: DataFrame, positives: DataFrame, nodes: int, times: in
             still = written(still.where("not _full").select("draw", "src"), "open")
         if still.isEmpty():
             return taken.select("draw", "src", "dst", F.lit(0).alias("label"))
-        first, size = first + size, 2 * size
+        first, size = first + size, 8 if size == 1 else 2 * size
+
+
+def training_export(edges: DataFrame, ordinal: str, train: float = 0.95, test: float = 0.025, times: int = 5, directed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(numbering, lines): nodes numbered by first appearance, and the edge lists that an embedding trainer reads.
+
+    edges: src, dst, ordinal, in citing direction. lines: split, src, dst, label. Edges are made canonical, or kept as they
+    point with directed; train and val have positives only, test has them with label 1 and times as many non-edges with
+    label 0. sinks.edge_files() writes lines.
+    """
+    edges = written(edges.select("src", "dst", ordinal), "edges")
+    numbers = written(number_nodes(edges, ordinal), "numbers")
+    named = lambda end, out: numbers.select(F.col("node").alias(end), F.col("node_id").alias(out))
+    pairs = edges.join(named("src", "a"), "src").join(named("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    pairs = written(pairs.distinct() if directed else canonical(pairs), "numbered")
+    split = written(split_edges(pairs, train, test), "split")
+    drawn = negative_edges(pairs, split.where("split = 'test'").select("src", "dst"), max(1, numbers.count()), times, directed=directed)
+    lines = split.select("split", "src", "dst", F.lit(1).alias("label")).unionByName(drawn.select(F.lit("test").alias("split"), "src", "dst", "label"))
+    return numbers, lines

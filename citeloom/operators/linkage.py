@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.plans.checkpoint import written
+from citeloom.plans.checkpoint import sized_broadcast, written
 
 # Two target ids that are known to be bad, and what replaces them.
 KNOWN_BAD = {
@@ -41,8 +42,12 @@ def link_or_fetch(ids: DataFrame, links: DataFrame, fetched: DataFrame, columns:
 
 
 def or_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str) -> DataFrame:
-    """Pairs that agree on any usable key: one equi-join for each key, made distinct (an OR would be a nested loop)."""
-    parts = [left.where(usable(F.col(k).cast("string"))).join(right, k).select(left_id, right_id) for k in keys]
+    """Pairs that agree on any usable key: one equi-join for each key, made distinct (an OR would be a nested loop).
+
+    left and right have all keys and an id each; the ids' names must differ.
+    """
+    narrow = lambda rows, id_, k: rows.select(F.col(id_).alias("_left" if rows is left else "_right"), F.col(k).alias("_key"))
+    parts = [narrow(left, left_id, k).where(usable(F.col("_key").cast("string"))).join(narrow(right, right_id, k), "_key").select(F.col("_left").alias(left_id), F.col("_right").alias(right_id)) for k in keys]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -54,9 +59,10 @@ def priority_match(catalogue: DataFrame, targets: DataFrame, keys: Sequence[str]
 
     Per key value the last target (by id) holds the lookup. Each round accepts the pairs of which each is the other's best:
     for a target the smallest row, for a row the smallest priority; accepted rows and targets leave. Every round takes at
-    least the first live row, and dense collisions need few rounds. Candidates are the small result of equi-joins.
+    least the first live row, and dense collisions need few rounds; a chain in which every row waits for the one before
+    needs a round for each link. Candidates are the small result of equi-joins. Rows and targets without an id are skipped.
     """
-    parts = []
+    catalogue, targets, parts = catalogue.where(F.col(row).isNotNull()), targets.where(F.col(target).isNotNull()), []
     for priority, key in enumerate(keys):
         lookup = targets.where(usable(F.col(key).cast("string"))).groupBy(key).agg(F.max(target).alias("target"))
         parts.append(catalogue.select(F.col(row).alias("row"), key).join(lookup, key).select("row", "target", F.lit(priority).alias("priority")))
@@ -70,11 +76,21 @@ def priority_match(catalogue: DataFrame, targets: DataFrame, keys: Sequence[str]
         best = live.withColumn("_t", F.row_number().over(by_target)).withColumn("_r", F.row_number().over(by_row))
         new = written(best.where("_t = 1 and _r = 1").select("row", "target", "priority"), "accepted")
         accepted.append(new)
+        if len(accepted) == 16:  # a long chain must not grow the plan
+            accepted = [written(reduce(DataFrame.unionByName, accepted), "accepted")]
         live = written(live.join(new.select("row"), "row", "left_anti").join(new.select("target"), "target", "left_anti"), "candidates")
-    out = accepted[0] if accepted else live
-    for part in accepted[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, accepted) if accepted else live
+
+
+def forward_mapping(matches: DataFrame, target: str = "target", row: str = "row") -> DataFrame:
+    """(target, row): which catalogue row each target was matched to."""
+    return matches.select(target, row)
+
+
+def inverse_mapping(matches: DataFrame, catalogue: DataFrame, row: str, paper: str, target: str = "target") -> DataFrame:
+    """(paper, target) of matches (row, target): a paper id that several matched rows share maps to the last of them."""
+    named = matches.join(catalogue.select(F.col(row).alias("row"), paper), "row")
+    return named.groupBy(paper).agg(F.max_by(target, "row").alias(target))
 
 
 def chained_lookup(rows: DataFrame, key: str, tables: Sequence[DataFrame], out: str, missing=-1) -> DataFrame:
@@ -111,11 +127,23 @@ def first_copies(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     return dense_rank_from_zero(first, ordinal, "line")
 
 
-def dense_rank_from_zero(rows: DataFrame, ordinal: str, out: str, parts: int = 256) -> DataFrame:
-    """rows with their rank by a numeric, unique ordinal, by counts of equal-width ranges and ranks inside them."""
-    span = rows.agg(F.min(ordinal).alias("_low"), F.max(ordinal).alias("_high"))
-    part = F.floor((F.col(ordinal) - F.col("_low")) * parts / (F.col("_high") - F.col("_low") + 1)).cast("int")
-    placed = rows.join(F.broadcast(span), F.lit(True)).withColumn("_part", part).drop("_low", "_high")
+def places(rows: DataFrame, group: str, ordinal: str) -> DataFrame:
+    """rows with place, their rank from 0 inside their group by a unique ordinal, without a task for a whole group.
+
+    Rows are ranked over all groups in (group, ordinal) order, and each group's smallest rank is taken off. Null groups are
+    a group.
+    """
+    key = F.struct(F.col(group), F.col(ordinal)).alias("_at")
+    ranked = written(dense_rank_from_zero(rows.select("*", key), "_at", "place").drop("_at"), "places")
+    first = ranked.groupBy(group).agg(F.min("place").alias("_first")).select(F.col(group).alias("_group"), "_first")
+    found = ranked.join(sized_broadcast(written(first, "first-places")), F.col(group).eqNullSafe(F.col("_group")))
+    return found.withColumn("place", F.col("place") - F.col("_first")).select(*rows.columns, "place")
+
+
+def dense_rank_from_zero(rows: DataFrame, ordinal: str, out: str) -> DataFrame:
+    """rows with their rank by a unique ordinal: rows are range-sorted, which samples for even ranges whatever the values,
+    written with the number of their range, and ranked inside it on top of the counts of the ranges before."""
+    placed = written(rows.repartitionByRange(ordinal).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(ordinal)) - 1

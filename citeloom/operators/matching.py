@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,27 +12,33 @@ from pyspark.sql import types as T
 from citeloom.plans.checkpoint import written
 
 
-def first_places(rows: DataFrame, text: str, phrases: DataFrame, max_phrases: int = 20_000, max_chars: int = 2_000_000) -> DataFrame:
+def first_places(rows: DataFrame, text: str, phrases: DataFrame, max_phrases: int = 20_000, max_chars: int = 2_000_000, keep: list[str] | None = None) -> DataFrame:
     """rows once for each phrase that text contains, with phrase and at, the code point (from 0) where it first stands.
 
+    keep: the columns of rows to return, by default all; others, such as the text, don't leave the tasks. rows must have no
+    column named phrase or at among them.
+
     phrases: phrase. One Aho-Corasick automaton reads each text once, whatever the number of phrases, where a join on
     contains() would be a nested loop. A task gets about max_phrases phrases or max_chars characters of them; more
-    are dealt by hash into parts, each of which is a pass over rows. Null and empty phrases stand
-    nowhere; null texts hold nothing.
+    are dealt by hash into parts, each of which is a pass over rows. The phrases of a part travel with its tasks; the
+    driver holds all of them once. Null and empty phrases stand nowhere; null texts hold nothing.
     """
+    keep = list(rows.columns) if keep is None else keep
+    if {"phrase", "at"} & set(keep):
+        raise ValueError("rows have a column named phrase or at: rename it, or leave it out of keep")
     known = written(phrases.select("phrase").where("phrase <> ''").distinct(), "phrases")
     n, chars = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("phrase")), F.lit(0))).first()
     parts = max(1, -(-n // max_phrases), -(-chars // max_chars))
-    schema = T.StructType([*rows.schema.fields, T.StructField("phrase", T.StringType()), T.StructField("at", T.IntegerType())])
-    out = None
-    for part in range(parts):
-        words = [r["phrase"] for r in known.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part).collect()]
-        found = rows.mapInArrow(_finder(words, rows.columns.index(text), schema.names), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("phrase", T.StringType()), T.StructField("at", T.IntegerType())])
+    dealt: list[list[str]] = [[] for _ in range(parts)]
+    for r in known.select("phrase", F.pmod(F.xxhash64("phrase"), F.lit(parts)).cast("int").alias("part")).toLocalIterator():
+        dealt[r["part"]].append(r["phrase"])
+    # The text comes first, under a position of its own, as it may or may not be among keep.
+    narrow = rows.select(F.col(text).alias("_text"), *keep)
+    return reduce(DataFrame.unionByName, [narrow.mapInArrow(_finder(words, schema.names), schema) for words in dealt])
 
 
-def _finder(words: list[str], column: int, names: list[str]):
+def _finder(words: list[str], names: list[str]):
     def run(batches):
         import ahocorasick
 
@@ -40,7 +48,7 @@ def _finder(words: list[str], column: int, names: list[str]):
         automaton.make_automaton()
         for batch in batches:
             row, phrase, at = [], [], []
-            for i, value in enumerate(batch.column(column)):
+            for i, value in enumerate(batch.column(0)):
                 text = value.as_py()
                 if text and words:
                     seen: dict[str, int] = {}
@@ -50,6 +58,6 @@ def _finder(words: list[str], column: int, names: list[str]):
                     phrase += seen.keys()
                     at += seen.values()
             kept = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(phrase, pa.string()), pa.array(at, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([*kept.columns[1:], pa.array(phrase, pa.string()), pa.array(at, pa.int32())], names)
 
     return run

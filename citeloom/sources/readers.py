@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.plans.checkpoint import hadoop_path
 from citeloom.sources import schemas
 
 KINDS = {"metadata": "metadata", "full_text": "pdf_parses"}
@@ -25,10 +28,20 @@ def shard_id(path: Column, kind: str = "metadata") -> Column:
 
 
 def shards(spark: SparkSession, folder: str, kind: str = "metadata", limit: int | None = None) -> DataFrame:
-    """All shards of a folder with shard_id; limit keeps the first so many by number. Each gzip file is one task."""
+    """All shards of a folder with shard_id; limit keeps the first so many by number, whatever the numbers are.
+
+    Each gzip file is one task. The files are listed by the store that Spark reads, and with limit only those kept are read.
+    """
     schema = schemas.METADATA if kind == "metadata" else schemas.FULL_TEXT
-    rows = json_lines(spark, f"{folder}/*.jsonl.gz", schema).withColumn("shard_id", shard_id(F.col("_metadata.file_path"), kind))
-    return rows if limit is None else rows.where(F.col("shard_id") < limit)
+    store, path = hadoop_path(spark, f"{folder.rstrip('/')}/*.jsonl.gz")
+    files = [status.getPath().toString() for status in store.globStatus(path) or []]
+    numbers = {file: re.search(rf"{KINDS[kind]}_(\d+)\.jsonl\.gz$", file) for file in files}
+    if odd := [file for file, number in numbers.items() if not number]:
+        raise ValueError(f"not a shard path: {odd[0]}")
+    files = sorted(files, key=lambda file: int(numbers[file][1]))[:limit]
+    if not files:
+        return spark.createDataFrame([], f"{schema}, shard_id int")
+    return json_lines(spark, files, schema).withColumn("shard_id", shard_id(F.col("_metadata.file_path"), kind))
 
 
 def commands(spark: SparkSession, path: str) -> DataFrame:
@@ -60,3 +73,8 @@ def key_values(spark: SparkSession, path: str, value: str = "string") -> DataFra
 def embeddings(spark: SparkSession, path: str) -> DataFrame:
     """(name, embedding) from Parquet; pickles are not read."""
     return spark.read.parquet(path).select(F.col("name").cast("string").alias("name"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def sparse_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, term, weight) of a matrix in long form."""
+    return spark.read.schema("doc string, term string, weight double").parquet(path)
