@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
 from citeloom.operators import citances, graph, linkage, matching, text, vectors
+from citeloom.plans.checkpoint import scratch_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,10 +77,7 @@ def link_or_fetch(s, d):
 @query(f"WITH {P}, {T} SELECT DISTINCT t.paper_id AS target_id, p.paper_id FROM t JOIN p ON (t.paper_id = p.paper_id OR t.hash = p.hash OR (t.title = p.title AND t.title <> ''))")
 def or_match(s, d):
     left = targets(s, d).select(F.col("paper_id").alias("target_id"), "paper_id", "hash", "title")
-    right = papers(s, d).select("paper_id", "hash", "title")
-    by = lambda k: right.select(F.col("paper_id").alias("found"), k) if k != "paper_id" else right.select("paper_id", F.col("paper_id").alias("found"))
-    parts = [linkage.or_match(left.select("target_id", k), by(k), [k], "target_id", "found") for k in ("paper_id", "hash", "title")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct().withColumnRenamed("found", "paper_id")
+    return linkage.or_match(left, papers(s, d).select(F.col("paper_id").alias("found"), "paper_id", "hash", "title"), ["paper_id", "hash", "title"], "target_id", "found").withColumnRenamed("found", "paper_id")
 
 
 @query(f"""WITH RECURSIVE {P}, {T}, pk AS (SELECT ord, [hash, lang || '|' || n_chars, title] AS ks FROM p), tk AS (SELECT ord, [hash, lang || '|' || n_chars, title] AS ks FROM t),
@@ -95,6 +93,20 @@ def priority_match(s, d):
     return linkage.priority_match(rows(papers(s, d)), rows(targets(s, d)), ["hash", "shape", "title"], "ord", "ord")
 
 
+_MATCHED = ORACLE_SQL["priority_match"]
+
+
+@query(_MATCHED.replace("SELECT row, target, priority FROM st WHERE target IS NOT NULL", "SELECT target, row FROM st WHERE target IS NOT NULL"))
+def forward_mapping(s, d):
+    return linkage.forward_mapping(priority_match(s, d))
+
+
+@query(_MATCHED.replace("SELECT row, target, priority FROM st WHERE target IS NOT NULL", "SELECT p.hash, arg_max(target, row) AS target FROM st JOIN p ON p.ord = st.row WHERE target IS NOT NULL GROUP BY p.hash"))
+def inverse_mapping(s, d):
+    """The text's hash stands for the paper id, since several rows share it."""
+    return linkage.inverse_mapping(priority_match(s, d), papers(s, d), "ord", "hash")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def semi_filter(s, d):
     return table(s, d, "orders").select("o_orderkey", "o_custkey").join(table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
@@ -105,10 +117,10 @@ def anti_filter(s, d):
     return table(s, d, "orders").select("o_orderkey", "o_custkey").join(table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti")
 
 
-@query(f"WITH {P} SELECT shard, string_agg(paper_id, ',' ORDER BY ord) AS paper_ids FROM p GROUP BY shard")
+@query(f"WITH {P} SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY ord) - 1 AS place, paper_id FROM p")
 def shard_index(s, d):
-    items = F.array_sort(F.collect_list(F.struct("ord", "paper_id")))
-    return papers(s, d).groupBy("shard").agg(F.array_join(F.transform(items, lambda x: x["paper_id"]), ",").alias("paper_ids"))
+    """Each shard's papers in scan order, as rows: a shard may hold a large part of all papers, so a list would be one value."""
+    return linkage.places(papers(s, d).select("shard", "ord", "paper_id"), "shard", "ord").select("shard", "place", "paper_id")
 
 
 @query("SELECT source AS shard, count(*) AS searched, count(l.doc_id) AS hits, sum(n_chars)::BIGINT AS chars FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
@@ -117,9 +129,13 @@ def shard_hits(s, d):
     return rows.groupBy(F.col("source").alias("shard")).agg(F.count(F.lit(1)).alias("searched"), F.count("hit").alias("hits"), F.sum("n_chars").alias("chars"))
 
 
-@query(f"WITH {P} SELECT paper_id, title FROM p")
+@query("SELECT doc_id::VARCHAR AS paper_id, array_to_string(list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '\\s+'), lambda w: w <> ''), ' ') AS title FROM documents")
 def title_first_line(s, d):
-    return papers(s, d).select("paper_id", "title")
+    """The first sentence's words; lines stand for sentences, and the whole text for a section."""
+    lines = F.transform(F.split("text", "\n"), X.split_words)
+    rows = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.slice(lines, 1, 1).alias("lines"), F.length("text").alias("n"))
+    sentences, sections = F.array(F.array(F.lit(0), F.size(F.get("lines", F.lit(0))))), F.array(F.array(F.lit(0), F.col("n")))
+    return rows.select("paper_id", X.title(F.flatten("lines"), sentences, sections).alias("title"))
 
 
 _ID = list(linkage.KNOWN_BAD.items())
@@ -138,35 +154,50 @@ def field_audit(s, d):
 
 
 def _seeds(s, d):
-    return edges(s, d).where(F.col("ord") < 5 * 100_000_000).select(F.col("src").alias("node")).distinct()
+    """All orders of the customers of one segment, as far as they have edges: a target set that grows with the tables."""
+    buyers = table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(s, d, "orders").join(buyers, "o_custkey", "left_semi").join(lines, "o_orderkey", "left_semi").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+
 
+def _graph(s, d):
+    """The edges and their reverse, from one written table."""
+    e = written(edges(s, d).select("src", "dst"), "edges")
+    return e, reverse(e)
 
-_H = f"WITH {E}, {B}, h0 AS (SELECT DISTINCT src AS node FROM e WHERE ord < 500000000), h1 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (FROM h0) AND dst NOT IN (FROM h0)), h2 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (FROM h1) AND dst NOT IN (FROM h0) AND dst NOT IN (FROM h1))"
+
+_SEGMENT = "SELECT 'o' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'"
+_H = f"WITH {E}, {B}, h0 AS (SELECT DISTINCT src AS node FROM e WHERE src IN ({_SEGMENT})), h1 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (FROM h0) AND dst NOT IN (FROM h0)), h2 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (FROM h1) AND dst NOT IN (FROM h0) AND dst NOT IN (FROM h1))"
 
 
 @query(_H + " SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1")
-def bfs_r1(s, d, seeds=_seeds):
-    e = edges(s, d).select("src", "dst")
-    return graph.expand(e, reverse(e), seeds(s, d), 1)[0]
+def bfs_r1(s, d):
+    return graph.expand(*_graph(s, d), _seeds(s, d), 1)[0]
 
 
 @query(_H + " SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2")
-def bfs_r2(s, d, seeds=_seeds):
-    e = edges(s, d).select("src", "dst")
-    return graph.expand(e, reverse(e), seeds(s, d), 2)[0]
+def bfs_r2(s, d):
+    return graph.expand(*_graph(s, d), _seeds(s, d), 2)[0]
+
+
+@query(ORACLE_SQL["bfs_r2"])
+def bfs_resumed(s, d):
+    """A search of radius 1 whose rounds are kept, and one of radius 2 that goes on from them."""
+    folder, inputs = scratch_path(s, "rounds"), {"tables": d, "seeds": "BUILDING"}
+    graph.expand(*_graph(s, d), _seeds(s, d), 1, folder, inputs)
+    return graph.expand(*_graph(s, d), _seeds(s, d), 2, folder, inputs)[0]
 
 
 @query(_H + " SELECT src, dst, CASE WHEN src LIKE 'o%' THEN 'out' ELSE 'in' END AS direction FROM b WHERE src IN (FROM h0) OR src IN (FROM h1)")
-def citation_graph(s, d, seeds=_seeds):
-    e = edges(s, d).select("src", "dst")
-    return graph.expand(e, reverse(e), seeds(s, d), 2)[1]
+def citation_graph(s, d):
+    return graph.expand(*_graph(s, d), _seeds(s, d), 2)[1]
 
 
 @query(_H + " SELECT DISTINCT src AS citing FROM b WHERE src LIKE 'o%' AND dst IN (FROM h1)")
-def citing_set(s, d, seeds=_seeds):
-    e = edges(s, d).select("src", "dst")
-    nodes, _ = graph.expand(e, reverse(e), seeds(s, d), 1)
-    return e.join(nodes.where("hop = 1").select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("citing")).distinct()
+def citing_set(s, d):
+    out, back = _graph(s, d)
+    nodes, _ = graph.expand(out, back, _seeds(s, d), 1)
+    return out.join(nodes.where("hop = 1").select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("citing")).distinct()
 
 
 @query(f"WITH {E}, {B} SELECT src, dst FROM b")
@@ -175,10 +206,10 @@ def undirected_merge(s, d):
 
 
 @query(_H + " SELECT DISTINCT dst AS node FROM b WHERE src IN (FROM h0) OR src IN (FROM h1)")
-def candidate_set(s, d, seeds=_seeds):
-    e = edges(s, d).select("src", "dst")
-    one, two = graph.expand(e, reverse(e), seeds(s, d), 1)[1], graph.expand(e, reverse(e), seeds(s, d), 2)[1]
-    return graph.candidates(one, two)
+def candidate_set(s, d):
+    """The ends of two cached graphs, of radius 1 and 2; the second goes on from the rounds of the first."""
+    folder, inputs, both = scratch_path(s, "rounds"), {"tables": d, "seeds": "BUILDING"}, _graph(s, d)
+    return graph.candidates(*[graph.expand(*both, _seeds(s, d), radius, folder, inputs)[1] for radius in (1, 2)])
 
 
 @query(f"WITH {P}, f AS (SELECT hash, min(ord) AS ord FROM p GROUP BY hash) SELECT hash, ord, row_number() OVER (ORDER BY ord) - 1 AS line FROM f")
@@ -187,35 +218,12 @@ def first_copy_index(s, d):
 
 
 @query(_H + f", n AS (SELECT DISTINCT substr(node, 2)::BIGINT AS id FROM (FROM h1)), p AS (SELECT doc_id, text, md5(text) AS hash FROM documents), f AS (SELECT min(doc_id) AS doc_id FROM p WHERE doc_id IN (FROM n) GROUP BY hash) SELECT doc_id::VARCHAR AS paper_id, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM f")
-def neighbor_texts(s, d, seeds=_seeds):
-    e = edges(s, d).select("src", "dst")
-    nodes, _ = graph.expand(e, reverse(e), seeds(s, d), 1)
-    ids = nodes.where("hop = 1").select(F.substring("node", 2, 30).cast("long").alias("ord"))
+def neighbor_texts(s, d):
+    nodes, _ = graph.expand(*_graph(s, d), _seeds(s, d), 1)
+    ids = nodes.where("hop = 1").select(F.substring("node", 2, 30).cast("long").alias("ord")).distinct()
     return linkage.first_copies(papers(s, d).join(ids, "ord", "left_semi"), "hash", "ord").select(F.col("ord").cast("string").alias("paper_id"), "line")
 
 
-def _segment_seeds(s, d):
-    """All orders of the customers of one segment: a target set that grows with the tables."""
-    buyers = table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(s, d, "orders").join(buyers, "o_custkey", "left_semi").select(F.concat(F.lit("o"), "o_orderkey").alias("node")).join(edges(s, d).select(F.col("src").alias("node")), "node", "left_semi")
-
-
-def _of_segment(f):
-    """f and its SQL from the orders of a segment instead of five seeds, as a query of its own."""
-
-    def whole(s, d):
-        return f(s, d, _segment_seeds)
-
-    whole.__name__ = f"{f.__name__}_segment"
-    few = "FROM e WHERE ord < 500000000"
-    of_segment = "FROM e WHERE src IN (SELECT 'o' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING')"
-    query(ORACLE_SQL[f.__name__].replace(few, of_segment))(whole)
-
-
-for _f in (bfs_r1, bfs_r2, citation_graph, citing_set, candidate_set, neighbor_texts):
-    _of_segment(_f)
-
-
 _N = f"WITH {E}, a AS (SELECT src AS node, ord * 2 AS pl FROM e UNION ALL SELECT dst, ord * 2 + 1 FROM e), f AS (SELECT node, min(pl) AS pl FROM a GROUP BY node), n AS (SELECT node, row_number() OVER (ORDER BY pl) AS node_id FROM f), c AS (SELECT DISTINCT least(x.node_id, y.node_id) AS src, greatest(x.node_id, y.node_id) AS dst FROM e JOIN n x ON x.node = e.src JOIN n y ON y.node = e.dst)"
 _SPLIT = _N + ", r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(chr(9), 'split', src, dst))) AS r, count(*) OVER () AS n FROM c), sp AS (SELECT src, dst, CASE WHEN r <= floor(0.95::DOUBLE * n) THEN 'train' WHEN r <= floor(0.95::DOUBLE * n) + floor(0.025::DOUBLE * n) THEN 'test' ELSE 'val' END AS split FROM r)"
 
@@ -226,7 +234,8 @@ def node_numbering(s, d):
 
 
 def _numbered(s, d):
-    numbers, e = graph.number_nodes(edges(s, d), "ord"), edges(s, d)
+    e = written(edges(s, d), "edges")
+    numbers = written(graph.number_nodes(e, "ord"), "numbers")
     rows = e.join(numbers.select(F.col("node").alias("src"), F.col("node_id").alias("a")), "src").join(numbers.select(F.col("node").alias("dst"), F.col("node_id").alias("b")), "dst")
     return graph.canonical(rows.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
@@ -238,20 +247,27 @@ def edge_canonical(s, d):
 
 @query(_SPLIT + " SELECT split, concat_ws(chr(9), src, dst) AS line FROM sp")
 def edge_split(s, d):
-    return graph.split_edges(_numbered(s, d)).select("split", F.concat_ws("\t", F.col("src").cast("string"), F.col("dst").cast("string")).alias("line"))
+    return graph.split_edges(written(_numbered(s, d), "numbered")).select("split", F.concat_ws("\t", F.col("src").cast("string"), F.col("dst").cast("string")).alias("line"))
 
 
-@query(_SPLIT + """, pos AS (SELECT row_number() OVER (ORDER BY md5(concat_ws(chr(9), 'negative', src, dst))) AS pl FROM sp WHERE split = 'test'), k AS (SELECT count(*) AS k FROM n),
-dr AS (SELECT unnest(range((pl - 1) * 5 + 1, pl * 5 + 1)) AS draw FROM pos), tr AS (SELECT draw, unnest(range(0, 8)) AS attempt FROM dr),
-pr AS (SELECT draw, attempt, ('0x' || substr(md5(concat_ws(chr(9), 'negative', 'src', draw)), 1, 12))::BIGINT % k + 1 AS src, ('0x' || substr(md5(concat_ws(chr(9), 'negative', 'dst', draw, attempt)), 1, 12))::BIGINT % k + 1 AS dst FROM tr, k),
-ok AS (SELECT * FROM pr WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM c WHERE c.src = least(pr.src, pr.dst) AND c.dst = greatest(pr.src, pr.dst)))
-SELECT draw, src, arg_min(dst, attempt) AS dst, 0 AS label FROM ok GROUP BY draw, src""")
-def negative_edges(s, d):
-    from citeloom.plans.checkpoint import written
+def _negatives(known):
+    """Draws whose attempts go on until one is no edge in known (a condition on pr); here no source is linked to all nodes."""
+    number = lambda what: f"('0x' || substr(md5(concat_ws(chr(9), 'negative', {what})), 1, 12))::BIGINT % k + 1"
+    return f""", pos AS (SELECT row_number() OVER (ORDER BY md5(concat_ws(chr(9), 'negative', src, dst))) AS pl FROM sp WHERE split = 'test'), k AS (SELECT count(*) AS k FROM n),
+dr AS (SELECT unnest(range((pl - 1) * 5 + 1, pl * 5 + 1)) AS draw FROM pos),
+pr AS (SELECT draw, 0 AS attempt, {number("'src', draw")} AS src, {number("'dst', draw, 0")} AS dst, k FROM dr, k
+UNION ALL SELECT draw, attempt + 1, src, {number("'dst', draw, attempt + 1")}, k FROM pr WHERE src = dst OR {known})"""
+
+
+_LINKED = "(least(src, dst), greatest(src, dst)) IN (SELECT (c.src, c.dst) FROM c)"
+_DRAWN = _negatives(_LINKED) + f", ng AS (SELECT draw, src, dst FROM pr WHERE NOT (src = dst OR {_LINKED}))"
+
 
-    numbered = written(_numbered(s, d), "numbered")
-    n = numbered.select(F.explode(F.array("src", "dst")).alias("x")).agg(F.max("x")).first()[0] or 1
-    return graph.negative_edges(numbered, graph.split_edges(numbered).where("split = 'test'"), n)
+@query((_SPLIT + _DRAWN + " SELECT draw, src, dst, 0 AS label FROM ng").replace("WITH ", "WITH RECURSIVE ", 1))
+def negative_edges(s, d):
+    split = written(graph.split_edges(written(_numbered(s, d), "numbered")), "split")
+    n = split.select(F.explode(F.array("src", "dst")).alias("x")).agg(F.max("x")).first()[0] or 1
+    return graph.negative_edges(split, split.where("split = 'test'").select("src", "dst"), n)
 
 
 _PUNCT = X.PUNCTUATION.replace("'", "''")
@@ -264,8 +280,6 @@ def _counts(s, d):
 
 
 def _weights(s, d):
-    from citeloom.plans.checkpoint import written
-
     counts = written(_counts(s, d), "terms")
     return text.tf_idf(counts, text.vocabulary(counts), table(s, d, "documents"))
 
@@ -277,8 +291,9 @@ def term_frequencies(s, d):
 
 @query(f"WITH {_TOK} SELECT doc, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM tk GROUP BY doc")
 def token_counts(s, d):
-    t = X.tokens(F.col("text"))
-    return papers(s, d).select(F.col("paper_id").alias("doc"), F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_terms")).where("n_tokens > 0")
+    t = X.tokens(X.join_sections(F.col("body_text")))
+    body = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("text")))
+    return papers(s, d).select("paper_id", body.alias("body_text")).select(F.col("paper_id").alias("doc"), F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_terms")).where("n_tokens > 0")
 
 
 @query(f"WITH {_TOK} SELECT term, df FROM df")
@@ -299,28 +314,17 @@ def tfidf(s, d):
     return _weights(s, d).select("doc", "term", F.round("weight", 6).alias("weight"))
 
 
-_NB = "nb AS (SELECT a.doc_id::VARCHAR AS key, 'out' AS direction, b.doc_id::VARCHAR AS doc FROM documents a JOIN documents b ON a.lang = b.lang AND b.doc_id BETWEEN a.doc_id + 1 AND a.doc_id + 3), nd AS (SELECT * FROM nb UNION ALL SELECT doc, 'in', key FROM nb UNION ALL SELECT key, 'both', doc FROM nb UNION ALL SELECT doc, 'both', key FROM nb)"
+_NB = "nb AS (SELECT a.doc_id::VARCHAR AS key, 'out' AS direction, b.doc_id::VARCHAR AS doc FROM documents a JOIN documents b ON a.lang = b.lang AND b.doc_id BETWEEN a.doc_id + 1 AND a.doc_id + 5), nd AS (SELECT * FROM nb UNION ALL SELECT doc, 'in', key FROM nb UNION ALL SELECT key, 'both', doc FROM nb UNION ALL SELECT doc, 'both', key FROM nb)"
 
 
 @query(f"WITH {_IDF}, {_NB}, u AS (SELECT * FROM nd WHERE doc IN (SELECT doc FROM wt)), k AS (SELECT key, direction, count(*) AS k FROM u GROUP BY ALL), m AS (SELECT key, direction, term, sum(weight) / any_value(k) AS weight FROM u JOIN wt USING (doc) JOIN k USING (key, direction) GROUP BY ALL) SELECT key, direction, term, round(weight, 6) AS weight FROM (SELECT DISTINCT key, direction FROM nd) LEFT JOIN m USING (key, direction)")
 def neighbor_tfidf(s, d):
-    return _neighbor_tfidf(s, d, 3)
-
-
-@query(ORACLE_SQL["neighbor_tfidf"].replace("a.doc_id + 3", "a.doc_id + 5"))
-def neighbor_tfidf_5(s, d):
-    """neighbor_tfidf with the next five ids as neighbours instead of three."""
-    return _neighbor_tfidf(s, d, 5)
-
-
-def _neighbor_tfidf(s, d, reach):
-    from citeloom.plans.checkpoint import written
-
+    """The next five ids of the same language stand for the papers that a paper cites."""
     ids = table(s, d, "documents").select("doc_id", "lang")
-    near = ids.select(F.col("doc_id").cast("string").alias("key"), "lang", F.explode(F.sequence(F.col("doc_id") + 1, F.col("doc_id") + reach)).alias("doc_id")).join(ids, ["doc_id", "lang"])
-    out = near.select("key", F.col("doc_id").cast("string").alias("doc"))
+    near = ids.select(F.col("doc_id").cast("string").alias("key"), "lang", F.explode(F.sequence(F.col("doc_id") + 1, F.col("doc_id") + 5)).alias("doc_id")).join(ids, ["doc_id", "lang"])
+    out = written(near.select("key", F.col("doc_id").cast("string").alias("doc")), "near")
     back = out.select(F.col("doc").alias("key"), F.col("key").alias("doc"))
-    both = graph.undirected(out.select(F.col("key").alias("src"), F.col("doc").alias("dst"))).select(F.col("src").alias("key"), F.col("dst").alias("doc"))
+    both = out.unionByName(back).distinct()
     rows = out.withColumn("direction", F.lit("out")).unionByName(back.withColumn("direction", F.lit("in"))).unionByName(both.withColumn("direction", F.lit("both")))
     return text.neighbour_average(rows, written(_weights(s, d), "weights")).withColumn("weight", F.round("weight", 6))
 
@@ -348,27 +352,30 @@ def _sections(s, d):
 
 
 def _passages(s, d):
-    lines = table(s, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("v")).select(F.btrim(F.lower("v")).alias("variant"), "item_id").where("length(variant) >= 20")
+    lines = table(s, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("v")).select(F.btrim(F.lower("v")).alias("variant"), "item_id").where("variant <> ''")
     return lines.groupBy("variant").agg(F.min("item_id").alias("pos")).select("variant", F.col("pos").cast("string").alias("name"), "pos")
 
 
-@query(f"WITH {_LINES}, w AS (SELECT variant, min(item_id) AS pos FROM v WHERE length(variant) >= 20 GROUP BY variant), h AS (SELECT paper_id, section, min(pos) AS pos FROM ln JOIN w ON contains(lower(ln.text), w.variant) GROUP BY ALL) SELECT DISTINCT paper_id, pos::VARCHAR AS name FROM h")
+@query(f"WITH {_LINES}, w AS (SELECT variant, min(item_id) AS pos FROM v WHERE variant <> '' GROUP BY variant), h AS (SELECT paper_id, section, min(pos) AS pos FROM ln JOIN w ON contains(lower(ln.text), w.variant) GROUP BY ALL) SELECT DISTINCT paper_id, pos::VARCHAR AS name FROM h")
 def dataset_mentions(s, d):
     return text.mentions(_sections(s, d), _passages(s, d))
 
 
-@query("SELECT DISTINCT d.doc_id::VARCHAR AS paper_id, 'reference' AS kind, 'q' || quality AS dataset FROM documents d JOIN labels l USING (doc_id)")
+def _matches(s, d):
+    """Labelled papers as a map to dataset names; toxic ones have an empty list."""
+    names = F.when(F.col("toxic") == 1, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("q"), F.col("quality").cast("string"))))
+    return table(s, d, "labels").select(F.col("doc_id").cast("string").alias("paper_id"), names.alias("names"))
+
+
+@query("SELECT DISTINCT doc_id::VARCHAR AS paper_id, 'reference' AS kind, CASE WHEN toxic <> 1 THEN 'q' || quality END AS dataset FROM labels")
 def reference_mentions(s, d):
-    refs = table(s, d, "labels").select("doc_id", F.array(F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("names"))
-    rows = table(s, d, "documents").select("doc_id").join(refs, "doc_id")
-    return rows.select(F.col("doc_id").cast("string").alias("paper_id"), F.lit("reference").alias("kind"), F.explode("names").alias("dataset")).distinct()
+    return text.references(_matches(s, d), "paper_id", "names").select("paper_id", F.lit("reference").alias("kind"), "dataset")
 
 
-@query(f"WITH {_LINES}, w AS (SELECT variant FROM v WHERE length(variant) >= 20) SELECT doc_id::VARCHAR AS paper_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) OR doc_id::VARCHAR IN (SELECT paper_id FROM ln JOIN w ON contains(lower(ln.text), w.variant))")
+@query(f"WITH {_LINES}, w AS (SELECT variant FROM v WHERE variant <> '') SELECT doc_id::VARCHAR AS paper_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) OR doc_id::VARCHAR IN (SELECT paper_id FROM ln JOIN w ON contains(lower(ln.text), w.variant))")
 def kept_documents(s, d):
-    by_mention = text.mentions(_sections(s, d), _passages(s, d)).select("paper_id")
-    by_reference = table(s, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("paper_id"))
-    return papers(s, d).join(by_mention.unionByName(by_reference), "paper_id", "left_semi").select("paper_id", "n_chars")
+    mentioned = text.mentions(_sections(s, d), _passages(s, d))
+    return text.kept(papers(s, d), "paper_id", mentioned, text.references(_matches(s, d), "paper_id", "names")).select("paper_id", "n_chars")
 
 
 @query("SELECT event_id, CASE json_extract_string(props, '$.k')::INT % 4 WHEN 0 THEN 'p0' WHEN 1 THEN 'p1' WHEN 2 THEN 'p2' END AS link FROM events")
@@ -399,7 +406,25 @@ def citance_window(s, d):
     return rows.select("doc_id", F.col("place").cast("long").alias("place"), F.array_join(X.window(F.col("a"), F.col("place"), 1), "|").alias("ctx"))
 
 
-@query()
+def _sentences(x):
+    """The sentences of an SQL text, by the rules of functions.text.sentences(); abbreviations take two passes, as matches can't overlap."""
+    blank = r"[^\S\n]+"
+    x = f"replace(replace(regexp_replace({x}, '\\n{{2,}}', chr(2), 'g'), chr(10), ' '), chr(2), chr(10) || chr(10))"
+    x = f"regexp_replace({x}, '{blank}(\\S*--\\S*)', chr(1) || '\\1', 'g')"
+    x = f"regexp_replace({x}, '(\\S*--\\S*|\\.\\.\\.){blank}', '\\1' || chr(1), 'g')"
+    words = "|".join(a.replace(".", r"\.") for a in X.ABBREVIATIONS)
+    for _ in range(2):
+        x = f"regexp_replace({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}.])({words}){blank}', '\\1\\2' || chr(1), 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(3), 'g'), '\\n{{2,}}', chr(3), 'g')"
+    return f"list_filter(list_transform(string_split({x}, chr(3)), lambda z: trim(replace(z, chr(1), ' '))), lambda z: z <> '')"
+
+
+_AROUND = f"""WITH {_OFF}, x AS (SELECT 'b' || item_id AS cited, doc_id::VARCHAR AS citing, {_sentences("substr(text, 1, pl) || '[CITE]'")} AS before,
+{_sentences("substr(text, 1, pl) || '[CITE]' || substr(text, pl + len + 1)")} AS marked FROM o)
+SELECT cited, citing, array_to_string(marked[greatest(len(before) - 2, 0) + 1 : least(len(before) + 1, len(marked))], '|') AS context FROM x"""
+
+
+@query(_AROUND)
 def citation_contexts(s, d):
     """Passages of the benchmark inside documents are the citations; the passage is the cited paper."""
     found = _offsets(s, d)
@@ -407,15 +432,20 @@ def citation_contexts(s, d):
     rows = found.groupBy("doc_id").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(span)).alias("spans"))
     bib = F.map_from_entries(F.transform("spans", lambda x: F.struct(x["ref_id"], F.struct(F.concat(F.lit("b"), x["ref_id"]).alias("link")))))
     body = F.array(F.struct("text", F.col("spans").alias("cite_spans")))
-    corpus = rows.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("paper_id"), body.alias("body_text"), bib.alias("bib_entries"))
+    corpus = written(rows.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("paper_id"), body.alias("body_text"), bib.alias("bib_entries")), "corpus")
     cited = table(s, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("paper_id"))
-    return citances.contexts(corpus, cited, k=1).select("cited", "citing", F.array_join("sentences", "|").alias("context"))
+    return citances.contexts(corpus, cited, corpus.select("paper_id"), k=1).select("cited", "citing", F.array_join("sentences", "|").alias("context"))
+
+
+@query(f"SELECT doc_id, len({_sentences('text')}) AS n, md5(array_to_string({_sentences('text')}, '|')) AS digest FROM documents")
+def sentence_split(s, d):
+    parts = X.sentences(F.col("text"))
+    return table(s, d, "documents").select("doc_id", parts.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|").cast("binary")).alias("digest"))
 
 
 @query("SELECT source AS shard, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
 def first_context(s, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(s, d, "documents").select("source", "doc_id", "n_chars", F.row_number().over(w).alias("n")).where("n = 1").select(F.col("source").alias("shard"), "doc_id", "n_chars")
+    return table(s, d, "documents").groupBy(F.col("source").alias("shard")).agg(F.min("doc_id").alias("doc_id"), F.min_by("n_chars", "doc_id").alias("n_chars"))
 
 
 @query("SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 10 AS good FROM conversations")
@@ -456,6 +486,14 @@ def context_topn_random(s, d):
     return citances.select_contexts(edges(s, d), 20, "random", "dst", "src").select("src", "dst")
 
 
+@query("""WITH c AS (SELECT conv_id, conv_id || '/' || turn AS item, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 10 AS good, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+r AS (SELECT conv_id, item, row_number() OVER (PARTITION BY conv_id ORDER BY md5(concat_ws(chr(9), 'contexts', conv_id, item)), item) AS k FROM c WHERE n <= 3 OR good) SELECT conv_id, item FROM r WHERE k <= 3""")
+def context_topn_good(s, d):
+    """Three turns at random of each conversation, of those with ten words or more where there are more than three."""
+    rows = table(s, d, "conversations").select("conv_id", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item"), "text")
+    return citances.select_contexts(rows, 3, "random", "conv_id", "item", text="text").select("conv_id", "item")
+
+
 @query("WITH c AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM conversations) SELECT conv_id, turn, (coalesce(sum(n) OVER w, 0))::BIGINT AS start, (coalesce(sum(n) OVER w, 0) + n)::BIGINT AS stop FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def augment_offsets(s, d):
     rows = table(s, d, "conversations").select("conv_id", "turn", F.size(X.split_words(F.col("text"))).alias("n"))
@@ -475,6 +513,20 @@ def augmented_documents(s, d):
     return out.select("doc_id", F.size("words").alias("n_words"), F.get("citances", F.lit(0)).alias("start"), F.get("citances", F.lit(1)).alias("stop"), F.size("sections").alias("n_sections"))
 
 
+@query("""WITH w AS (SELECT doc_id, lang, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS n FROM documents), c AS (SELECT conv_id AS doc_id, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::INT AS m FROM conversations GROUP BY conv_id)
+SELECT doc_id, CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'dev' ELSE 'test' END AS split, CASE lang WHEN 'fr' THEN n ELSE n + coalesce(m, 0) END AS n_words, CASE WHEN lang <> 'fr' THEN n END AS start, CASE WHEN lang <> 'fr' THEN n + coalesce(m, 0) END AS stop FROM w LEFT JOIN c USING (doc_id)""")
+def augmented_splits(s, d):
+    """Languages stand for splits; French is the dev split, which passes untouched."""
+    turns = table(s, d, "conversations").select("conv_id", "turn", X.split_words(F.col("text")).alias("w"))
+    by = F.transform(F.array_sort(F.collect_list(F.struct("turn", "w"))), lambda x: F.array(x["w"]))
+    added = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(by.alias("contexts"))
+    split = F.when(F.col("lang") == "en", "train").when(F.col("lang") == "fr", "dev").otherwise("test")
+    whole = F.array(F.array(F.lit(0), F.size("words")))
+    docs = table(s, d, "documents").select("doc_id", split.alias("split"), X.split_words(F.col("text")).alias("words"))
+    out = citances.augmented_corpus(docs.select("*", whole.alias("sentences"), whole.alias("sections")), added)
+    return out.select("doc_id", "split", F.size("words").alias("n_words"), F.get("citances", F.lit(0)).alias("start"), F.get("citances", F.lit(1)).alias("stop"))
+
+
 @query("WITH x AS (SELECT d.doc_id, e.embedding::DOUBLE[] AS e FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id), u AS (SELECT unnest(e) AS v, generate_subscripts(e, 1) AS i FROM x), m AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(v) AS m FROM u GROUP BY i)), f AS (SELECT doc_id, unnest(coalesce(e, m)) AS v, unnest(range(64)) AS i, e IS NOT NULL AS found FROM x, m) SELECT doc_id, i::INT AS i, round(v, 6) AS v, found FROM f")
 def embedding_impute(s, d):
     ids = table(s, d, "documents").select("doc_id")
@@ -502,15 +554,21 @@ def task_doc_counts(s, d):
     return table(s, d, "events").groupBy(F.col("event_type").alias("task")).agg(F.countDistinct("user_id").alias("documents"))
 
 
-@query("WITH u AS (SELECT DISTINCT event_type AS task, user_id FROM events) SELECT task, string_agg(user_id::VARCHAR, ',' ORDER BY user_id) AS users FROM u GROUP BY task")
+@query("WITH u AS (SELECT DISTINCT event_type AS task, user_id FROM events) SELECT task, row_number() OVER (PARTITION BY task ORDER BY user_id) - 1 AS place, user_id FROM u")
 def task_groups(s, d):
+    """The users of each task in order, as rows."""
     rows = table(s, d, "events").select(F.col("event_type").alias("task"), "user_id").distinct()
-    return rows.groupBy("task").agg(F.array_join(F.transform(F.array_sort(F.collect_list("user_id")), lambda x: x.cast("string")), ",").alias("users"))
+    return linkage.places(rows, "task", "user_id").select("task", "place", "user_id")
+
 
+_SHORT = "CASE p_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.SHORT_FORMS.items()) + " ELSE array_to_string(list_transform(list_filter(string_split(replace(p_name, ' ', '_'), '_'), lambda p: p <> ''), lambda p: CASE WHEN p = '3D' THEN p ELSE p[1] END), '') END"
 
-@query("SELECT DISTINCT p_name, array_to_string(list_transform(list_filter(string_split(replace(p_name, ' ', '_'), '_'), lambda p: p <> ''), lambda p: CASE WHEN p = '3D' THEN p ELSE p[1] END), '') AS short FROM part")
+
+@query(f"WITH x AS (SELECT DISTINCT p_name FROM part UNION ALL VALUES {', '.join(f'({k!r})' for k in X.SHORT_FORMS)}) SELECT p_name, {_SHORT} AS short FROM x")
 def abbreviations(s, d):
-    return table(s, d, "part").select("p_name").distinct().select("p_name", X.abbreviate(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("short"))
+    """Part names, and the names with fixed short forms."""
+    names = table(s, d, "part").select("p_name").distinct().unionByName(s.createDataFrame([(k,) for k in X.SHORT_FORMS], "p_name string"))
+    return names.select("p_name", X.abbreviate(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("short"))
 
 
 @query("WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat_ws(chr(9), 'background', vec_id))) AS nth, count(*) OVER () AS n FROM embeddings), dr AS (SELECT nth AS draw, ('0x' || substr(md5(concat_ws(chr(9), 'background', nth)), 1, 12))::BIGINT % n + 1 AS nth FROM n WHERE nth <= floor(0.1::DOUBLE * n)) SELECT draw, vec_id FROM dr JOIN n USING (nth)")
@@ -524,10 +582,37 @@ def projection_2d(s, d):
     return out.select("vec_id", F.round(F.abs("x"), 4).alias("x"), F.round(F.abs("y"), 4).alias("y"))
 
 
-@query()
+def _leaders(points):
+    """SQL after points: for each label in ord order, a point within 4 of a leader enlarges the first such, else it leads."""
+    return f"""WITH RECURSIVE {points}, nr AS (SELECT label, x, y, row_number() OVER (PARTITION BY label ORDER BY ord) AS n FROM pt),
+st AS (SELECT DISTINCT label, 0::BIGINT AS n, []::STRUCT(x DOUBLE, y DOUBLE, size DOUBLE)[] AS l FROM nr
+UNION ALL SELECT label, n, CASE WHEN hit IS NULL THEN list_append(l, {{'x': x, 'y': y, 'size': 0.5::DOUBLE}})
+  ELSE list_transform(l, lambda p, i: CASE WHEN i = hit THEN {{'x': p.x, 'y': p.y, 'size': p.size + 0.25::DOUBLE}} ELSE p END) END FROM
+  (SELECT nr.label, nr.n, nr.x, nr.y, st.l, list_position(list_transform(st.l, lambda p: (p.x - nr.x) * (p.x - nr.x) + (p.y - nr.y) * (p.y - nr.y) < 16), true) AS hit FROM st JOIN nr ON nr.label = st.label AND nr.n = st.n + 1)),
+ls AS (SELECT label, unnest(arg_max(l, n)) AS p FROM st GROUP BY label)"""
+
+
+_PLACE = "embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y"
+
+
+def _placed(s, d):
+    return table(s, d, "embeddings").select("vec_id", "label", (F.get("embedding", F.lit(0)).cast("double") * 20).alias("x"), (F.get("embedding", F.lit(1)).cast("double") * 20).alias("y"))
+
+
+@query(_leaders(f"pt AS (SELECT vec_id AS ord, label, {_PLACE} FROM embeddings)") + " SELECT label, p.x AS x, p.y AS y, p.size AS size FROM ls")
 def label_leaders(s, d):
-    rows = table(s, d, "embeddings").select(F.col("vec_id").alias("ord"), "label", (F.get("embedding", F.lit(0)) * 20).cast("double").alias("x"), (F.get("embedding", F.lit(1)) * 20).cast("double").alias("y"))
-    return vectors.label_leaders(rows)
+    return vectors.label_leaders(_placed(s, d).withColumnRenamed("vec_id", "ord"))
+
+
+_TASKED = f"f AS (SELECT user_id AS ord, arg_min(event_type, ts) AS label FROM events GROUP BY user_id), pt AS (SELECT ord, f.label, {_PLACE} FROM f JOIN embeddings ON vec_id = ord)"
+
+
+@query(_leaders(_TASKED) + " SELECT label, array_to_string(list_transform(string_split(label, '_'), lambda w: w[1]), '') AS short, p.x AS x, p.y AS y, p.size AS size FROM ls")
+def plot_labels(s, d):
+    """The places of the labels of a plot: the first event of a user names the label of the vector with the user's id."""
+    tasks = first_task(s, d).select(F.col("user_id").alias("vec_id"), F.col("task").alias("name"))
+    points = _placed(s, d).drop("label").join(tasks, "vec_id").select(F.col("vec_id").alias("ord"), F.col("name").alias("label"), "x", "y")
+    return vectors.plot_labels(points)
 
 
 @query(f"WITH {E} SELECT 't' || o_custkey AS src, dst FROM e JOIN orders ON src = 'o' || o_orderkey WHERE o_orderpriority LIKE '1%'")
@@ -571,7 +656,7 @@ def limited_documents(s, d):
     return first_documents(rows.join(rows.select("shard").distinct().orderBy("shard").limit(2), "shard", "left_semi"), 50, "ord").select("paper_id", "shard")
 
 
-@query("""WITH tg AS (SELECT user_id AS vec_id, arg_min(event_type, ts) AS task FROM events WHERE user_id % 5 = 0 GROUP BY user_id),
+@query("""WITH tg AS (SELECT user_id AS vec_id, arg_min(event_type, ts) AS task FROM events GROUP BY user_id),
 n AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat_ws(chr(9), 'background', vec_id))) AS nth, count(*) OVER () AS n FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM tg)),
 dr AS (SELECT unnest(range(1, floor(0.1::DOUBLE * (SELECT count(*) FROM embeddings))::BIGINT + 1)) AS draw),
 bg AS (SELECT n.vec_id FROM dr, (SELECT DISTINCT n AS k FROM n) JOIN n ON nth = ('0x' || substr(md5(concat_ws(chr(9), 'background', draw)), 1, 12))::BIGINT % k + 1),
@@ -579,17 +664,8 @@ pt AS (SELECT row_number() OVER () AS i, * FROM (SELECT vec_id, task, 'topic of
 x AS (SELECT i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM pt), m AS (SELECT k, avg(v) AS m FROM x GROUP BY k), ds AS (SELECT i, sqrt(sum((v - m) * (v - m))) AS distance FROM x JOIN m USING (k) GROUP BY i)
 SELECT vec_id, task, topic, round(distance, 6) AS distance FROM pt JOIN ds USING (i) WHERE distance < 0.99""")
 def plot_points(s, d):
-    return _points(s, d, table(s, d, "events").where("user_id % 5 = 0"))
-
-
-@query(ORACLE_SQL["plot_points"].replace(" WHERE user_id % 5 = 0", ""))
-def plot_points_all(s, d):
-    """plot_points with every user of events as a target."""
-    return _points(s, d, table(s, d, "events"))
-
-
-def _points(s, d, events):
-    targets = events.groupBy(F.col("user_id").alias("vec_id")).agg(F.min_by("event_type", "ts").alias("task"))
-    topics = table(s, d, "events").select(F.col("event_type").alias("key"), F.concat(F.lit("topic of "), "event_type").alias("value")).distinct()
+    events = table(s, d, "events")
+    targets = first_task(s, d).select(F.col("user_id").alias("vec_id"), "task")
+    topics = events.select(F.col("event_type").alias("key"), F.concat(F.lit("topic of "), "event_type").alias("value")).distinct()
     points = vectors.plot_points(targets, topics, table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", 0.1, 0.99)
     return points.select("vec_id", "task", "topic", F.round("distance", 6).alias("distance"))
