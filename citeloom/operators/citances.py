@@ -1,4 +1,7 @@
-"""Citation contexts: extraction, selection, and augmentation of documents."""
+"""Citation contexts: extraction, selection, and augmentation of documents.
+
+Columns of inputs must not begin with an underscore: such names are used inside.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Citation graphs as edge tables (src, dst)."""
+"""Citation graphs as edge tables (src, dst).
+
+Columns of inputs must not begin with an underscore: such names are used inside.
+"""
 
 from __future__ import annotations
 

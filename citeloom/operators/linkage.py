@@ -1,4 +1,7 @@
-"""Record linkage between target documents and a catalogue."""
+"""Record linkage between target documents and a catalogue.
+
+Columns of inputs must not begin with an underscore: such names are used inside.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Embedding tables: imputation, neighbours, outliers, projection, label positions."""
+"""Embedding tables: imputation, neighbours, outliers, projection, label positions.
+
+Columns of inputs must not begin with an underscore: such names are used inside.
+"""
 
 from __future__ import annotations
 
