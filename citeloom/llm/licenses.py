@@ -21,7 +21,15 @@ NOTICES = {
     "public domain": ("public-domain", 0.5), "all rights reserved": ("proprietary", 0.6), "boost software license": ("bsl", 0.9), "the unlicense": ("unlicense", 0.7),
 }
 TAG = "spdx-license-identifier:"
-BASE_SURE, TAG_SURE = 0.8, 0.95
+# Identifiers of licences and of exceptions, in lower case; the older short forms leave open which version holds.
+KNOWN = frozenset(
+    "0bsd agpl-3.0-only agpl-3.0-or-later apache-1.1 apache-2.0 artistic-2.0 bsd-2-clause bsd-3-clause bsl-1.0 cc-by-3.0 cc-by-4.0 cc-by-nc-4.0 "
+    "cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 epl-1.0 epl-2.0 eupl-1.2 gpl-2.0-only gpl-2.0-or-later gpl-3.0-only gpl-3.0-or-later isc "
+    "lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0-only lgpl-3.0-or-later mit mit-0 mpl-1.1 mpl-2.0 ms-pl ofl-1.1 postgresql python-2.0 unlicense wtfpl zlib".split()
+)
+OLDER = frozenset("agpl-3.0 gpl-1.0 gpl-2.0 gpl-2.0+ gpl-3.0 gpl-3.0+ lgpl-2.0 lgpl-2.1 lgpl-2.1+ lgpl-3.0 lgpl-3.0+ bsd".split())
+EXCEPTIONS = frozenset("autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 classpath-exception-2.0 gcc-exception-3.1 linux-syscall-note llvm-exception openssl-exception".split())
+BASE_SURE, KNOWN_SURE, OLDER_SURE, EXCEPTION_SURE, UNKNOWN_SURE = 0.8, 0.95, 0.9, 0.85, 0.5
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
@@ -71,13 +79,21 @@ def parse(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+def degree(identifier: str) -> float:
+    """How sure it is what an identifier names: a licence, an older short form of one, an exception, or something unknown."""
+    for known, sure in ((KNOWN, KNOWN_SURE), (OLDER, OLDER_SURE), (EXCEPTIONS, EXCEPTION_SURE)):
+        if identifier in known:
+            return sure
+    return UNKNOWN_SURE
+
+
 def evaluate(rpn: list[str], granted: Mapping[str, float], default: float = 0.0) -> float:
-    """The degree to which an expression holds: and is the least, or the greatest, with keeps its licence's degree."""
+    """The degree to which an expression holds: or is the greater of its sides; and, and a licence with its exception, the lesser."""
     stack: list[float] = []
     for token in rpn:
         if token in _POWER:
             b, a = stack.pop(), stack.pop()
-            stack.append(min(a, b) if token == "and" else max(a, b) if token == "or" else a)
+            stack.append(max(a, b) if token == "or" else min(a, b))
         else:
             stack.append(granted.get(token, default))
     return stack[0]
@@ -113,7 +129,7 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
     phrases, tags = _automata()
     words = text_words(text)
     line = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-    starts, base, more, doubt = [], set(), {}, 1.0
+    starts, base, more, tagged = [], set(), {}, {}
     for end, phrase in phrases.iter(line):
         if phrase in BASE:
             starts.append(end - len(phrase) - 1)
@@ -125,14 +141,14 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
     if TAG[:5].encode() in low:
         for end, _ in tags.iter(low.decode("utf-8", "surrogatepass")):
             if rpn := parse(text[end + 1 :].split("\n", 1)[0]):
-                held = {i: TAG_SURE for i in identifiers(rpn)}
-                doubt *= 1 - evaluate(rpn, held)
-                more |= held
-    for sure in [BASE_SURE] * len(base) + list(more.values()):
+                tagged[tuple(rpn)] = evaluate(rpn, {i: degree(i) for i in rpn})
+    doubt = 1.0
+    for sure in sorted([BASE_SURE] * len(base) + [*more.values(), *tagged.values()]):
         doubt *= 1 - sure
+    named = {i for rpn in tagged for i in identifiers(list(rpn))}
     number = lambda at: line.count(" ", 0, at)
     first, last = (number(min(starts)), number(max(starts))) if starts else (None, None)
-    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | set(more))), 1 - doubt
+    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | set(more) | named)), 1 - doubt
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -140,8 +156,10 @@ def scan(documents: DataFrame) -> DataFrame:
 
     n_words; n_base, first_word and last_word: the places of base phrases, and the smallest and largest of them as word
     numbers from 0 (null if there are none); base_labels; labels, with those of further notices and of licence tags; score:
-    1 - product of the doubts about each distinct label, 0 without any. Null texts have no words. Rows are scanned one by
-    one without a shuffle; repeated rows scan alike; other columns are not read.
+    1 - product of the doubts about each distinct base label, notice and tag, 0 without any. A tag counts once, by the
+    degree of its whole expression; a malformed one says nothing. Null and empty texts have no words; whole texts are read,
+    however long. Rows are scanned one by one without a shuffle; repeated rows scan alike; an empty table gives no rows;
+    other columns are not read.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
