@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import materialize, scratch_path
+from citeloom.plans.checkpoint import hadoop_path
 
 #: An archive is closed when it has this many bytes; the next record begins another.
 ARCHIVE_BYTES = 32 << 20
@@ -21,6 +22,31 @@ READ_BYTES = 1 << 18
 MANIFEST = "path string, records long, bytes long"
 
 
+def store_uri(spark, folder: str) -> str:
+    """folder as a URI under which pyarrow, in the workers, reaches the same store as Spark; an error if there is none.
+
+    Spark resolves the folder, so that a path without a scheme means the cluster's default file system. A small file is
+    then written with pyarrow and looked for with Spark before any task runs.
+    """
+    files, path = hadoop_path(spark, folder)
+    uri = files.makeQualified(path).toString()
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = "file://" + uri[len("file:") :]
+    uri = "s3:" + uri[len("s3a:") :] if uri.startswith("s3a:") else uri
+    name = f"probe-{uuid.uuid4().hex}"
+    try:
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        store.open_output_stream(f"{root}/{name}", compression=None).close()
+    except (pa.ArrowException, OSError) as error:
+        raise ValueError(f"archives can't be written to {uri}: {error}") from error
+    probe = path.suffix(f"/{name}")
+    if not files.exists(probe):
+        raise ValueError(f"{uri} is not the same store for pyarrow as for Spark")
+    files.delete(probe, False)
+    return uri
+
+
 def _member(fields: list[tuple[str, str]], block: bytes) -> bytes:
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {len(block)}\r\n\r\n"
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -54,6 +80,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 100,
     row of the group has an id. Digests are grouped with partial sums; only groups of several rows are joined back. Files
     have unique names and only those in the manifest count, so a task that is run again harms nothing. No rows, no files.
     """
+    folder = store_uri(pages.sparkSession, folder)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     hashed = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("length", F.octet_length("payload").cast("long"))
     groups = hashed.where(F.col("length") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -125,12 +152,15 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, block, payload
 
 
-def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
+def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record of the manifest's archives.
 
     One task reads an archive from its start to its end and holds one record at a time. A revisit has the length and
-    digest of the full payload, which its own block doesn't hold (payload is null).
+    digest of the full payload, which its own block doesn't hold (payload is null). With payloads false, payloads are
+    checked but not returned (payload is null). Pages without page_id have null there; an empty manifest gives no rows; a
+    damaged or incomplete archive is an error.
     """
+    folder = store_uri(manifest.sparkSession, folder)
 
     def run(batches):
         store, _ = fs.FileSystem.from_uri(folder)
@@ -151,8 +181,8 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                         http = dict(x.split(": ", 1) for x in block.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
                         number = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
                         revisit = fields["WARC-Type"] == "revisit"
-                        rows.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], int(http["Content-Length"]), fields["WARC-Payload-Digest"][len("sha256:") :], fields["WARC-Type"], number(fields.get("WARC-Refers-To")), None if revisit else payload))
-                        seen, held = seen + 1, held + len(payload)
+                        rows.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], int(http["Content-Length"]), fields["WARC-Payload-Digest"][len("sha256:") :], fields["WARC-Type"], number(fields.get("WARC-Refers-To")), payload if payloads and not revisit else None))
+                        seen, held = seen + 1, held + len(payload) * payloads
                         if len(rows) >= 5000 or held > 8 << 20:
                             yield cut()
                             rows.clear()
@@ -167,9 +197,12 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
-    """Write pages to archives in the shared folder, read all of them back, and return what the reader found."""
+    """Write pages to archives in the shared folder, read all of them back, and return what the reader found (no payloads).
+
+    Nulls, empty texts, repeated rows and empty tables are as in write_archives(); other columns are not read.
+    """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
     manifest = materialize(write_archives(pages, folder, min_revisit_bytes), "manifest")
     n = max(1, manifest.count())
-    return read_archives(manifest.repartition(n), folder)
+    return read_archives(manifest.repartition(n), folder, payloads=False)
