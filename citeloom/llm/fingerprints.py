@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from citeloom.llm.common import ascii_words, buckets, shingles
 
@@ -85,24 +86,31 @@ def neighbours(documents: DataFrame) -> DataFrame:
 
     A part holds the rows of one range. The first row of the next range comes with it once more as ahead = 1 (the last part
     gets the very first row), so that every row's successor is in its part. Limits are approximate quantiles, one for each
-    shuffle partition, as in any range sort. Null ids come first; rows of one id are ordered by text.
+    shuffle partition, as in any range sort; ids that are no numbers get them from at most 100 ids a partition, drawn by
+    hash. Null ids come first; rows of one id are ordered by text.
     """
     spark = documents.sparkSession
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = buckets(spark)
-    limits = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    limits = sorted(set(limits))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    n, kind = buckets(spark), documents.schema["doc_id"].dataType
+    if isinstance(kind, NumericType):
+        limits = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
+    else:
+        drawn = rows.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(100 * n)
+        drawn = [r["doc_id"] for r in drawn.orderBy("doc_id").collect()]
+        limits = [drawn[len(drawn) * i // n] for i in range(1, n)] if drawn else []
+    limits = list(dict.fromkeys(limits))
+    key = F.col("doc_id")
     step = 64  # compare with every 64th limit, then with the limits between two of these
-    literal = lambda values: F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+    literal = lambda values: F.from_json(F.lit(json.dumps(values, default=str)), f"array<{kind.simpleString()}>")
     below = lambda values: F.size(F.filter(values, lambda x: x < key))
     block = below(literal(limits[step - 1 :: step])) * step
     rows = rows.withColumn("part", block + below(F.slice(literal(limits), block + 1, F.lit(step))))
-    firsts = [(r["part"], r["first"]) for r in rows.groupBy("part").agg(F.min(key).alias("first")).orderBy("part").collect()]
+    least = F.min(F.struct(key.isNotNull().alias("known"), key.alias("id")))  # nulls come first
+    firsts = [(r["part"], r["first"]["id"]) for r in rows.groupBy("part").agg(least.alias("first")).orderBy("part").collect()]
     first, before = [None] * n, [None] * n
-    for i, (part, least) in enumerate(firsts):
-        first[part], before[part] = least, firsts[i - 1][0]
-    ahead = F.when(key == F.get(literal(first), F.col("part")), F.get(literal(before), F.col("part")).cast("int"))
+    for i, (part, value) in enumerate(firsts):
+        first[part], before[part] = value, firsts[i - 1][0]
+    ahead = F.when(key.eqNullSafe(F.get(literal(first), F.col("part"))), F.get(F.from_json(F.lit(json.dumps(before)), "array<int>"), F.col("part")))
     both = F.array(F.struct(F.col("part"), F.lit(0).alias("ahead")), F.struct(ahead.alias("part"), F.lit(1).alias("ahead")))
     dealt = rows.select(F.explode(F.filter(both, lambda x: x["part"].isNotNull())).alias("to"), "doc_id", "text").select("to.part", "to.ahead", "doc_id", "text")
     return dealt.repartition(n, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
