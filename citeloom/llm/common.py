@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import getpass
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,44 +9,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows a broadcast side may have at most; above it the join shuffles. At 8 to 40 bytes a row this is under 40 MB.
-BROADCAST_ROWS = 1_000_000
-#: White space that separates words: space and U+0009 to U+000D.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Where the setting is missing, a local master gets a folder under the temporary directory; a cluster gets an error,
-    since no machine-local folder would do there.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
-    return f"file://{tempfile.gettempdir()}/checkpoints/{getpass.getuser()}"
+from citeloom.plans.checkpoint import forget, made, scratch_path, shared_folder, sized_broadcast
+from citeloom.plans.checkpoint import written as materialize
 
+__all__ = ["forget", "made", "materialize", "scratch_path", "shared_folder", "sized_broadcast"]
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_folder(spark)}/citeloom-{tag}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, and lost executors cost no recompute."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a written table, cheap to count) with a broadcast hint if it has at most limit rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+#: White space that separates words: space and U+0009 to U+000D.
+WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def buckets(spark: SparkSession) -> int:
@@ -65,15 +31,18 @@ def ascii_lower(col: Column) -> Column:
 def running_total(df: DataFrame, value: str, out: str, bucket: str, order: Sequence[Column | str], keys: Sequence[str] = ()) -> DataFrame:
     """Inclusive running total of value in (bucket, order) order, per keys, without one task for all rows.
 
-    bucket must be non-decreasing along the order. Rows are summed per (keys, bucket) first; those few sums get offsets
-    from one window, and a second window runs inside each bucket. keys may hold nulls.
+    bucket is a whole number that never falls along the order. Rows are summed per (keys, bucket); these sums get offsets
+    from windows over ranges of 1024 buckets, the ranges from one window over their sums, and a last window runs inside
+    each bucket. keys may hold nulls.
     """
     part = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
     tag = F.concat_ws("\x00", *[F.concat(F.col(k).isNull().cast("string"), p) for k, p in zip(keys, part)]) if keys else F.lit("")
-    sums = df.groupBy(tag.alias("_k"), F.col(bucket).alias("_b")).agg(F.sum(value).alias("_s"))
-    before = F.sum("_s").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select("_k", "_b", F.coalesce(before, F.lit(0)).alias("_offset"))
-    rows = df.withColumn("_k", tag).withColumn("_b", F.col(bucket)).join(offsets, ["_k", "_b"])
+    sums = df.groupBy(tag.alias("_k"), F.col(bucket).cast("long").alias("_b")).agg(F.sum(value).alias("_s")).withColumn("_g", F.shiftright("_b", 10))
+    before = lambda by, at: F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sums.groupBy("_k", "_g").agg(F.sum("_s").alias("_s")).select("_k", "_g", before(["_k"], "_g").alias("_base"))
+    offsets = sums.select("_k", "_g", "_b", before(["_k", "_g"], "_b").alias("_inner")).join(ranges, ["_k", "_g"])
+    offsets = offsets.select("_k", "_b", (F.col("_base") + F.col("_inner")).alias("_offset"))
+    rows = df.withColumn("_k", tag).withColumn("_b", F.col(bucket).cast("long")).join(offsets, ["_k", "_b"])
     inside = F.sum(value).over(Window.partitionBy("_k", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(out, F.col("_offset") + inside).drop("_k", "_b", "_offset")
 

@@ -47,8 +47,15 @@ def mix(documents: DataFrame, share: float = 1.5, most: int = 2, weights: Sequen
     order and of virtual time, so a hot source is no single task. Null texts have size 0 and take nothing; null sources
     are a source of their own; repeated rows are documents of their own; an empty table gives no rows. Reruns agree.
     """
+    rows = documents.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("_row"))
+    mixed_rows = _mix(rows, share, most, weights, seed)
+    return mixed_rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _mix(rows: DataFrame, share: float, most: int, weights: Sequence[float], seed: str) -> DataFrame:
+    """mix() of rows (doc_id, source, text, _row), with _row, which names a row."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    rows = documents.select("doc_id", "source", words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("_row")).withColumn("_h", h)
+    rows = rows.select("doc_id", "source", words(F.col("text")).alias("size"), "_row").withColumn("_h", h)
     rows = materialize(rows.withColumn("_part", F.shiftright("_h", 60 - SHUFFLE_BITS)), "sizes")
     goal = materialize(targets(rows, share, float(most), weights), "targets")
     rows = running_total(rows, "size", "_total", "_part", ["_h", "doc_id", "size", "_row"], keys=["source"])
@@ -62,18 +69,16 @@ def mix(documents: DataFrame, share: float = 1.5, most: int = 2, weights: Sequen
     copies = running_total(copies, "size", "_running", "_time", ["_finish", "source", "_h", "doc_id", "size", "_row", "_copy"])
     copies = copies.join(F.broadcast(budget), F.lit(True))
     in_mix = F.col("_finish").isNotNull() & (F.col("_running") <= F.col("_budget"))
-    return copies.groupBy("_row", "doc_id", "source", "size", "source_size", "target").agg(F.count_if(in_mix).cast("int").alias("copies")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
-    )
+    return copies.groupBy("_row", "doc_id", "source", "size", "source_size", "target").agg(F.count_if(in_mix).cast("int").alias("copies"))
 
 
-def mixed(documents: DataFrame, **options) -> DataFrame:
+def mixed(documents: DataFrame, share: float = 1.5, most: int = 2, weights: Sequence[float] = WEIGHTS, seed: str = "mix") -> DataFrame:
     """The rows of documents that mix() takes, each as often as it is taken, with all their columns as they are.
 
-    Rows of size 0 weigh nothing and are dropped. doc_id must name a row; of repeated ids, each row gets the most copies.
+    Each row gets its own number of copies, also where doc_id is null or repeats: the rows are written once with a number of
+    their own. Rows of size 0 (null or wordless texts) weigh nothing and are dropped. No rows give no rows.
     """
-    taken = materialize(mix(documents, **options).where("copies > 0 and size > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies")), "taken")
-    names = documents.columns
-    same = documents.select(*[F.col(c).alias(f"c_{c}") for c in names])
-    rows = same.join(sized_broadcast(taken), F.col("c_doc_id").eqNullSafe(F.col("doc_id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[F.col(f"c_{c}").alias(c) for c in names])
+    rows = materialize(documents.select(F.struct(*documents.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "rows")
+    taken = _mix(rows.select("_doc.doc_id", "_doc.source", "_doc.text", "_row"), share, most, weights, seed)
+    taken = materialize(taken.where("copies > 0 and size > 0").select("_row", "copies"), "taken")
+    return rows.join(sized_broadcast(taken), "_row").select(F.explode(F.array_repeat("_doc", F.col("copies"))).alias("_doc")).select("_doc.*")
