@@ -131,10 +131,11 @@ def memberships(documents: DataFrame, width: int, bands: Bands) -> DataFrame:
                 continue
             key, sid = np.concatenate(keys).view(np.int64), np.concatenate(sids)
             order = np.lexsort((sid, key))
-            key, sid = key[order], sid[order]
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            center = sid[first][np.cumsum(first) - 1]
+            start = np.ones(len(key), bool)
+            start[1:] = key[order[1:]] != key[order[:-1]]
+            # Rows stay in the order of the texts, so that a set's name repeats in the shuffled bytes and compresses away.
+            first, center = np.empty(len(key), bool), np.empty(len(key), np.int64)
+            first[order], center[order] = start, sid[order][start][np.cumsum(start) - 1]
             deal = np.where(first, key, mix(mix(key.view(np.uint64)) ^ sid.view(np.uint64)).view(np.int64))
             for at in range(0, len(key), 200_000):
                 cut = slice(at, at + 200_000)
@@ -171,14 +172,12 @@ def _buckets(members: DataFrame, keys: DataFrame) -> DataFrame:
 def _picks(nodes: DataFrame, bands: Bands, every: bool) -> DataFrame:
     """(key, u, v): each member u of a bucket with the smallest member v of another component whose size and parity bits allow a link.
 
-    nodes: key, u, root_u, n, bits and no, the members that u is known not to link with. A task thus returns at most one
-    row for each member of a bucket, or of two blocks of it: buckets of more than BLOCK members are cut into blocks, and
-    every two blocks meet in a task of their own. With every, all such pairs are returned.
+    nodes: key, blocks, u, root_u, n, bits and no, the members that u is known not to link with. A task thus returns at most
+    one row for each member of a bucket, or of two blocks of it: a bucket is cut into so many blocks that each has about
+    BLOCK members, and every two blocks meet in a task of their own. With every, all such pairs are returned.
     """
-    large = nodes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    rows = nodes.join(sized_broadcast(materialize(large, "large-buckets")), "key", "left")
-    own = F.pmod(F.xxhash64("u"), F.coalesce("blocks", F.lit(1))).cast("int")
-    ways = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda b: F.struct(F.least(b, own).alias("low"), F.greatest(b, own).alias("high")))
+    rows, own = nodes, F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    ways = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("low"), F.greatest(b, own).alias("high")))
     rows = rows.select("key", F.explode(ways).alias("way"), own.alias("own"), "u", "root_u", "n", "bits", "no").select("key", "way.low", "way.high", "own", "u", "root_u", "n", "bits", "no")
 
     def near(p, q, root, n, bits):
@@ -263,8 +262,8 @@ def _verified(near: DataFrame, documents: DataFrame, width: int, bands: Bands) -
     wanted = materialize(near.select(F.col("doc_u").alias("doc_id")).unionByName(near.select(F.col("doc_v").alias("doc_id"))).distinct(), "wanted")
     found = documents.select("doc_id", "text").join(sized_broadcast(wanted), "doc_id", "left_semi").select("text")
     unnamed = near.where("doc_u is null").select(F.col("hash_u").alias("hash")).unionByName(near.where("doc_v is null").select(F.col("hash_v").alias("hash")))
-    unnamed = materialize(unnamed.distinct(), "unnamed")
     if not unnamed.isEmpty():
+        unnamed = materialize(unnamed.distinct(), "unnamed")
         # Copies without doc_id are many rows of one hash: one text of each is enough.
         rows = documents.where("doc_id is null").select(F.xxhash64("text").alias("hash"), "text")
         found = found.unionByName(rows.join(sized_broadcast(unnamed), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")).select("text"))
@@ -334,8 +333,8 @@ def _grouped(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
         for turn in range(TURNS + 1):
             unlike = materialize(unlike, "unlike")
             placed = _at(nodes, "u", found)
-            open_ = placed.groupBy("key").agg(F.min("root_u").alias("_l"), F.max("root_u").alias("_h")).where("_l < _h").select("key")
-            placed = placed.join(sized_broadcast(materialize(open_, "open-buckets")), "key", "left_semi")
+            open_ = placed.groupBy("key").agg(F.min("root_u").alias("_l"), F.max("root_u").alias("_h"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+            placed = placed.join(sized_broadcast(materialize(open_.where("_l < _h").select("key", "blocks"), "open-buckets")), "key")
             placed = placed.join(classes.select(F.col("sid").alias("u"), "n", "bits"), "u")
             no = unlike.groupBy("u").agg(F.collect_list("v").alias("no"))
             placed = placed.join(no, "u", "left").withColumn("no", F.coalesce("no", F.array().cast("array<long>")))

@@ -38,7 +38,7 @@ def components(texts, width, num):
         lowest = now
 
 
-@pytest.mark.parametrize(("n", "block", "turns"), [(2000, 512, 4), (600, 64, 4), (600, 64, 0)])
+@pytest.mark.parametrize(("n", "block", "turns"), [(2000, 512, 4), (400, 48, 0)])
 def test_near_copies_of_one_text(spark, monkeypatch, n, block, turns):
     """Blocks of a bucket meet each other, and turns end in the same components as verifying all candidates at once."""
     monkeypatch.setattr(jaccard, "BLOCK", block)

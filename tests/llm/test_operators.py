@@ -53,6 +53,19 @@ def test_components(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_of_large_graphs(spark, monkeypatch):
+    """Star contractions, which take over above a checked size, end in the same roots as one task; ids may be text."""
+    from citeloom.llm import components
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(None, 3)]
+    edges = spark.createDataFrame(rows, "u long, v long")
+    text = edges.selectExpr("cast(u as string) u", "cast(v as string) v")
+    small = [set(map(tuple, connected_components(e).collect())) for e in (edges, text)]
+    monkeypatch.setattr(components, "SMALL", 0)
+    assert [set(map(tuple, connected_components(e).collect())) for e in (edges, text)] == small and (460, 400) in small[0]
+
+
 @pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
 def test_jaccard(documents, width, num):
     sets = {}
@@ -379,7 +392,6 @@ def serial_pipeline(rows, model):
     for *_, k in sorted(queue):
         running += size[k]
         copies[k] += running <= 1.5 * sum(size)
-    copies = [max(c for c, other in zip(copies, rows) if other[0] == r[0]) for r in rows]
 
     enc, out = tokens.Encoder(queries.byte_bpe()), []
     for k, (i, text, _) in enumerate(rows):
