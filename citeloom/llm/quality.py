@@ -50,6 +50,7 @@ def _features(text: str | None, compressors) -> tuple[float, float]:
     """The normalised difference of the compressed sizes (bad less good), and the log of compressed over plain size.
 
     Every chunk of the whole text is compressed by itself, so that the dictionaries and not the text's own past explain it.
+    The first value is the classifier's signal; the second, for junk that neither dictionary explains, only corrects it.
     """
     good, bad = compressors
     plain = small = large = 0
@@ -132,7 +133,11 @@ def score(documents: DataFrame, model: Model, column: str = "score") -> DataFram
 
 
 def keep_good(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of documents that score at least threshold; all columns are kept as they are."""
+    """The rows of documents that score at least threshold; all columns are kept as they are.
+
+    Null and empty texts have neutral features, and stay or go by the model's intercept. Repeated rows score alike; an
+    empty table gives no rows.
+    """
     names = documents.columns
 
     def run(batches):

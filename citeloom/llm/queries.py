@@ -20,6 +20,7 @@ def byte_bpe() -> str:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model that learns from the labels outside the held-out fifth; odd texts as in quality.score()."""
     documents = _table(spark, sf_dir, "documents")
     model = quality.train(documents, _table(spark, sf_dir, "labels"), exclude=quality.held_out(F.col("doc_id")))
     scored = quality.score(documents, model)
@@ -27,39 +28,48 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each page, written to archives and read back; nulls and repeated rows as in warc.write_archives()."""
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences; odd texts as in packing.pack()."""
     return packing.pack(_table(spark, sf_dir, "documents"), byte_bpe())
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by three-word shingles at 0.9; odd texts as in jaccard.near_duplicates()."""
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; odd URLs as in urls.judge()."""
     return urls.judge(_table(spark, sf_dir, "pages"), urls.train(spark)).drop("score")
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts; odd texts as in fingerprints.with_edits()."""
     return fingerprints.with_edits(_table(spark, sf_dir, "documents"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; odd texts and sources as in mixing.mix()."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and tags of all documents; odd texts as in licenses.scan()."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors within their labels; unusable vectors as in itq.near_duplicates()."""
     return itq.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of the encoded lengths of all documents, with suffix sums; odd texts as in tokens.length_histogram()."""
     return tokens.length_histogram(_table(spark, sf_dir, "documents"), byte_bpe())
 
 
@@ -72,7 +82,37 @@ reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JO
 lowest AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
 """
 
+
+
+def _quoted(rows) -> str:
+    return ", ".join("(" + ", ".join(repr(x) for x in row) + ")" for row in rows)
+
+
+def _grams(table: str, key: str) -> str:
+    """(key, b, c): how often each row of table (key, host, path) has each bucket; -1 is the intercept."""
+    lists = ", ".join(f"list_transform(range(1, len({text}) - {size - 2}), lambda i: '{kind}' || substr({text}, i, {size}))" for kind, text in ((0, "'^' || host || '$'"), (1, "path")) for size in urls.SIZES)
+    bucket = f"list_transform(flatten([{lists}]), lambda g: ('0x' || substr(md5(g), 1, {urls.DIGITS}))::INT)"
+    return f"(SELECT {key}, b, count(*)::DOUBLE AS c FROM (SELECT {key}, unnest(list_append({bucket}, -1)) AS b FROM {table}) GROUP BY ALL)"
+
+
+_REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+_PARTS = f"translate(regexp_extract({_REST}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) AS path"
+
 ORACLE_SQL = {
+    "op5_url_filters": f"""
+WITH RECURSIVE lab(i, url, y) AS (VALUES {_quoted((i + 1, u, y) for i, (u, y) in enumerate(urls.LABELLED_URLS))}),
+lp AS (SELECT i, y, {_PARTS} FROM lab), lc AS {_grams("lp", "i")}, ln AS (SELECT i, sqrt(sum(c * c)) AS norm FROM lc GROUP BY i), x AS (SELECT i, b, c / norm AS x FROM lc JOIN ln USING (i)),
+kr AS (SELECT a.i, list(coalesce(k, 0) ORDER BY a.j) AS k FROM (SELECT p.i, q.i AS j FROM lab p, lab q) a LEFT JOIN (SELECT p.i, q.i AS j, sum(p.x * q.x) AS k FROM x p JOIN x q USING (b) GROUP BY ALL) s USING (i, j) GROUP BY a.i),
+m AS (SELECT list(k ORDER BY i) AS ks, list(y::DOUBLE ORDER BY i) AS ys FROM kr JOIN lab USING (i)),
+gd AS (SELECT 0 AS r, list_transform(ys, lambda v: 0::DOUBLE) AS a FROM m
+  UNION ALL SELECT r + 1, list_transform(a, lambda v, i: v * 0.998::DOUBLE + 0.5::DOUBLE * (ys[i] - 1 / (1 + exp(-list_dot_product(ks[i], a))))) FROM gd, m WHERE r < 200),
+al AS (SELECT unnest(a) AS alpha, generate_subscripts(a, 1) AS i FROM gd WHERE r = 200), w AS (SELECT b, sum(x * alpha) AS w FROM x JOIN al USING (i) GROUP BY b),
+pp AS (SELECT page_id, {_PARTS} FROM pages), dp AS (SELECT DISTINCT host, path, md5(host || ' ' || path) AS u FROM pp), pc AS {_grams("dp", "u")},
+sc AS (SELECT u, sum(c * coalesce(w, 0)) AS s FROM pc LEFT JOIN w USING (b) GROUP BY u),
+ru(verdict, h, p) AS (VALUES {_quoted(urls.RULES)}),
+ft AS (SELECT u, arg_min(h || p, (-len(h || p), h || p)) AS rule, arg_min(verdict, (-len(h || p), h || p)) AS verdict FROM dp JOIN ru ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY u)
+SELECT page_id, host, path, ft.rule, coalesce(ft.verdict, CASE WHEN s >= 0 THEN 'block' ELSE 'allow' END) AS verdict FROM pp JOIN dp USING (host, path) LEFT JOIN ft USING (u) LEFT JOIN sc USING (u)
+""",
     "op2_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)

@@ -45,7 +45,9 @@ LABELLED_URLS: tuple[tuple[str, int], ...] = (
 )
 # The rules that apply unless others are given: verdict, host, path.
 RULES: tuple[tuple[str, str, str], ...] = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-BUCKETS = 4096
+#: Hexadecimal digits of an n-gram's md5 that name its bucket; SQL engines agree on md5, so the oracle can retrain.
+DIGITS = 3
+BUCKETS = 16**DIGITS
 SIZES = (3, 4)
 MAX_RULES = 1000
 
@@ -70,7 +72,8 @@ def features(host_: Column, path_: Column) -> Column:
 
     def grams(text: Column, kind: int, size: int) -> Column:
         places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substr(text, i, F.lit(size))), F.lit(BUCKETS)).cast("int"))
+        digest = lambda i: F.md5(F.concat(F.lit(str(kind)), F.substr(text, i, F.lit(size))).cast("binary"))
+        return F.transform(places, lambda i: F.conv(F.substring(digest(i), 1, DIGITS), 16, 10).cast("int"))
 
     framed = F.concat(F.lit("^"), host_, F.lit("$"))
     return F.concat(*[grams(framed, 0, s) for s in SIZES], *[grams(path_, 1, s) for s in SIZES])
