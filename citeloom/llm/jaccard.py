@@ -34,6 +34,8 @@ from citeloom.llm.components import connected_components
 BITS = 1024
 #: Members of a bucket that meet in one task.
 BLOCK = 512
+#: Keys that a task holds at once; its arrays take about 60 bytes for each.
+HELD_KEYS = 1_000_000
 #: Turns in which each member picks one other; then all pairs that are left are verified.
 TURNS = 4
 
@@ -115,31 +117,39 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
 def memberships(documents: DataFrame, width: int, bands: Bands) -> DataFrame:
     """(key, sid, center): every set that shares a key with a smaller sid, and the smallest sid of that key.
 
-    Rows of one Arrow batch that share a key are linked there, so that a key sends at most one row a batch to its window.
+    Texts are taken in groups of about HELD_KEYS keys; those of a group that share a key are linked in the task, so that a
+    key sends at most one row for each group to its window.
     """
 
+    def linked(keys: list[np.ndarray], sids: list[int]):
+        key, sid = np.concatenate(keys).view(np.int64), np.repeat(np.array(sids, np.int64), [len(k) for k in keys])
+        order = np.lexsort((sid, key))
+        start = np.ones(len(key), bool)
+        start[1:] = key[order[1:]] != key[order[:-1]]
+        # Rows stay in the order of the texts, so that a set's name repeats in the shuffled bytes and compresses away.
+        first, center = np.empty(len(key), bool), np.empty(len(key), np.int64)
+        first[order], center[order] = start, sid[order[start]][np.cumsum(start) - 1]
+        deal = np.where(first, key, mix(mix(key.view(np.uint64)) ^ sid.view(np.uint64)).view(np.int64))
+        for at in range(0, len(key), 200_000):
+            cut = slice(at, at + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(deal[cut]), pa.array(sid[cut]), pa.array(key[cut], mask=first[cut]), pa.array(center[cut], mask=first[cut])], ["deal", "sid", "key", "center"])
+
     def run(batches):
+        seen, keys, sids, held = set(), [], [], 0
         for batch in batches:
-            seen, keys, sids = set(), [], []
             for h in _sets(batch.column(0), width):
                 if len(h) and (s := _sid(h)) not in seen:
                     seen.add(s)
                     k = bands.keys(h)
-                    keys.append(k)
-                    sids.append(np.full(len(k), s, np.int64))
-            if not keys:
-                continue
-            key, sid = np.concatenate(keys).view(np.int64), np.concatenate(sids)
-            order = np.lexsort((sid, key))
-            start = np.ones(len(key), bool)
-            start[1:] = key[order[1:]] != key[order[:-1]]
-            # Rows stay in the order of the texts, so that a set's name repeats in the shuffled bytes and compresses away.
-            first, center = np.empty(len(key), bool), np.empty(len(key), np.int64)
-            first[order], center[order] = start, sid[order][start][np.cumsum(start) - 1]
-            deal = np.where(first, key, mix(mix(key.view(np.uint64)) ^ sid.view(np.uint64)).view(np.int64))
-            for at in range(0, len(key), 200_000):
-                cut = slice(at, at + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(deal[cut]), pa.array(sid[cut]), pa.array(key[cut], mask=first[cut]), pa.array(center[cut], mask=first[cut])], ["deal", "sid", "key", "center"])
+                    if len(k):
+                        keys.append(k)
+                        sids.append(s)
+                        held += len(k)
+                if held >= HELD_KEYS:  # a group of texts is linked at a time, so that memory is bounded
+                    yield from linked(keys, sids)
+                    seen, keys, sids, held = set(), [], [], 0
+        if keys:
+            yield from linked(keys, sids)
 
     # Rows are dealt by their key, which then isn't sent twice, or by a hash of key and sid if they have a center already.
     rows = documents.select("text").mapInArrow(run, "deal long, sid long, key long, center long")
