@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import fingerprints, itq, jaccard, licenses, mixing, packing, quality, tokens, urls, warc
+from citeloom.llm import divergence, fingerprints, itq, jaccard, licenses, mixing, packing, quality, sharding, tokens, urls, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(_table(spark, sf_dir, "documents"), byte_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_best_fit_packing, op4_ngram_jaccard_join, op5_url_filters, op6_document_fingerprints, op7_source_mixing, op8_license_scans, op9_embedding_near_dedup, op10_token_counts)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ, and by which terms; odd texts and groups as in divergence.audit()."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of all usable vectors; unusable ones as in whitening.whiten(). A deviation beyond a long is null."""
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard of 40 and a slot in it for every document; the law is that of rows. Odd rows as in sharding.assign()."""
+    placed = sharding.assign(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_best_fit_packing, op4_ngram_jaccard_join, op5_url_filters, op6_document_fingerprints, op7_source_mixing, op8_license_scans, op9_embedding_near_dedup, op10_token_counts, op11_source_divergence, op12_embedding_whitening, op13_sharding)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = """
@@ -99,6 +116,22 @@ _REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') +
 _PARTS = f"translate(regexp_extract({_REST}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) AS path"
 
 ORACLE_SQL = {
+    "op11_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS text FROM documents),
+tk AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM tk GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::BIGINT AS total FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS size FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, sum(n)::BIGINT AS size FROM c JOIN k USING (lang, term) GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(gn.size, 0) + 2 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 2)) // (l.size + 2 * l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN gn USING (lang, source)),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pr.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM x WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10
+""",
     "op5_url_filters": f"""
 WITH RECURSIVE lab(i, url, y) AS (VALUES {_quoted((i + 1, u, y) for i, (u, y) in enumerate(urls.LABELLED_URLS))}),
 lp AS (SELECT i, y, {_PARTS} FROM lab), lc AS {_grams("lp", "i")}, ln AS (SELECT i, sqrt(sum(c * c)) AS norm FROM lc GROUP BY i), x AS (SELECT i, b, c / norm AS x FROM lc JOIN ln USING (i)),
