@@ -1,63 +1,159 @@
-"""Which of many phrases stand in a text, and where first."""
+"""Which of many phrases stand in a text, and where first: a join on grams, verified at their places."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.plans.checkpoint import written
+from citeloom.plans.checkpoint import sized_broadcast, written
 
+#: Code points of the longest gram, and bits of a class's filter: what the tasks hold of the dictionary, whatever its size.
+GRAM, FILTER_BITS = 8, 1 << 22
+#: Arrow rows that a task passes on at once, and the characters beside them.
+ROWS, CHARS = 20_000, 4_000_000
 
-def first_places(rows: DataFrame, text: str, phrases: DataFrame, max_phrases: int = 20_000, max_chars: int = 2_000_000, keep: list[str] | None = None) -> DataFrame:
-    """rows once for each phrase that text contains, with phrase and at, the code point (from 0) where it first stands.
+_ODD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-    keep: the columns of rows to return, by default all; others, such as the text, don't leave the tasks. rows must have no
-    column named phrase or at among them.
 
-    phrases: phrase. One Aho-Corasick automaton reads each text once, whatever the number of phrases, where a join on
-    contains() would be a nested loop. A task gets about max_phrases phrases or max_chars characters of them; more
-    are dealt by hash into parts, each of which is a pass over rows. The phrases of a part travel with its tasks; the
-    driver holds all of them once. Null and empty phrases stand nowhere; null texts hold nothing.
-    """
-    keep = list(rows.columns) if keep is None else keep
-    if {"phrase", "at"} & set(keep):
-        raise ValueError("rows have a column named phrase or at: rename it, or leave it out of keep")
-    known = written(phrases.select("phrase").where("phrase <> ''").distinct(), "phrases")
-    n, chars = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("phrase")), F.lit(0))).first()
-    parts = max(1, -(-n // max_phrases), -(-chars // max_chars))
-    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("phrase", T.StringType()), T.StructField("at", T.IntegerType())])
-    dealt: list[list[str]] = [[] for _ in range(parts)]
-    for r in known.select("phrase", F.pmod(F.xxhash64("phrase"), F.lit(parts)).cast("int").alias("part")).toLocalIterator():
-        dealt[r["part"]].append(r["phrase"])
-    # The text comes first, under a position of its own, as it may or may not be among keep.
-    narrow = rows.select(F.col(text).alias("_text"), *keep)
-    return reduce(DataFrame.unionByName, [narrow.mapInArrow(_finder(words, schema.names), schema) for words in dealt])
-
-
-def _finder(words: list[str], names: list[str]):
+def size_class(length: int) -> int:
+    """Phrases of 1 to 7 code points have a class each; longer ones share one up to the next power of two."""
+    return length if length < GRAM else length.bit_length() + GRAM
+
+
+def bounds(of: int) -> tuple[int, int]:
+    """(code points of a class's grams, most code points of its phrases)."""
+    return (of, of) if of < GRAM else (GRAM, (1 << (of - GRAM)) - 1)
+
+
+def grams(points: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of width code points."""
+    n = len(points) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h = np.full(n, width, np.uint64)
+    for j in range(width):
+        h = h * _ODD + points[j : j + n]
+    h = (h ^ (h >> np.uint64(30))) * _MIX1
+    h = (h ^ (h >> np.uint64(27))) * _MIX2
+    return h ^ (h >> np.uint64(31))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _phrase_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, class, gram, offset) of every distinct gram of each phrase, where it first stands."""
+    for batch in batches:
+        for i, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            of = size_class(len(phrase))
+            found, at = np.unique(grams(_points(phrase), bounds(of)[0]), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([of] * len(found), pa.int32()), pa.array(found.view(np.int64)), pa.array(at.astype(np.int32))], ["id", "class", "gram", "offset"])
+
+
+def _anchors(phrases: DataFrame) -> DataFrame:
+    """(class, gram, offset, phrase): each phrase by the gram of it that fewest phrases hold."""
+    known = written(phrases.select("phrase").where("phrase <> ''").distinct().select(F.monotonically_increasing_id().alias("id"), "phrase"), "phrases")
+    each = written(known.mapInArrow(_phrase_grams, "id long, class int, gram long, offset int"), "phrase-grams")
+    shared = each.groupBy("class", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = each.join(shared, ["class", "gram"]).groupBy("id").agg(F.min_by(F.struct("class", "gram", "offset"), F.struct("n", "offset")).alias("a"))
+    return written(rare.join(known, "id").select("a.class", "a.gram", "a.offset", "phrase"), "anchors")
+
+
+def _filters(anchors: DataFrame, bits: int) -> dict[int, np.ndarray]:
+    """For each class a bitmap of its anchors' grams: at most bits / 8 bytes, however many phrases there are."""
+    slot = F.pmod(F.col("gram"), F.lit(bits))
+    words = anchors.groupBy("class", F.shiftright(slot, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(32)).cast("int"))).alias("mask"))
+    out: dict[int, np.ndarray] = {}
+    table = words.toArrow()
+    for of in set(table["class"].to_pylist()):
+        mine = table.filter(pc.equal(table["class"], of))
+        out[of] = np.zeros(bits // 32, np.uint32)
+        out[of][mine["word"].to_numpy()] = mine["mask"].to_numpy().astype(np.uint32)
+    return out
+
+
+def _candidates(filters: dict[int, np.ndarray], bits: int, names: Sequence[str]):
+    """Every place of a text whose gram may be an anchor, with the characters around that a phrase of the class may take."""
+
     def run(batches):
-        import ahocorasick
+        out: list[list] = [[], [], [], [], [], []]
+
+        def flush(batch):
+            of, gram, at, lead, around = (pa.array(x, kind) for x, kind in zip(out[1:], (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True))
+            made = pa.RecordBatch.from_arrays([*batch.take(pa.array(out[0], pa.int64())).columns[1:], of, gram, at, lead, around], names)
+            for x in out:
+                x.clear()
+            return made
 
-        automaton = ahocorasick.Automaton()
-        for w in words:
-            automaton.add_word(w, w)
-        automaton.make_automaton()
         for batch in batches:
-            row, phrase, at = [], [], []
-            for i, value in enumerate(batch.column(0)):
+            chars = 0
+            for row, value in enumerate(batch.column(0)):
                 text = value.as_py()
-                if text and words:
-                    seen: dict[str, int] = {}
-                    for end, w in automaton.iter(text):
-                        seen.setdefault(w, end + 1 - len(w))
-                    row += [i] * len(seen)
-                    phrase += seen.keys()
-                    at += seen.values()
-            kept = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[1:], pa.array(phrase, pa.string()), pa.array(at, pa.int32())], names)
+                if not text:
+                    continue
+                points, hashed = _points(text), {}
+                for of, bitmap in filters.items():
+                    width, most = bounds(of)
+                    if width not in hashed:
+                        hashed[width] = grams(points, width)
+                    slots = hashed[width] & np.uint64(bits - 1)
+                    places = np.flatnonzero(bitmap[slots >> np.uint64(5)] >> (slots & np.uint64(31)).astype(np.uint32) & np.uint32(1))
+                    found = hashed[width][places].view(np.int64)
+                    if most == width:  # the gram is the phrase: its first place is enough
+                        found, first = np.unique(found, return_index=True)
+                        places = places[first]
+                    for at, gram in zip(places.tolist(), found.tolist(), strict=True):
+                        begin = max(0, at - most + width)
+                        around = text[begin : at + most]
+                        for x, v in zip(out, (row, of, gram, at, at - begin, around), strict=True):
+                            x.append(v)
+                        chars += len(around)
+                        if len(out[0]) >= ROWS or chars >= CHARS:
+                            yield flush(batch)
+                            chars = 0
+            yield flush(batch)
 
     return run
+
+
+def first_places(rows: DataFrame, text: str, phrases: DataFrame, max_phrases: int = 20_000, keep: list[str] | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """rows once for each phrase that text contains, with phrase and at, the code point (from 0) where it first stands.
+
+    keep: the columns of rows to return, by default all; others, such as the text, don't leave the tasks. rows must have no
+    column named phrase or at among them, and none that begins with an underscore.
+
+    phrases: phrase; any number of them. Each is anchored at the one of its grams (8 code points; a shorter phrase is one
+    itself) that fewest phrases share. Texts are read once: a task looks up a text's rolling grams in a bitmap of the anchors,
+    of bounded size, and passes on only places that may be anchors, with the characters around. These join the anchors by
+    gram, and the phrase is compared at its offset; at most max_phrases anchors of checked size are broadcast for that, more are
+    shuffled. A fuller bitmap lets more places pass but loses none. No phrase comes to
+    the driver, and none but those of its own join partition to a task. Null and empty phrases stand nowhere; null texts hold
+    nothing; repeated rows are rows of their own.
+    """
+    keep = list(rows.columns) if keep is None else keep
+    if {"phrase", "at"} & set(keep):
+        raise ValueError("rows have a column named phrase or at: rename it, or leave it out of keep")
+    if filter_bits & (filter_bits - 1) or filter_bits < 32:
+        raise ValueError("filter_bits must be a power of two, at least 32")
+    anchors = _anchors(phrases)
+    found = ["_class", "_gram", "_at", "_lead", "_around"]
+    kinds = (T.IntegerType(), T.LongType(), T.IntegerType(), T.IntegerType(), T.StringType())
+    kept = T.StructType([*[rows.schema[c] for c in keep], T.StructField("_row", T.LongType())])
+    schema = T.StructType([*kept, *map(T.StructField, found, kinds)])
+    # The text comes first, under a name of its own, as it may or may not be among keep.
+    narrow = rows.select(F.col(text).alias("_text"), *keep, F.monotonically_increasing_id().alias("_row"))
+    places = narrow.mapInArrow(_candidates(_filters(anchors, filter_bits), filter_bits, schema.names), schema)
+    side = anchors.select(F.col("class").alias("_class"), F.col("gram").alias("_gram"), F.col("offset").alias("_offset"), "phrase")
+    side = sized_broadcast(side) if anchors.limit(max_phrases + 1).count() <= max_phrases else side
+    begin = F.col("_lead") - F.col("_offset")
+    stands = (begin >= 0) & (F.substr("_around", begin + 1, F.length("phrase")) == F.col("phrase"))
+    hits = places.join(side, ["_class", "_gram"]).where(stands).withColumn("at", F.col("_at") - F.col("_offset"))
+    one = hits.groupBy("_row", "phrase").agg(F.min("at").alias("at"), F.first(F.struct(*keep) if keep else F.lit(None)).alias("_kept"))
+    return one.select(*[F.col("_kept")[c].alias(c) for c in keep], "phrase", "at")

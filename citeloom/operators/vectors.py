@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import abbreviate
 from citeloom.functions.vectors import distance
+from citeloom.operators.leaders import label_leaders
 
 
 def mean_vector(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -50,45 +51,6 @@ def project_2d(vectors: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.get("_p", F.lit(0)).alias("x"), F.get("_p", F.lit(1)).alias("y"))
 
 
-def label_leaders(points: DataFrame, radius: float = 4.0, size: float = 0.5, step: float = 0.25) -> DataFrame:
-    """(label, x, y, size): in ord order, a point within radius of a leader of its label enlarges it, else it leads.
-
-    points: ord, label, x, y. Order matters inside a label, so one task reads a label's points in order; it holds only the
-    leaders, of which an area has a bounded number, and never the group. Null labels are a label of their own.
-    """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = points.schema["label"].dataType
-    arrow = to_arrow_type(kind)
-
-    def lead(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        started, label, leaders, places = False, None, [], np.empty((0, 2))
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([label] * len(leaders), arrow), *(pa.array([p[i] for p in leaders], pa.float64()) for i in range(3))], ["label", "x", "y", "size"])
-
-        for batch in batches:
-            for of, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if not started or of != label:
-                    if leaders:
-                        yield out()
-                    started, label, leaders, places = True, of, [], np.empty((0, 2))
-                near = np.flatnonzero(((places - (x, y)) ** 2).sum(1) < radius**2)
-                if len(near):
-                    leaders[near[0]][2] += step
-                else:
-                    leaders.append([x, y, size])
-                    places = np.array([p[:2] for p in leaders])
-        if leaders:
-            yield out()
-
-    ordered = points.select("label", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "ord").repartition("label").sortWithinPartitions("label", "ord")
-    return ordered.select("label", "x", "y").mapInArrow(lead, f"label {kind.simpleString()}, x double, y double, size double")
-
-
 def plot_labels(points: DataFrame, radius: float = 4.0) -> DataFrame:
     """(label, short, x, y, size): the leaders of label_leaders() with the short form of their label beside its full name."""
     return label_leaders(points, radius).select("label", abbreviate(F.col("label")).alias("short"), "x", "y", "size")

@@ -390,8 +390,9 @@ _OFF = "o AS (SELECT d.doc_id, b.item_id, strpos(d.text, b.text) - 1 AS pl, leng
 
 def _offsets(s, d):
     bench = table(s, d, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    found = matching.first_places(table(s, d, "documents").select("doc_id", "text"), "text", bench.select("phrase"))
-    return found.join(bench, "phrase").select("doc_id", "item_id", "text", "at", F.length("phrase").alias("len"))
+    docs = table(s, d, "documents").select("doc_id", "text")
+    found = matching.first_places(docs, "text", bench.select("phrase"), keep=["doc_id"])
+    return found.join(bench, "phrase").select("doc_id", "item_id", "at", F.length("phrase").alias("len")).join(docs, "doc_id")
 
 
 @query(f"WITH {_OFF} SELECT doc_id, item_id, substr(text, 1, pl) || '[CITE]' || substr(text, pl + len + 1) AS spliced FROM o")

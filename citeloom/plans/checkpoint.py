@@ -8,10 +8,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: What a broadcast side may take, by its rows and the usual width of its columns; beyond it the join shuffles.
+#: What a broadcast side may take, by the bytes of its rows; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 #: Scratch folders made by this driver and not yet dropped, oldest first.
 _made: list[str] = []
@@ -69,14 +70,33 @@ def forget(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> Non
             _made.remove(path)
 
 
+def _bytes(column, kind) -> Column:
+    """What a value of kind takes in a row, as an expression: the lengths of strings, the elements of arrays and maps."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        own = F.octet_length(column) + 8
+    elif isinstance(kind, T.StructType):
+        own = sum((_bytes(column[f.name], f.dataType) for f in kind), F.lit(8))
+    elif isinstance(kind, T.ArrayType):
+        own = F.aggregate(column, F.lit(16).cast("long"), lambda n, x: n + _bytes(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        own = _bytes(F.map_keys(column), T.ArrayType(kind.keyType)) + _bytes(F.map_values(column), T.ArrayType(kind.valueType))
+    else:
+        own = F.lit(16 if isinstance(kind, (T.DecimalType, T.VariantType)) else 8)
+    return F.coalesce(own.cast("long"), F.lit(8).cast("long"))
+
+
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df (a written table, cheap to count) with a broadcast hint if its rows take at most limit bytes, else as it is.
+    """df (a written table, cheap to read) with a broadcast hint if its rows take at most limit bytes, else as it is.
 
-    A row counts as the default widths of its columns and 16 bytes for its place in the hash table.
+    A row counts as the measured bytes of its columns (strings by their lengths, arrays by their elements) and 32 bytes for its
+    place in the hash table. Rows are counted first, so that a large table is not read through.
     """
-    width = 16 + sum(df._jdf.schema().apply(c).dataType().defaultSize() for c in df.columns)
-    most = max(1, limit // width)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    most = max(1, limit // (32 + 8 * len(df.columns)))
+    if df.limit(most + 1).count() > most:
+        return df
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(32))
+    taken = df.agg(F.sum(row).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if taken <= limit else df
 
 
 def cached(spark: SparkSession, folder: str, build: Callable[[], DataFrame], inputs: dict, overwrite: bool = False) -> DataFrame:

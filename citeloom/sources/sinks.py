@@ -43,9 +43,13 @@ def json_object(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def edge_files(edges: DataFrame, path: str, mode: str = "error") -> None:
-    """Tab-separated lines in one folder for each split, in text order; test lines carry their label."""
+    """Tab-separated lines in one folder for each split; test lines carry their label.
+
+    Lines are range-sorted over all splits, so a split is as many part files as ranges, and its parts in the order of their
+    names, one after another, are its lines in text order. The largest split is dealt over tasks like the others.
+    """
     line = F.concat_ws("\t", F.col("src").cast("string"), F.col("dst").cast("string"), F.when(F.col("split") == "test", F.col("label").cast("string")))
-    edges.select("split", line.alias("value")).repartition("split").sortWithinPartitions("split", "value").write.mode(mode).partitionBy("split").text(path)
+    edges.select("split", line.alias("value")).repartitionByRange("split", "value").sortWithinPartitions("split", "value").write.mode(mode).partitionBy("split").text(path)
 
 
 def matrix(rows: DataFrame, path: str, mode: str = "error") -> None:
