@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import abbreviate
 from citeloom.functions.vectors import distance
 from citeloom.operators.leaders import label_leaders
+from citeloom.operators.projection import principal_axes
 
 
 def mean_vector(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -42,13 +43,8 @@ def without_outliers(vectors: DataFrame, threshold: float = 100.0) -> DataFrame:
 
 
 def project_2d(vectors: DataFrame, key: str) -> DataFrame:
-    """(key, x, y) on the two principal axes: the scalable stand-in for a t-SNE plot."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = vectors.select(key, array_to_vector(F.col("embedding").cast("array<double>")).alias("_v"))
-    out = PCA(k=2, inputCol="_v", outputCol="_p").fit(rows).transform(rows).withColumn("_p", vector_to_array("_p"))
-    return out.select(key, F.get("_p", F.lit(0)).alias("x"), F.get("_p", F.lit(1)).alias("y"))
+    """(key, x, y) on the two principal axes; neighbour_layout() starts from them and keeps neighbours together."""
+    return principal_axes(vectors, key)
 
 
 def plot_labels(points: DataFrame, radius: float = 4.0) -> DataFrame:

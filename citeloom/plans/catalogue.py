@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import citances, graph, linkage, matching, text, vectors
+from citeloom.operators import citances, graph, linkage, matching, projection, text, vectors
 from citeloom.plans.checkpoint import scratch_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -579,8 +579,8 @@ def background_sample(s, d):
 
 @query()
 def projection_2d(s, d):
-    out = vectors.project_2d(table(s, d, "embeddings"), "vec_id")
-    return out.select("vec_id", F.round(F.abs("x"), 4).alias("x"), F.round(F.abs("y"), 4).alias("y"))
+    """Places of all vectors in the plane, by their twelve nearest neighbours; SQL can't express the epochs."""
+    return projection.neighbour_layout(table(s, d, "embeddings"), "vec_id")
 
 
 def _leaders(points):

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from citeloom.operators import matching, vectors
+from citeloom.operators import matching, projection, vectors
 from citeloom.plans.checkpoint import sized_broadcast, written
 from citeloom.sources import sinks
 
@@ -91,3 +91,44 @@ def test_edge_files_are_ordered_over_their_parts(spark, tmp_path):
         parts = sorted((tmp_path / "e" / f"split={split}").glob("part-*"))
         lines = [line for part in parts for line in part.read_text().splitlines()]
         assert len(parts) >= files and lines == sorted(lines) and len(lines) == edges.where(F.col("split") == split).count()
+
+
+def trustworthiness(x, y, k=12):
+    """1 less the share of false neighbours in the plane, weighed by how far they are in truth."""
+    n = len(x)
+    far = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(far, -1)
+    rank = far.argsort(1).argsort(1)
+    near = ((y[:, None] - y[None]) ** 2).sum(-1)
+    np.fill_diagonal(near, np.inf)
+    shown = near.argsort(1)[:, :k]
+    return 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * np.maximum(0, np.take_along_axis(rank, shown, 1) - k).sum()
+
+
+def test_layout_keeps_neighbours(spark):
+    """Clustered data: trustworthiness of 12 neighbours is at least 0.9 and not below that of the axes; reruns agree."""
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(10, 32))
+    x = np.concatenate([m + 0.4 * rng.normal(size=(50, 32)) for m in middles])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [float("nan")] * 32)], "id long, embedding array<double>")
+    at = lambda rows: np.array([[r["x"], r["y"]] for r in sorted(rows.collect())])
+    first = at(projection.neighbour_layout(df, "id"))
+    assert len(first) == 500 and trustworthiness(x, first) >= max(0.9, trustworthiness(x, at(vectors.project_2d(df.where("id < 500"), "id"))))
+    assert (first == at(projection.neighbour_layout(df.repartition(5), "id"))).all()
+    assert projection.neighbour_layout(df.where("id >= 900"), "id").collect() == []
+
+
+def test_neighbour_edges(spark):
+    """Recall of the twelve nearest in clustered data, exact distances, and no row without neighbours; equal vectors in leaves."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([m + 0.4 * rng.normal(size=(60, 16)) for m in rng.normal(size=(20, 16))] + [np.ones((400, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    got = {}
+    for r in projection.neighbour_edges(projection.numbered(df, "id"), 12).collect():
+        assert r["src"] != r["dst"] and abs(r["distance"] - np.sqrt(((x[r["src"]] - x[r["dst"]]) ** 2).sum())) < 1e-9
+        got.setdefault(r["src"], []).append(r["distance"])
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(far, np.inf)
+    last = np.sort(far, 1)[:, 11]
+    assert set(map(len, got.values())) == {12} and len(got) == len(x)
+    assert np.mean([np.mean(np.array(got[i]) <= last[i] + 1e-9) for i in range(len(x))]) >= 0.9
