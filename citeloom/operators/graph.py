@@ -10,7 +10,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.operators.linkage import dense_rank_from_zero
+from citeloom.operators.linkage import dense_rank_from_zero, places
 from citeloom.plans.checkpoint import cached, sized_broadcast, written
 
 
@@ -62,6 +62,32 @@ def expand(out_edges: DataFrame, in_edges: DataFrame, seeds: DataFrame, radius:
     return seen, found
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every end of edges (src, dst): root is the smallest node that node is connected with.
+
+    In each round every node of the contracted graph points at the first node beside it, in an order that a hash deals anew,
+    pointers are followed one step further, and the edges are drawn anew between what their ends point at. In such an order
+    no chain is long, whatever the nodes' names, so each round leaves about a third of the nodes, and the rounds end when no edge
+    is left. A round is a minimum for each node and joins; no component is gathered in one place.
+    """
+    edges = written(edges.select("src", "dst").where("src is not null and dst is not null"), "component-edges")
+    roots = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
+    left, turn = edges.where("src <> dst"), 0
+    while not left.isEmpty():
+        at = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("node"))
+        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        first = both.groupBy("src").agg(F.min(at("dst")).alias("_first"))
+        point = written(first.select("src", F.least("_first", at("src"))["node"].alias("_to")), "pointers")
+        onward = point.select(F.col("src").alias("_to"), F.col("_to").alias("to"))
+        point = point.join(onward, "_to").select("src", "to")
+        roots = written(roots.join(point.withColumnRenamed("src", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        ends = left.join(point, "src").select(F.col("to").alias("_a"), "dst").join(point.withColumnRenamed("src", "dst"), "dst")
+        left = written(ends.select(F.least("_a", "to").alias("src"), F.greatest("_a", "to").alias("dst")).where("src <> dst").distinct(), "component-edges")
+        turn += 1
+    least = roots.groupBy("root").agg(F.min("node").alias("_least"))
+    return roots.join(least, "root").select("node", F.col("_least").alias("root"))
+
+
 def candidates(*graphs: DataFrame) -> DataFrame:
     """All values (not keys) of several graphs' edges."""
     out = graphs[0].select(F.col("dst").alias("node"))
@@ -108,11 +134,16 @@ def split_edges(edges: DataFrame, train: float = 0.95, test: float = 0.025, seed
     return rows.withColumn("split", split).drop("_rank", "_n")
 
 
+#: Attempts of a negative draw, in two rounds, before it is drawn directly among its source's free nodes.
+ATTEMPTS = 32
+
+
 def negative_edges(edges: DataFrame, positives: DataFrame, nodes: int, times: int = 5, seed: str = "negative", strict: bool = False, directed: bool = False) -> DataFrame:
     """times as many non-edges as positives, src and dst drawn by hash from 1 to nodes.
 
-    Each draw has attempts 0, 1, ... in rounds of 1, 8, 16, 32 and so on, of which the first that is no edge is taken; only
-    draws that are still open get a further round. A draw whose source has no non-neighbour at all gets no row, and a
+    Each draw has ATTEMPTS attempts in two rounds, of which the first that is no edge is taken. A draw that finds none, as its
+    source is linked to nearly all nodes, gets the r-th free node of the source in node order, r by hash: how many linked nodes
+    stand before it follows from ranks (see free_nodes()). A draw whose source has no non-neighbour at all gets no row, and a
     warning counts such draws. By default both directions and self-pairs are excluded; directed excludes only the drawn
     direction and self-pairs, strict only the drawn direction. edges may be any table; both it and positives are read
     several times, so pass written ones.
@@ -120,10 +151,9 @@ def negative_edges(edges: DataFrame, positives: DataFrame, nodes: int, times: in
     number = lambda *of: F.conv(F.substring(F.md5(F.concat_ws("\t", F.lit(seed), *of)), 1, 12), 16, 10).cast("long") % nodes + 1
     draws = ranked(positives, by_hash(seed, "src", "dst"), "_at").select(F.explode(F.sequence((F.col("_at") - 1) * times + 1, F.col("_at") * times)).alias("draw"))
     still = written(draws.select("draw", number(F.lit("src"), F.col("draw").cast("string")).alias("src")), "draws")
-    known = edges.select("src", "dst").distinct() if strict or directed else undirected(edges)
-    taken, first, size = None, 0, 1
-    while True:
-        pairs = still.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + size - 1))))
+    taken = None
+    for first, last in ((0, 0), (1, ATTEMPTS - 1)):
+        pairs = still.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last))))
         pairs = pairs.select("draw", "attempt", "src", number(F.lit("dst"), F.col("draw").cast("string"), F.col("attempt").cast("string")).alias("dst"))
         pairs = pairs if strict else pairs.where("src <> dst")
         if strict or directed:
@@ -134,17 +164,38 @@ def negative_edges(edges: DataFrame, positives: DataFrame, nodes: int, times: in
         hits = written(free.groupBy("draw", "src").agg(F.min_by("dst", "attempt").alias("dst")), f"free{first}")
         taken = hits if taken is None else taken.unionByName(hits)
         still = written(still.join(hits.select("draw"), "draw", "left_anti"), f"open{first}")
-        if first == 1 and not still.isEmpty():
-            others = known if strict else known.where("src <> dst")
-            linked = others.where(F.col("dst").between(1, nodes)).join(sized_broadcast(still.select("src")), "src", "left_semi").groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
-            still = still.join(linked, "src", "left").withColumn("_full", F.coalesce("_n", F.lit(0)) >= nodes - (0 if strict else 1))
-            full = still.where("_full").count()
-            if full:
-                warnings.warn(f"{full} draws get no negative edge: their source is linked to every node", stacklevel=2)
-            still = written(still.where("not _full").select("draw", "src"), "open")
-        if still.isEmpty():
-            return taken.select("draw", "src", "dst", F.lit(0).alias("label"))
-        first, size = first + size, 8 if size == 1 else 2 * size
+    if not still.isEmpty():
+        known = edges.select("src", "dst").distinct() if strict or directed else undirected(edges)
+        linked = known.join(sized_broadcast(written(still.select("src").distinct(), "open-sources")), "src", "left_semi")
+        own = still.select("src", F.col("src").alias("dst"))
+        linked = linked if strict else linked.unionByName(own)
+        found = free_nodes(still, linked.where(F.col("dst").between(1, nodes)).distinct(), nodes, seed)
+        lost = still.count() - found.count()
+        if lost:
+            warnings.warn(f"{lost} draws get no negative edge: their source is linked to every node", stacklevel=2)
+        taken = taken.unionByName(found)
+    return taken.select("draw", "src", "dst", F.lit(0).alias("label"))
+
+
+def free_nodes(draws: DataFrame, linked: DataFrame, nodes: int, seed: str = "free") -> DataFrame:
+    """(draw, src, dst), written: for each draw a node from 1 to nodes that is not linked to src, by a hash of seed and draw.
+
+    draws: draw, src. linked: distinct (src, dst). Before a source's i-th linked node there are dst - i free ones, so the r-th
+    free node (from 0) is r + 1 + the number of linked nodes with dst - i <= r. Linked nodes and draws of a source are ranked
+    together by that number, over range-sorted tasks: a source linked to all nodes but one is one row for each linked node,
+    however many draws it has. Sources without a free node give no rows.
+    """
+    linked = written(places(linked, "src", "dst").select("src", (F.col("dst") - F.col("place") - 1).alias("at")), "gaps")
+    counts = linked.groupBy("src").agg(F.count(F.lit(1)).alias("_m"))
+    free = draws.select("draw", "src").join(counts, "src", "left").withColumn("_free", F.lit(nodes) - F.coalesce("_m", F.lit(0))).where("_free > 0")
+    chance = F.conv(F.substring(F.md5(F.concat_ws("\t", F.lit(seed), F.lit("free"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long")
+    free = written(free.select("draw", "src", (chance % F.col("_free")).alias("at")), "chances")
+    nothing = F.lit(None).cast(free.schema["draw"].dataType)
+    both = linked.select("src", nothing.alias("draw"), F.struct("at", F.lit(0).alias("kind"), F.monotonically_increasing_id().alias("nth")).alias("key"))
+    both = both.unionByName(free.select("src", "draw", F.struct("at", F.lit(1).alias("kind"), F.col("draw").cast("long").alias("nth")).alias("key")))
+    among = places(both, "src", "key").where("draw is not null").select("draw", F.col("place").alias("_all"))
+    alone = places(free.withColumn("key", F.struct("at", F.col("draw").cast("long").alias("nth"))), "src", "key")
+    return written(alone.join(among, "draw").select("draw", "src", (F.col("at") + 1 + F.col("_all") - F.col("place")).alias("dst")), "direct")
 
 
 def training_export(edges: DataFrame, ordinal: str, train: float = 0.95, test: float = 0.025, times: int = 5, directed: bool = False) -> tuple[DataFrame, DataFrame]:

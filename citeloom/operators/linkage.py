@@ -57,31 +57,70 @@ def or_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: st
     return out.distinct()
 
 
-def priority_match(catalogue: DataFrame, targets: DataFrame, keys: Sequence[str], row: str, target: str) -> DataFrame:
+#: Rounds of priority_match() before what is left is parted into components, and candidates of one that a task finishes.
+ROUNDS, SERIAL = 3, 100_000
+
+
+def _mutual_best(live: DataFrame, most: int | None) -> tuple[list[DataFrame], DataFrame]:
+    """(accepted pairs, candidates still open) after at most so many rounds: in each, pairs that are each other's best."""
+    accepted: list[DataFrame] = []
+    for_rounds = 0
+    while for_rounds != most and not live.isEmpty():
+        for_rounds += 1
+        by_target, by_row = Window.partitionBy("target").orderBy("row"), Window.partitionBy("row").orderBy("priority", "target")
+        best = live.withColumn("_t", F.row_number().over(by_target)).withColumn("_r", F.row_number().over(by_row))
+        new = written(best.where("_t = 1 and _r = 1").select("row", "target", "priority"), "accepted")
+        accepted.append(new)
+        if len(accepted) == 16:  # a long chain must not grow the plan
+            accepted = [written(reduce(DataFrame.unionByName, accepted), "accepted")]
+        live = written(live.join(new.select("row"), "row", "left_anti").join(new.select("target"), "target", "left_anti"), "candidates")
+    return accepted, live
+
+
+def _in_row_order(table):
+    """The accepted of one component's candidates: rows in order, each the free target of its smallest priority."""
+    import pyarrow as pa
+
+    taken, matched, at = set(), set(), []
+    rows, targets = table["row"].to_pylist(), table["target"].to_pylist()
+    ordered = table.append_column("_i", pa.array(range(len(rows)))).sort_by([("row", "ascending"), ("priority", "ascending"), ("target", "ascending")])
+    for i in ordered["_i"].to_pylist():
+        if rows[i] not in matched and targets[i] not in taken:
+            matched.add(rows[i])
+            taken.add(targets[i])
+            at.append(i)
+    return table.take(pa.array(at, pa.int64())).select(["row", "target", "priority"])
+
+
+def priority_match(catalogue: DataFrame, targets: DataFrame, keys: Sequence[str], row: str, target: str, serial: int = SERIAL) -> DataFrame:
     """(row, target, priority): in row order, the first key whose lookup yields a free target claims it; 1:1.
 
     Per key value the last target (by id) holds the lookup. Each round accepts the pairs of which each is the other's best:
-    for a target the smallest row, for a row the smallest priority; accepted rows and targets leave. Every round takes at
-    least the first live row, and dense collisions need few rounds; a chain in which every row waits for the one before
-    needs a round for each link. Candidates are the small result of equi-joins. Rows and targets without an id are skipped.
+    for a target the smallest row, for a row the smallest priority; accepted rows and targets leave. After ROUNDS rounds only
+    chains are left, in which a row waits for the one before. They are parted into connected components of rows and targets, of
+    which each with at most serial candidates is finished in row order in one task; only a larger one goes on by rounds.
+    Candidates are the small result of equi-joins. Rows and targets without an id are skipped.
     """
     catalogue, targets, parts = catalogue.where(F.col(row).isNotNull()), targets.where(F.col(target).isNotNull()), []
     for priority, key in enumerate(keys):
         lookup = targets.where(usable(F.col(key).cast("string"))).groupBy(key).agg(F.max(target).alias("target"))
         parts.append(catalogue.select(F.col(row).alias("row"), key).join(lookup, key).select("row", "target", F.lit(priority).alias("priority")))
-    live = parts[0]
-    for part in parts[1:]:
-        live = live.unionByName(part)
+    live = reduce(DataFrame.unionByName, parts)
     live = written(live.groupBy("row", "target").agg(F.min("priority").alias("priority")), "candidates")
-    accepted = []
-    while not live.isEmpty():
-        by_target, by_row = Window.partitionBy("target").orderBy("row"), Window.partitionBy("row").orderBy("priority", "target")
-        best = live.withColumn("_t", F.row_number().over(by_target)).withColumn("_r", F.row_number().over(by_row))
-        new = written(best.where("_t = 1 and _r = 1").select("row", "target", "priority"), "accepted")
-        accepted.append(new)
-        if len(accepted) == 16:  # a long chain must not grow the plan
-            accepted = [written(reduce(DataFrame.unionByName, accepted), "accepted")]
-        live = written(live.join(new.select("row"), "row", "left_anti").join(new.select("target"), "target", "left_anti"), "candidates")
+    accepted, live = _mutual_best(live, ROUNDS)
+    if not live.isEmpty():
+        from citeloom.operators.graph import components
+
+        # A row and a target may share an id: they are told apart by a prefix.
+        node = lambda side: F.concat(F.lit(side), F.col("row" if side == "r" else "target").cast("string"))
+        roots = components(live.select(node("r").alias("src"), node("t").alias("dst")))
+        named = written(live.withColumn("node", node("r")).join(roots, "node").drop("node"), "chains")
+        large = written(named.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > serial).select("root"), "large")
+        small = named if large.isEmpty() else named.join(large, "root", "left_anti")
+        schema = ", ".join(f"{c} {live.schema[c].dataType.simpleString()}" for c in ("row", "target", "priority"))
+        accepted.append(written(small.groupBy("root").applyInArrow(_in_row_order, schema), "accepted"))
+        if not large.isEmpty():
+            accepted += _mutual_best(named.join(large, "root", "left_semi").drop("root"), None)[0]
     return reduce(DataFrame.unionByName, accepted) if accepted else live
 
 

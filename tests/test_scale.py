@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from citeloom.operators import matching, projection, vectors
+from citeloom.operators import graph, linkage, matching, projection, text, vectors
 from citeloom.plans.checkpoint import sized_broadcast, written
 from citeloom.sources import sinks
 
@@ -114,7 +114,8 @@ def test_layout_keeps_neighbours(spark):
     at = lambda rows: np.array([[r["x"], r["y"]] for r in sorted(rows.collect())])
     first = at(projection.neighbour_layout(df, "id"))
     assert len(first) == 500 and trustworthiness(x, first) >= max(0.9, trustworthiness(x, at(vectors.project_2d(df.where("id < 500"), "id"))))
-    assert (first == at(projection.neighbour_layout(df.repartition(5), "id"))).all()
+    again = [at(projection.neighbour_layout(rows, "id", epochs=3)) for rows in (df, df.repartition(5))]
+    assert (again[0] == again[1]).all()
     assert projection.neighbour_layout(df.where("id >= 900"), "id").collect() == []
 
 
@@ -132,3 +133,120 @@ def test_neighbour_edges(spark):
     last = np.sort(far, 1)[:, 11]
     assert set(map(len, got.values())) == {12} and len(got) == len(x)
     assert np.mean([np.mean(np.array(got[i]) <= last[i] + 1e-9) for i in range(len(x))]) >= 0.9
+
+
+def test_components(spark):
+    """Random graphs, a long chain, a star whose middle is the largest, self-edges and null ends against a serial search."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(300)] + [(5000, 4000 + i) for i in range(50)] + [(9, 9), (7777, 7777)]
+    above = {}
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        above[b] = a
+    got = graph.components(spark.createDataFrame([*edges, (None, 3), (3, None)], "src long, dst long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == {x: root(x) for x in list(above)}
+    assert graph.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_match_of_a_long_chain(spark, monkeypatch):
+    """A chain in which each of 1,500 rows waits for the one before ends after the fixed rounds, also where it is no serial one."""
+    n, rounds = 1_500, []
+    rows = spark.createDataFrame([(i, f"k{i}", f"k{i - 1}") for i in range(1, n)], "ord long, x string, y string")
+    targets = spark.createDataFrame([(i, f"k{i}") for i in range(n)], "ord long, x string").withColumn("y", F.col("x"))
+    keep = linkage.written
+    monkeypatch.setattr(linkage, "written", lambda df, tag="table": (rounds.append(tag), keep(df, tag))[1])
+    # By y first, row i takes target i - 1; row 1 also holds target 1 as its second choice, and so on.
+    first = spark.createDataFrame([(0, "k0", None)], "ord long, x string, y string").unionByName(rows)
+    got = {r["row"]: r["target"] for r in linkage.priority_match(first, targets, ["y", "x"], "ord", "ord").collect()}
+    free, want = set(range(n)), {}
+    for i in range(n):
+        for t in ((i - 1, i) if i else (0,)):
+            if t in free:
+                want[i] = t
+                free.discard(t)
+                break
+    assert got == want and rounds.count("accepted") <= linkage.ROUNDS + 1
+
+
+def test_match_of_large_components_goes_on_by_rounds(spark):
+    rng = random.Random(9)
+    draw = lambda n: [(i, rng.choice("abcdefgh") * 2, rng.choice("abcdefgh"), rng.choice("stuv")) for i in range(n)]
+    frame = lambda r: spark.createDataFrame(r, "ord long, x string, y string, z string")
+    rows, targets = frame(draw(60)), frame(draw(40))
+    match = lambda **o: sorted(tuple(r) for r in linkage.priority_match(rows, targets, ["x", "y", "z"], "ord", "ord", **o).collect())
+    assert match(serial=0) == match()
+
+
+def serial_lookup(datasets):
+    """The fold of one event after the other."""
+    known, bad = {}, set()
+    for _, name, variants, full in datasets:
+        known[name.lower()] = name
+        for v in dict.fromkeys([*variants, *([full] if full else [])]):
+            if v != name:
+                if v.lower() in known:
+                    del known[v.lower()]
+                    bad.add(v.lower())
+                elif v.lower() not in bad:
+                    known[v.lower()] = name
+    return known
+
+
+def test_lookup_in_chunks(spark):
+    """Small chunks composed over several levels give what the serial fold gives; ties of case make variants collide."""
+    rng = random.Random(10)
+    for _ in range(2):
+        word = lambda: "".join(rng.choice("abAB") for _ in range(rng.randrange(1, 3)))
+        datasets = [(i, f"{word()}", sorted({word() for _ in range(rng.randrange(4))}), rng.choice(["", word()])) for i in range(60)]
+        # Distinct names, as a name that differs by case only would be another event of the same variant.
+        df = spark.createDataFrame(datasets, "ord int, name string, variants array<string>, full_name string")
+        others = [(o, n, sorted({*v, *([f] if f else [])}), None) for o, n, v, f in datasets]
+        for chunk, fan in ((2, 2), (3, 5), (1024, 64)):
+            got = {r["variant"]: r["name"] for r in text.dataset_lookup(df, chunk, fan).collect()}
+            assert got == serial_lookup(others)
+
+
+def test_lookup_of_a_hot_variant(spark):
+    """A variant that all of 300,000 datasets hold is ambiguous; its events are folded in many groups."""
+    df = spark.range(300_000).select("id", F.col("id").cast("int").alias("ord"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.array(F.lit("Hot")).alias("variants"), F.lit(None).cast("string").alias("full_name"))
+    got = text.dataset_lookup(df)
+    assert got.count() == 300_000 and got.where("variant = 'hot'").isEmpty()
+    named = df.withColumn("name", F.when(F.col("id") == 299_999, "Hot").otherwise(F.col("name")))
+    assert [r["name"] for r in text.dataset_lookup(named).where("variant = 'hot'").collect()] == ["Hot"]
+
+
+def test_negatives_of_a_source_with_one_free_node(spark, monkeypatch):
+    """100,000 nodes of which the source lacks an edge to one: all its draws get that one, in two rounds and a direct draw."""
+    n, free, tags = 100_000, 77_777, []
+    hub = spark.range(2, n + 1).where(F.col("id") != free).select(F.lit(1).cast("long").alias("src"), F.col("id").alias("dst"))
+    keep = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, tag="table": (tags.append(tag), keep(df, tag))[1])
+    draws = spark.range(1, 41).select(F.col("id").alias("draw"), F.lit(1).cast("long").alias("src"))
+    linked = hub.unionByName(hub.select("src", F.col("src").alias("dst")).limit(1))
+    got = graph.free_nodes(draws, linked, n).collect()
+    assert len(got) == 40 and {r["dst"] for r in got} == {free}
+    small = spark.createDataFrame([(1, d) for d in range(2, 61) if d not in (7, 30)], "src long, dst long")
+    drawn = graph.negative_edges(small, small, 60, times=4).collect()
+    known = {(1, d) for d in range(2, 61) if d not in (7, 30)}
+    assert len(drawn) == 4 * len(known) and all(r["src"] != r["dst"] and tuple(sorted((r["src"], r["dst"]))) not in known for r in drawn)
+    assert {r["dst"] for r in drawn if r["src"] == 1} <= {7, 30} and sum(t.startswith("open") for t in tags) <= 3
+
+
+def test_free_nodes_are_even(spark):
+    """Every free node of several sources is drawn, none that is linked, about equally often; a full source gives no rows."""
+    rng = random.Random(11)
+    linked = {s: {s, *rng.sample(range(1, 31), 24)} for s in range(1, 5)} | {9: set(range(1, 31))}
+    rows = spark.createDataFrame([(s, d) for s, ds in linked.items() for d in ds], "src long, dst long")
+    draws = spark.range(1, 2_001).select(F.col("id").alias("draw"), F.when(F.col("id") % 5 == 0, 9).otherwise(F.col("id") % 5).alias("src"))
+    got = graph.free_nodes(draws, rows, 30).collect()
+    assert len(got) == 1_600
+    for s in range(1, 5):
+        seen = [r["dst"] for r in got if r["src"] == s]
+        free = set(range(1, 31)) - linked[s]
+        assert set(seen) == free and min(seen.count(d) for d in free) > 400 / len(free) / 2
