@@ -16,21 +16,24 @@ from citeloom.plans.checkpoint import sized_broadcast, written
 def contexts(papers: DataFrame, targets: DataFrame, citing: DataFrame | None = None, k: int = 1) -> DataFrame:
     """(cited, citing, sentences): for each cited target the first citation in a paper, with k sentences around it.
 
-    papers: ord, paper_id, body_text, bib_entries. targets: paper_id. Spans whose reference is unknown or no target are
+    papers: ord (unique), paper_id, body_text, bib_entries. targets: paper_id. Spans whose reference is unknown or no target are
     dropped; a paper_id that repeats counts by its last row. The marked sentence is found by the spliced offset, so other
-    markers in the text do no harm.
+    markers in the text do no harm. Spans are ranked by their places alone; only then the one section of each chosen span is
+    read, so no text goes through the ranking.
     """
     rows = papers if citing is None else papers.join(citing.select("paper_id"), "paper_id", "left_semi")
-    spans = rows.select("ord", "paper_id", "bib_entries", F.posexplode("body_text").alias("section", "s"))
-    spans = spans.select("ord", "paper_id", "bib_entries", "section", F.col("s.text").alias("text"), F.posexplode("s.cite_spans").alias("nth", "span"))
-    linked = spans.withColumn("cited", F.try_element_at("bib_entries", F.col("span.ref_id"))["link"])
+    spans = rows.select("ord", "paper_id", "bib_entries", F.posexplode(F.transform("body_text", lambda s: s["cite_spans"])).alias("section", "s"))
+    spans = spans.select("ord", "paper_id", "bib_entries", "section", F.posexplode("s").alias("nth", "span"))
+    linked = spans.select("ord", "paper_id", F.try_element_at("bib_entries", F.col("span.ref_id"))["link"].alias("cited"), F.struct("section", "nth", F.col("span.start").alias("start"), F.col("span.end").alias("end")).alias("at"))
     linked = linked.join(targets.select(F.col("paper_id").alias("cited")).distinct(), "cited", "left_semi")
-    first = Window.partitionBy("ord", "paper_id", "cited").orderBy("section", "nth")
-    one = linked.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    before = sentences(F.concat(F.substr("text", F.lit(1), F.col("span.start")), F.lit(MARKER)))
-    marked = sentences(splice(F.col("text"), F.col("span.start"), F.col("span.end")))
-    made = one.select("cited", "ord", F.col("paper_id").alias("citing"), window(marked, F.size(before) - 1, k).alias("sentences"))
-    return made.groupBy("cited", "citing").agg(F.max_by("sentences", "ord").alias("sentences"))
+    first = linked.groupBy("ord", "paper_id", "cited").agg(F.min("at").alias("at"))
+    one = first.groupBy("cited", "paper_id").agg(F.max_by(F.struct("ord", "at"), "ord").alias("_o"))
+    chosen = one.select("cited", "paper_id", "_o.ord", F.col("_o.at.section").alias("section"), F.col("_o.at.start").alias("start"), F.col("_o.at.end").alias("end"))
+    sections = rows.select("ord", F.posexplode("body_text").alias("section", "s")).select("ord", "section", F.col("s.text").alias("text"))
+    found = sections.join(sized_broadcast(written(chosen, "chosen-spans")), ["ord", "section"])
+    before = sentences(F.concat(F.substr("text", F.lit(1), F.col("start")), F.lit(MARKER)))
+    marked = sentences(splice(F.col("text"), F.col("start"), F.col("end")))
+    return found.select("cited", F.col("paper_id").alias("citing"), window(marked, F.size(before) - 1, k).alias("sentences"))
 
 
 def good_context(joined: Column, min_tokens: int = 10) -> Column:

@@ -25,6 +25,17 @@ def adjacency(edges: DataFrame, ordinal: str) -> DataFrame:
     return edges.groupBy("src").agg(F.transform(items, lambda x: x["dst"]).alias("list"))
 
 
+def adjacency_chunks(edges: DataFrame, ordinal: str, size: int = 1000) -> DataFrame:
+    """(src, chunk, list): adjacency() in lists of size neighbours, numbered from 0 in order of a unique ordinal.
+
+    Neighbours are ranked over range-sorted tasks, so a node with most of the edges is many rows, none larger than a list.
+    from_lists() reads them like whole lists.
+    """
+    placed = places(edges.select("src", "dst", ordinal), "src", ordinal).withColumn("chunk", F.floor(F.col("place") / size))
+    items = F.array_sort(F.collect_list(F.struct(F.col("place").alias("at"), F.col("dst").alias("dst"))))
+    return placed.groupBy("src", "chunk").agg(F.transform(items, lambda x: x["dst"]).alias("list"))
+
+
 def from_lists(rows: DataFrame, key: str, items: str) -> DataFrame:
     """(src, dst) from adjacency lists; rows without a key and lists that are null or empty give nothing."""
     listed = rows.where(F.col(key).isNotNull() & (F.coalesce(F.size(items), F.lit(0)) > 0))

@@ -188,7 +188,7 @@ def bfs_resumed(s, d):
     return graph.expand(*_graph(s, d), _seeds(s, d), 2, folder, inputs)[0]
 
 
-@query(_H + " SELECT src, dst, CASE WHEN src LIKE 'o%' THEN 'out' ELSE 'in' END AS direction FROM b WHERE src IN (FROM h0) OR src IN (FROM h1)")
+@query(_H + ", k AS (SELECT node FROM h0 UNION SELECT node FROM h1) SELECT b.src, b.dst, CASE WHEN b.src LIKE 'o%' THEN 'out' ELSE 'in' END AS direction FROM b JOIN k ON k.node = b.src")
 def citation_graph(s, d):
     return graph.expand(*_graph(s, d), _seeds(s, d), 2)[1]
 
@@ -648,6 +648,13 @@ def adjacency_lists(s, d):
     return lists.select(F.col("src").alias("paper_id"), F.size("list").cast("long").alias("n"), F.array_join("list", ",").alias("citing"))
 
 
+@query(f"WITH {E}, r AS (SELECT dst AS paper_id, src, ord, (row_number() OVER (PARTITION BY dst ORDER BY ord) - 1) // 10 AS chunk FROM e) SELECT paper_id, chunk, count(*) AS n, string_agg(src, ',' ORDER BY ord) AS citing FROM r GROUP BY ALL")
+def adjacency_chunks(s, d):
+    """Lists of ten, so that most parts have several."""
+    lists = graph.adjacency_chunks(edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ord"), "ord", 10)
+    return lists.select(F.col("src").alias("paper_id"), "chunk", F.size("list").cast("long").alias("n"), F.array_join("list", ",").alias("citing"))
+
+
 @query(f"WITH {P} SELECT paper_id, shard FROM p WHERE shard IN (SELECT DISTINCT shard FROM p ORDER BY shard LIMIT 2) ORDER BY ord LIMIT 50")
 def limited_documents(s, d):
     """The first 50 documents of the first two shards: the limit is the operator."""

@@ -250,3 +250,24 @@ def test_free_nodes_are_even(spark):
         seen = [r["dst"] for r in got if r["src"] == s]
         free = set(range(1, 31)) - linked[s]
         assert set(seen) == free and min(seen.count(d) for d in free) > 400 / len(free) / 2
+
+
+def test_hot_node_in_chunks(spark):
+    """A node with 200,000 neighbours is 200 lists over several ranges, and reads back as its edges."""
+    edges = spark.range(200_000).select(F.lit(1).cast("long").alias("src"), F.col("id").alias("dst"), (F.col("id") * 7 % 200_003).alias("ord")).unionByName(spark.createDataFrame([(2, 5, -1)], "src long, dst long, ord long"))
+    lists = graph.adjacency_chunks(edges, "ord")
+    assert lists.agg(F.max(F.size("list")), F.count(F.lit(1))).first()[:] == (1000, 201)
+    back = graph.from_lists(lists, "src", "list")
+    assert back.exceptAll(edges.select("src", "dst")).isEmpty() and back.count() == 200_001
+
+
+def test_contexts_rank_without_texts(spark):
+    """No exchange or window of the context plan but the last join carries a text."""
+    from citeloom.operators import citances
+
+    rows = [(1, "c", [("One. Two X here.", [(10, 11, "r")]), ("Other Y.", [(6, 7, "r")])], {"r": ("t",)}), (2, "c", [("Later Z.", [(6, 7, "r")])], {"r": ("t",)})]
+    kind = "ord int, paper_id string, body_text array<struct<text:string,cite_spans:array<struct<start:int,end:int,ref_id:string>>>>, bib_entries map<string,struct<link:string>>"
+    got = citances.contexts(spark.createDataFrame(rows, kind), spark.createDataFrame([("t",)], "paper_id string"))
+    assert [tuple(r) for r in got.collect()] == [("t", "c", ["Later [CITE]."])]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
