@@ -5,15 +5,18 @@ d = (|a|+|b|) * (den-num) / (den+num) elements, and their sizes differ by a fact
 whose limits grow by den/num, so a pair lies in one band or in neighbours; each set is sketched for its own band and the
 next. For a band, the shingles are dealt into p parts by a hash, and each part keeps the XOR of its shingles' hashes. A
 shingle that only one set has changes one part, so p > d parts leave at least one that is equal in both (pigeonhole). Sets
-are joined on (band, part, XOR). A second sketch of 1024 parity bits (each shingle toggles one) has a Hamming distance that
-is never above the true symmetric difference; it removes false candidates before the texts are compared exactly.
+are joined on (band, part, XOR). A second sketch of parity bits (each shingle toggles one) has a Hamming distance that
+is never above the true symmetric difference; it removes false candidates before the texts are compared exactly. As a
+distance of random sketches ends at half the bits, a sketch has at least six bits for each element in which a pair of its
+band may differ, and never under 1024. Its width is a power of two, so that a wide one folds to any narrower one by XOR.
 
 Only connectedness is wanted, so no bucket is expanded into all its pairs. Each member meets its bucket's smallest member;
 links found that way are contracted to components. In buckets that still hold several components, members of different
 components meet inside tasks, and each member picks one other that its sketch allows. Picks are verified: a link contracts
 two components, any other pair is not picked again. While all picks are links, each turn at least halves the components of
-a bucket. What is still open after TURNS turns is returned and verified in full. A pair that is linked is thus compared or
-already connected: nothing is lost.
+a bucket. After TURNS such turns the picks of a member double with each turn, so that few turns are left even where sketches
+allow many pairs that are no links. Turns end when no pick is left: a pair that is linked is thus compared or already
+connected, and nothing is lost.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +35,13 @@ from pyspark.sql import Window
 from citeloom.llm.common import WORD_PATTERN, ascii_words, buckets, materialize, mix, shingles, sized_broadcast
 from citeloom.llm.components import connected_components
 
+#: The narrowest sketch; wide sets have more bits, see Bands.bits().
 BITS = 1024
 #: Members of a bucket that meet in one task.
 BLOCK = 512
-#: Turns in which each member picks one other; then all pairs that are left are verified.
+#: Longs of sketches that a block holds at most, where its members are wide.
+BLOCK_LONGS = 1 << 20
+#: Turns after the first in which each member picks one other; from then on the picks double with each turn.
 TURNS = 4
 
 
@@ -58,6 +65,10 @@ class Bands:
         most = 2 * (int(self.limits[band + 1]) - 1) * (self.den - self.num) // (self.den + self.num)
         return most, most + 1 + -(-most * 7 * (self.den - self.num) // (10 * (self.den + self.num)))
 
+    def bits(self, size: int) -> int:
+        """Parity bits of a set of size shingles: the power of two with six or more for each element its band lets differ."""
+        return max(BITS, 1 << (6 * self.parts(self.of(max(1, size)))[0] - 1).bit_length()) if size else BITS
+
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         """Join keys of a set: one for each band it belongs to and each part.
 
@@ -91,21 +102,42 @@ def _sets(column: pa.ChunkedArray | pa.Array, width: int) -> Iterator[np.ndarray
         yield shingles(ascii_words(text.as_py()), width)
 
 
-def signatures(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, hash, n, sid, bits) for each row: set size, 64-bit name of the set (null if empty), parity bits as 16 longs.
+def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The parity sketch as longs: each hash toggles the bit that its lowest bits name."""
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+class Sketches:
+    """Parity sketches of unlike widths, one after another in one array of longs."""
+
+    def __init__(self, longs: np.ndarray, width: np.ndarray):
+        self.longs, self.width, self.start = longs, width, np.cumsum(width) - width
+
+    def folded(self, rows: np.ndarray, width: int, at: int, upto: int) -> np.ndarray:
+        """Longs at to upto of the sketches of rows, folded to width longs."""
+        out = np.zeros((len(rows), upto - at), np.uint64)
+        for j in range(0, int(self.width[rows].max(initial=0)), width):
+            has = self.width[rows] > j
+            out[has] ^= self.longs[(self.start[rows[has]] + j + at)[:, None] + np.arange(upto - at)]
+        return out
+
+
+def signatures(documents: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """(doc_id, hash, n, sid, bits) for each row: set size, 64-bit name of the set (null if empty), parity bits as longs.
 
     hash names the texts of rows without doc_id; it is null in other rows.
     """
 
     def run(batches):
         for batch in batches:
-            n, sid, bits = [], [], np.zeros((batch.num_rows, BITS // 8), np.uint8)
-            for i, h in enumerate(_sets(batch.column(2), width)):
+            n, sid, bits = [], [], [np.empty(0, np.int64)]
+            for h in _sets(batch.column(2), width):
                 n.append(len(h))
                 sid.append(_sid(h) if len(h) else None)
-                bits[i] = np.packbits((np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
-            longs = pa.array(bits.view(np.int64).reshape(-1))
-            offsets = pa.array(np.arange(0, len(longs) + 1, BITS // 64, dtype=np.int32))
+                bits.append(parity(h, bands.bits(len(h))))
+            longs = pa.array(np.concatenate(bits))
+            offsets = pa.array(np.cumsum([len(b) for b in bits]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.ListArray.from_arrays(offsets, longs)], ["doc_id", "hash", "n", "sid", "bits"])
 
     rows = documents.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("hash"), "text")
@@ -149,7 +181,15 @@ def memberships(documents: DataFrame, width: int, bands: Bands) -> DataFrame:
 def _near(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
     """Of pairs (u, v), those whose sizes and parity bits allow a link, with a document of each, or its hash if it has no doc_id."""
     side = lambda a: classes.select(*[F.col(c).alias(t) for c, t in (("sid", a), ("n", f"n_{a}"), ("bits", f"bits_{a}"), ("doc", f"doc_{a}"), ("hash", f"hash_{a}"))])
-    distance = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    least = F.least(F.size("bits_u"), F.size("bits_v"))
+
+    def folded(bits):
+        """bits as least longs: those whose places differ by a multiple of least are XORed."""
+        ways = F.sequence(F.lit(0), (F.size(bits) / least).cast("int") - 1)
+        one = lambda i: F.aggregate(ways, F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(F.col(bits), i + j * least)))
+        return F.when(F.size(bits) == least, F.col(bits)).otherwise(F.transform(F.sequence(F.lit(0), least - 1), one))
+
+    distance = F.aggregate(F.zip_with(folded("bits_u"), folded("bits_v"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     sizes = (F.least("n_u", "n_v") * bands.den >= F.greatest("n_u", "n_v") * bands.num)
     allowed = (F.col("n_u") + F.col("n_v")) * (bands.den - bands.num)
     return pairs.join(side("u"), "u").join(side("v"), "v").where(sizes & (distance * (bands.den + bands.num) <= allowed)).select("u", "v", "doc_u", "doc_v", "hash_u", "hash_v")
@@ -168,47 +208,67 @@ def _buckets(members: DataFrame, keys: DataFrame) -> DataFrame:
     return materialize(rows.join(sized_broadcast(one), "key", "left_semi").select("key", "u"), "open-nodes")
 
 
-def _picks(nodes: DataFrame, bands: Bands, every: bool) -> DataFrame:
-    """(key, u, v): each member u of a bucket with the smallest member v of another component whose size and parity bits allow a link.
+def _picks(nodes: DataFrame, bands: Bands, doubled: int) -> DataFrame:
+    """(key, u, v): each member u of a bucket with the smallest members v of other components whose size and parity bits allow a link.
 
-    nodes: key, blocks, u, root_u, n, bits and no, the members that u is known not to link with. A task thus returns at most
-    one row for each member of a bucket, or of two blocks of it: a bucket is cut into so many blocks that each has about
-    BLOCK members, and every two blocks meet in a task of their own. With every, all such pairs are returned.
+    nodes: key, blocks, u, root_u, n, bits and no, the members that u is known not to link with. A task returns at most
+    2 ** doubled rows for each member of a bucket, or of two blocks of it: a bucket is cut into so many blocks that each has
+    about BLOCK members, and every two blocks meet in a task of their own. Where any pair is allowed, some pair is returned.
     """
-    rows, own = nodes, F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    rows, own, many = nodes, F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"), 2**doubled
     ways = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("low"), F.greatest(b, own).alias("high")))
     rows = rows.select("key", F.explode(ways).alias("way"), own.alias("own"), "u", "root_u", "n", "bits", "no").select("key", "way.low", "way.high", "own", "u", "root_u", "n", "bits", "no")
 
-    def near(p, q, root, n, bits):
+    def near(p, q, root, n, sketches):
+        """Of places p, q those pairs that sizes and sketches allow; sketches are read 16 longs at a time."""
         ok = (root[p] != root[q]) & (np.minimum(n[p], n[q]) * bands.den >= np.maximum(n[p], n[q]) * bands.num)
         p, q = p[ok], q[ok]
-        distance = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)
-        ok = distance * (bands.den + bands.num) <= (n[p] + n[q]) * (bands.den - bands.num)
+        width, limit = np.minimum(sketches.width[p], sketches.width[q]), (n[p] + n[q]) * (bands.den - bands.num)
+        distance = np.zeros(len(p), np.int64)
+        for w in np.unique(width).tolist():
+            left = np.flatnonzero(width == w)
+            for at in range(0, w, BITS // 64):
+                if not len(left):
+                    break
+                low, high = min(p[left].min(), q[left].min()), max(p[left].max(), q[left].max())
+                used = np.zeros(high - low + 1, bool)
+                used[p[left] - low] = used[q[left] - low] = True
+                part, place = sketches.folded(np.flatnonzero(used) + low, w, at, at + BITS // 64), np.cumsum(used) - 1
+                distance[left] += np.bitwise_count(part[place[p[left] - low]] ^ part[place[q[left] - low]]).sum(1, dtype=np.int64)
+                left = left[distance[left] * (bands.den + bands.num) <= limit[left]]
+        ok = distance * (bands.den + bands.num) <= limit
         return p[ok], q[ok]
 
-    def meet(low, high, own, u, root, n, bits, no):
+    def meet(low, high, own, u, root, n, sketches, first, no):
         a = np.flatnonzero(own == low)
         b = np.flatnonzero(own == high) if low != high else a
-        out = [] if every else np.full(len(u), len(u))
+        picked, out = np.zeros(len(u), np.int64), [np.empty((2, 0), np.int64)]
         banned = [np.empty(0, np.int64)]
         for i, values in no:
             j = np.minimum(np.searchsorted(u, values), len(u) - 1)
             j = j[u[j] == values]
             banned += [i * len(u) + j, j * len(u) + i]
         banned = np.concatenate(banned)
+
+        def pick(p, q):
+            """The first pairs of each p, as many as it may still pick. Pairs come in order of q."""
+            order = np.argsort(p, kind="stable")
+            p, q = p[order], q[order]
+            ok = np.arange(len(p)) - np.searchsorted(p, p) + picked[p] < many
+            np.add.at(picked, p[ok], 1)
+            out.append(np.stack([p[ok], q[ok]]))
+
         for at in range(0, len(a), 64):
             part = a[at : at + 64]
             to = b if low != high else a[at:]
-            p, q = near(np.repeat(part, len(to)), np.tile(to, len(part)), root, n, bits)
+            p, q = near(np.repeat(part, len(to)) + first, np.tile(to, len(part)) + first, root, n, sketches)
+            p, q = p - first, q - first
             if len(banned):
                 free = ~np.isin(p * len(u) + q, banned)
                 p, q = p[free], q[free]
-            if every:
-                out.append(np.stack([p, q]))
-            else:
-                np.minimum.at(out, p, q)
-                np.minimum.at(out, q, p)
-        p, q = np.concatenate(out, axis=1) if every else (np.flatnonzero(out < len(u)), out[out < len(u)])
+            pick(p, q)
+            pick(q, p)
+        p, q = np.concatenate(out, axis=1)
         return u[p], u[q]
 
     def run(batches):
@@ -218,23 +278,27 @@ def _picks(nodes: DataFrame, bands: Bands, every: bool) -> DataFrame:
             if table is None or not table.num_rows:
                 continue
             key, low, high, own, u, root, n = (table.column(i).to_numpy() for i in range(7))
-            bits = table.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+            bits = table.column(7).combine_chunks()
+            sketches = Sketches(bits.flatten().to_numpy().view(np.uint64), bits.value_lengths().to_numpy().astype(np.int64))
             no = table.column(8).combine_chunks()
             upto, values = np.concatenate([[0], np.cumsum(no.value_lengths().to_numpy())]), no.flatten().to_numpy()
             new = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             ends = np.array([0, *new.tolist(), table.num_rows])
             if batch is not None:
                 ends = ends[:-1]
-            # Buckets of two members, which are most, are compared all at once.
+            # Buckets of two members, which are most, are compared many at once.
             size = np.diff(ends)
-            p = ends[:-1][(size == 2) & ((upto[ends[1:]] == upto[ends[:-1]]) if len(size) else False)]
-            p, q = near(p, p + 1, root, n, bits)
-            found = [(key[p], u[p], u[q])]
+            two = ends[:-1][(size == 2) & ((upto[ends[1:]] == upto[ends[:-1]]) if len(size) else False)]
+            found = []
+            for at in range(0, max(1, len(two)), 20_000):
+                p = two[at : at + 20_000]
+                p, q = near(p, p + 1, root, n, sketches)
+                found.append((key[p], u[p], u[q]))
             for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 if j - i > 2 or (j - i == 2 and upto[j] > upto[i]):
                     cut = slice(i, j)
                     lists = [(k - i, values[upto[k] : upto[k + 1]]) for k in range(i, j) if upto[k + 1] > upto[k]] if upto[j] > upto[i] else []
-                    p, q = meet(low[i], high[i], own[cut], u[cut], root[cut], n[cut], bits[cut], lists)
+                    p, q = meet(low[i], high[i], own[cut], u[cut], root, n, sketches, i, lists)
                     found.append((np.full(len(p), key[i]), p, q))
             columns = [np.concatenate([f[side] for f in found]) for side in range(3)]
             for at in range(0, len(columns[0]), 100_000):
@@ -316,7 +380,7 @@ def _grouped(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """near_duplicates() with hash (as in signatures) and root, which names the component (null for the empty set)."""
     bands = Bands(num, den)
     documents = documents.select("doc_id", "text")
-    signed = materialize(signatures(documents, width), "signatures")
+    signed = materialize(signatures(documents, width, bands), "signatures")
     classes = materialize(signed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min("hash").alias("hash"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     members = materialize(memberships(documents, width, bands), "members")
     met = materialize(members.select(F.col("sid").alias("u"), F.col("center").alias("v")).distinct(), "met")
@@ -329,15 +393,17 @@ def _grouped(documents: DataFrame, width: int, num: int, den: int) -> DataFrame:
         keys = members.join(sized_broadcast(apart.select(F.col("u").alias("sid"), F.col("v").alias("center"))), ["sid", "center"], "left_semi").select("key").distinct()
         nodes = _buckets(members, materialize(keys, "open-keys"))
         unlike = near.select("u", "v").join(links, ["u", "v"], "left_anti")
-        for turn in range(TURNS + 1):
+        wide = classes.select(F.col("sid").alias("u"), F.size("bits").alias("longs"))
+        nodes = materialize(nodes.join(wide, "u"), "sized-nodes")
+        for turn in count():
             unlike = materialize(unlike, "unlike")
             placed = _at(nodes, "u", found)
-            open_ = placed.groupBy("key").agg(F.min("root_u").alias("_l"), F.max("root_u").alias("_h"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+            open_ = placed.groupBy("key").agg(F.min("root_u").alias("_l"), F.max("root_u").alias("_h"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("longs") / BLOCK_LONGS)).cast("int").alias("blocks"))
             placed = placed.join(sized_broadcast(materialize(open_.where("_l < _h").select("key", "blocks"), "open-buckets")), "key")
             placed = placed.join(classes.select(F.col("sid").alias("u"), "n", "bits"), "u")
             no = unlike.groupBy("u").agg(F.collect_list("v").alias("no"))
             placed = placed.join(no, "u", "left").withColumn("no", F.coalesce("no", F.array().cast("array<long>")))
-            picks = materialize(_picks(materialize(placed, "open-members"), bands, turn == TURNS), "picks")
+            picks = materialize(_picks(materialize(placed.select("key", "blocks", "u", "root_u", "n", "bits", "no"), "open-members"), bands, max(0, turn - TURNS)), "picks")
             if picks.isEmpty():
                 break
             # A bucket without a pick has none in a later turn either.

@@ -77,3 +77,48 @@ def test_rejected_picks_are_not_picked_again(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, 3, 90, 100).collect()}
     assert [got[i] for i in range(len(texts))] == components(texts, 3, 90)[0]
+
+
+def test_long_texts_that_do_not_link_are_not_verified(spark, monkeypatch):
+    """120 texts of 6,000 words made from one template, at about 0.72: sketches as wide as the texts reject nearly all pairs."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(6000)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.sample(range(6000), 180):
+            words[at] = f"e{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    # Two real links among them, of one changed word each.
+    texts += [" ".join(["start", *texts[0].split()[1:]]), " ".join([*texts[7].split()[:-1], "end"])]
+    seen: list[int] = []
+    verified = jaccard._verified
+
+    def counted(near, documents, width, bands):
+        seen.append(near.count())
+        return verified(near, documents, width, bands)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    want, link = components(texts, 5, 80)
+    assert [got[i] for i in range(len(texts))] == want and link.sum() == len(texts) + 4
+    assert sum(seen) < 0.05 * 7140
+
+
+def test_sketches_of_unlike_widths_meet_folded(spark):
+    """A pair across the limit between two widths of sketch: both ways of folding give a lower bound of the difference."""
+    bands = jaccard.Bands(80, 100)
+    sizes = [n for n in range(700, 3000) if bands.bits(n) != bands.bits(n + 1)]
+    assert sizes
+    texts = []
+    for g, n in enumerate(sizes):
+        words = [f"g{g}w{i}" for i in range(n + 4)]
+        texts += [" ".join(words), " ".join([*words, *[f"more{i}" for i in range(n // 12)]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+    hashes = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
+    wide, narrow = jaccard.parity(hashes, 4096).view(np.uint64), jaccard.parity(hashes, 1024).view(np.uint64)
+    both = jaccard.Sketches(np.concatenate([wide, narrow]), np.array([64, 16]))
+    assert (both.folded(np.array([0, 1]), 16, 0, 16) == narrow).all()
