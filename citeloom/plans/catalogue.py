@@ -540,6 +540,14 @@ def nearest_neighbors(s, d):
     return vectors.nearest(table(s, d, "embeddings"), 0, "vec_id", 5).withColumn("distance", F.round("distance", 6))
 
 
+@query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT q.vec_id, e.vec_id AS neighbour, list_distance(a, e.embedding::DOUBLE[]) AS d FROM q JOIN embeddings e ON q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), neighbour) AS rank FROM x) SELECT vec_id, neighbour, rank, round(d, 6) AS distance FROM r WHERE rank <= 5""")
+def neighbors_of_many(s, d):
+    """The five nearest of every vector whose id is divisible by 50, among all."""
+    rows = table(s, d, "embeddings")
+    return vectors.nearest_of_many(rows, rows.where("vec_id % 50 = 0"), "vec_id", 5).withColumn("distance", F.round("distance", 6))
+
+
 @query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT i, avg(v) AS m FROM x GROUP BY i), ds AS (SELECT vec_id, sqrt(sum((v - m) * (v - m))) AS distance FROM x JOIN m USING (i) GROUP BY vec_id) SELECT vec_id, round(distance, 6) AS distance FROM ds WHERE distance < 0.99")
 def outliers(s, d):
     return vectors.without_outliers(table(s, d, "embeddings").select("vec_id", "embedding"), 0.99).select("vec_id", F.round("distance", 6).alias("distance"))

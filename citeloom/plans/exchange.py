@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
 from citeloom.operators import graph
-from citeloom.plans.catalogue import _DRAWN, _SPLIT, ORACLE_SQL, E, _counts, _negatives, _weights, edges, papers, query, table
+from citeloom.plans.catalogue import _DRAWN, _SPLIT, ORACLE_SQL, E, P, T, _counts, _negatives, _weights, edges, papers, query, table, targets
 from citeloom.plans.checkpoint import cached, scratch_path, written
 from citeloom.sources import readers, sinks
+from citeloom.streaming import linkage
 
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 
@@ -66,6 +67,18 @@ def command_list(s, d):
     return readers.commands(s, path).select(F.array_join("tokens", " ").alias("command"), F.size("tokens").cast("long").alias("n"))
 
 
+@query(f"WITH {P}, {T} SELECT hash, min(ord) AS ord, arg_min(paper_id, ord) AS paper_id FROM p WHERE hash IN (SELECT hash FROM t) GROUP BY hash")
+def streamed_links(s, d):
+    """All documents as arriving shards, two files a batch; of each target's text the first document, kept as state."""
+    folder, claims, check = (scratch_path(s, tag) for tag in ("arriving", "claims", "progress"))
+    kind = "ord long, paper_id string, hash string"
+    rows = papers(s, d).select("ord", "paper_id", "hash", (F.col("ord") % 7).alias("shard_id"))
+    rows.repartition("shard_id").write.partitionBy("shard_id").json(folder)
+    stream = s.readStream.schema(kind).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).json(folder)
+    linkage.keep_lowest(stream, targets(s, d), "hash", ["paper_id"], claims, check).trigger(availableNow=True).start().awaitTermination()
+    return linkage.lowest(s, claims, kind, "hash")
+
+
 @query("SELECT n_name AS name, n_regionkey::VARCHAR AS value FROM nation")
 def json_map(s, d):
     """A JSON object of all nations, written as one line and read as rows."""
