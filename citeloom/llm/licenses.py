@@ -41,24 +41,26 @@ def text_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
-def parse(expression: str) -> list[str] | None:
-    """A licence expression in reverse Polish order by the shunting-yard algorithm; None if it is malformed.
+def parse(expression: str, start: int = 0, stop: int | None = None) -> list[str] | None:
+    """A licence expression, from start to stop, in reverse Polish order by the shunting-yard algorithm; None if it is malformed.
 
     Operators are with, and, or, from the tightest to the loosest, without regard to case. Reading ends at the first token
     that can't follow, as prose may stand behind a tag; what was read must be whole.
     """
     out: list[str] = []
     stack: list[str] = []
-    operand = True  # expected next
-    for m in _TOKEN.finditer(expression):
+    operand, deep = True, 0  # whether an operand is expected next; open parentheses
+    for m in _TOKEN.finditer(expression, start, len(expression) if stop is None else stop):
         token, low = m[0], m[0].lower()
         if token == "(":
             if not operand:
                 break
             stack.append(token)
+            deep += 1
         elif token == ")":
-            if operand or "(" not in stack:
+            if operand or not deep:
                 break
+            deep -= 1
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
@@ -74,7 +76,7 @@ def parse(expression: str) -> list[str] | None:
                 break
             out.append(low)
             operand = False
-    if operand or "(" in stack:
+    if operand or deep:
         return None
     return out + stack[::-1]
 
@@ -139,8 +141,12 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
             more[label] = max(sure, more.get(label, 0))
     low = (text or "").encode("utf-8", "surrogatepass").lower()
     if TAG[:5].encode() in low:
+        stop = -1  # the end of the line that holds the tag
         for end, _ in tags.iter(low.decode("utf-8", "surrogatepass")):
-            if rpn := parse(text[end + 1 :].split("\n", 1)[0]):
+            if stop <= end:
+                stop = text.find("\n", end + 1)
+                stop = len(text) if stop < 0 else stop
+            if rpn := parse(text, end + 1, stop):
                 tagged[tuple(rpn)] = evaluate(rpn, {i: degree(i) for i in rpn})
     doubt = 1.0
     for sure in sorted([BASE_SURE] * len(base) + [*more.values(), *tagged.values()]):

@@ -6,7 +6,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -53,6 +53,17 @@ def _member(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return pack.compress(head.encode() + block + b"\r\n\r\n") + pack.flush()
 
 
+def _name(page_id) -> str:
+    """A page's id inside a record id: percent-encoded text; nothing for null and a bare % for the empty text."""
+    return "" if page_id is None else quote(str(page_id), safe="") or "%"
+
+
+def _id(name: str | None) -> str | None:
+    """The id, as text, that _name() put into a record id."""
+    inner = name[len("<urn:page:") : -1] if name else ""
+    return None if not inner else "" if inner == "%" else unquote(inner)
+
+
 def record(page_id, url: str | None, payload: bytes | None, digest: str, length: int, refers_to, date: str) -> bytes:
     """One gzip member: a response with its payload or, where refers_to is given, a revisit without."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
@@ -60,7 +71,7 @@ def record(page_id, url: str | None, payload: bytes | None, digest: str, length:
     block = http if revisit else http + (payload or b"")
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{_name(page_id)}>"),
         ("WARC-Date", date),
         ("WARC-Target-URI", quote(url, safe="%/:?#[]@!$&'()*+,;=~") if url else "urn:none"),
         ("Content-Type", "application/http; msgtype=response"),
@@ -68,7 +79,7 @@ def record(page_id, url: str | None, payload: bytes | None, digest: str, length:
         ("WARC-Payload-Digest", f"sha256:{digest}"),
     ]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{_name(refers_to)}>")]
     return _member(fields, block)
 
 
@@ -78,7 +89,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 100,
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of at least min_revisit_bytes, those with
     the smallest page_id are responses and the rest revisit it; rows without page_id revisit too, or are responses where no
     row of the group has an id. Digests are grouped with partial sums; only groups of several rows are joined back. Files
-    have unique names and only those in the manifest count, so a task that is run again harms nothing. No rows, no files.
+    have unique names and only those in the manifest count, so a task that is run again harms nothing. No rows, no files. Ids
+    are whole numbers, texts or dates; a record has its id as text. A null url is the record's urn:none. Payloads of any
+    length are one record.
     """
     folder = store_uri(pages.sparkSession, folder)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
@@ -152,13 +165,13 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, block, payload
 
 
-def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, folder: str, payloads: bool = True, id_type: str = "long") -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record of the manifest's archives.
 
     One task reads an archive from its start to its end and holds one record at a time. A revisit has the length and
     digest of the full payload, which its own block doesn't hold (payload is null). With payloads false, payloads are
-    checked but not returned (payload is null). Pages without page_id have null there; an empty manifest gives no rows; a
-    damaged or incomplete archive is an error.
+    checked but not returned (payload is null). Pages without page_id have null there; page_id and refers_to are cast from the
+    records' text to id_type. An empty manifest gives no rows; a damaged or incomplete archive is an error.
     """
     folder = store_uri(manifest.sparkSession, folder)
 
@@ -171,7 +184,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
             for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = held = 0
@@ -179,9 +192,8 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                     for member in members(stream):
                         fields, block, payload = parse(member)
                         http = dict(x.split(": ", 1) for x in block.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
-                        number = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
                         revisit = fields["WARC-Type"] == "revisit"
-                        rows.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], int(http["Content-Length"]), fields["WARC-Payload-Digest"][len("sha256:") :], fields["WARC-Type"], number(fields.get("WARC-Refers-To")), payload if payloads and not revisit else None))
+                        rows.append((_id(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], int(http["Content-Length"]), fields["WARC-Payload-Digest"][len("sha256:") :], fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), payload if payloads and not revisit else None))
                         seen, held = seen + 1, held + len(payload) * payloads
                         if len(rows) >= 5000 or held > 8 << 20:
                             yield cut()
@@ -193,7 +205,8 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
             yield cut()
 
     one_each = manifest.select("path", "records")
-    return one_each.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    found = one_each.mapInArrow(run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
@@ -205,4 +218,4 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
     folder = scratch_path(spark, "warc")
     manifest = materialize(write_archives(pages, folder, min_revisit_bytes), "manifest")
     n = max(1, manifest.count())
-    return read_archives(manifest.repartition(n), folder, payloads=False)
+    return read_archives(manifest.repartition(n), folder, False, pages.schema["page_id"].dataType.simpleString())
