@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +18,19 @@ SHORT_FORMS = {
 ABBREVIATIONS = (
     "sgt.", "sen.", "col.", "brig.", "gen.", "maj.", "sr.", "lt.", "cmdr.", "u.s.", "mr.", "p.o.w.", "u.k.", "u.n.", "ft.", "dr.", "d.c.", "mt.", "st.", "snr.", "rep.", "ms.", "capt.", "sq.", "jr.", "ave.",
 )
+# Closing quotes and brackets that may stand behind a full stop.
+CLOSERS = "\"')]}"
 MARKER = "[CITE]"
+# English words that carry no topic.
+STOP_WORDS = tuple(
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself "
+    "it it's its itself they them their theirs themselves what which who whom this that that'll these those am is are was were be been being "
+    "have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through "
+    "during before after above below to from up down in out on off over under again further then once here there when where why how all any both each "
+    "few more most other some such no nor not only own same so than too very s t can will just don don't should should've now d ll m o re ve y "
+    "ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't "
+    "shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't".split()
+)
 
 
 def split_words(text: Column) -> Column:
@@ -67,16 +79,81 @@ def sentences(text: Column) -> Column:
     Blank lines always part them, and a single newline is a blank. A blank after . ? or ! parts them too, unless an
     abbreviation or an ellipsis stands before it, or a token with -- on either side of it.
     """
+    return _sentences(F.split(_held(text), r"\n{2,}|(?<=[.!?])\s+"))
+
+
+def _held(text: Column) -> Column:
+    """text with single newlines as blanks, and U+0001 for each blank at which the rules of sentences() allow no end."""
     joined = F.lit("$1\u0001")
     held = F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
-    held = F.regexp_replace(held, r"[^\S\n]+(?=\S*--)", "\u0001")
-    held = F.regexp_replace(held, F.lit(r"(\S*--\S*|\.\.\.)[^\S\n]+"), joined)
+    # Matches start at the start of a run and don't go back inside it, so that a long run costs no more than its length.
+    held = F.regexp_replace(held, r"(?<![^\S\n])[^\S\n]++(?=\S*--)", "\u0001")
+    held = F.regexp_replace(held, F.lit(r"((?<!\S)(?>\S*--\S*+)|\.\.\.)[^\S\n]+"), joined)
     words = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    held = F.regexp_replace(held, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}.])({words})[^\S\n]+"), joined)
-    parts = F.split(held, r"\n{2,}|(?<=[.!?])\s+")
+    return F.regexp_replace(held, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}.])({words})[^\S\n]+"), joined)
+
+
+def _sentences(parts: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.btrim(F.replace(s, F.lit("\u0001"), F.lit(" ")))), lambda s: s != "")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value evaluated once, also where then uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def base(word: Column) -> Column:
+    """A word in lower case without punctuation at its ends; u.s. becomes u.s"""
+    return F.btrim(F.lower(word), F.lit(PUNCTUATION))
+
+
+def dotted(word: Column) -> Column:
+    """Has the word one full stop at its end, or before other punctuation at its end?"""
+    bare = F.rtrim(word, F.lit(PUNCTUATION.translate({ord(c): None for c in ".?!"})))
+    return bare.endswith(".") & ~bare.endswith("..")
+
+
+def stops(word: Column) -> Column:
+    """Does the word, closing quotes and brackets aside, end in ? or ! or one full stop?"""
+    bare = F.rtrim(word, F.lit(CLOSERS))
+    return bare.endswith("?") | bare.endswith("!") | (bare.endswith(".") & ~bare.endswith(".."))
+
+
+def pieces(text: Column) -> Column:
+    """The text parted before every white space behind . ? or ! at which the rules of sentences() allow an end."""
+    return F.split(_held(text), r"(?<=[.!?])(?=\s)")
+
+
+def _plain(piece: Column) -> Column:
+    return F.translate(piece, "\t\n\x0b\f\r\u0001", " " * 6)
+
+
+def last_word(piece: Column) -> Column:
+    return F.substring_index(_plain(piece), " ", -1)
+
+
+def first_word(piece: Column) -> Column:
+    return F.substring_index(F.ltrim(_plain(piece)), " ", 1)
+
+
+def learned_sentences(text: Column, abbreviations: Column, starters: Column) -> Column:
+    """sentences() that also go on behind a learned abbreviation, unless a capitalised learned starter or a blank line follows.
+
+    abbreviations, starters: arrays of base() forms; null counts as empty, and with two empty ones the result is that of sentences().
+    """
+    none = F.array().cast("array<string>")
+    known, begins = F.coalesce(abbreviations, none), F.coalesce(starters, none)
+
+    def marked(parts: Column, piece: Column, i: Column) -> Column:
+        last, first = last_word(F.get(parts, i - 1)), first_word(piece)
+        starts = F.array_contains(begins, base(first)) & F.ltrim(first, F.lit(PUNCTUATION)).rlike(r"^\p{Lu}")
+        glued = dotted(last) & F.array_contains(known, base(last)) & ~piece.rlike(r"^\s*\n") & ~starts
+        return F.when((i == 0) | glued, piece).otherwise(F.concat(F.lit("\u0003"), F.regexp_replace(piece, r"^\s+", "")))
+
+    joined = once(pieces(text), lambda parts: F.array_join(F.transform(parts, lambda piece, i: marked(parts, piece, i)), ""))
+    return _sentences(F.split(joined, "\n{2,}|\u0003"))
+
+
 def window(items: Column, at: Column, k: int) -> Column:
     """Items from at - k to at + k (positions from 0), cut at the ends."""
     start = F.greatest(at - k, F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import citances, graph, linkage, matching, projection, text, vectors
+from citeloom.operators import citances, graph, linkage, matching, projection, segmenter, text, vectors
 from citeloom.plans.checkpoint import scratch_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,6 +309,23 @@ def vocabulary(s, d):
     return text.vocabulary(_counts(s, d), _STOP)
 
 
+_ENGLISH = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS)
+
+
+@query(f"WITH {_TOK} SELECT term, df FROM df WHERE df > 1 AND term NOT IN ({_ENGLISH})")
+def vocabulary_english(s, d):
+    """The vocabulary without the full list of English stop words."""
+    return text.vocabulary(_counts(s, d), list(X.STOP_WORDS))
+
+
+@query(f"WITH {_IDF.replace('df < n)', f'df < n AND term NOT IN ({_ENGLISH}))')} SELECT doc, term, round(weight, 6) AS weight FROM wt")
+def tfidf_english(s, d):
+    """Weights over the vocabulary without English stop words, which count in no document's length."""
+    counts = written(_counts(s, d), "terms")
+    weights = text.tf_idf(counts, text.vocabulary(counts, list(X.STOP_WORDS)), table(s, d, "documents"))
+    return weights.select("doc", "term", F.round("weight", 6).alias("weight"))
+
+
 @query(f"WITH {_IDF} SELECT doc, term, round(weight, 6) AS weight FROM wt")
 def tfidf(s, d):
     return _weights(s, d).select("doc", "term", F.round("weight", 6).alias("weight"))
@@ -407,8 +424,8 @@ def citance_window(s, d):
     return rows.select("doc_id", F.col("place").cast("long").alias("place"), F.array_join(X.window(F.col("a"), F.col("place"), 1), "|").alias("ctx"))
 
 
-def _sentences(x):
-    """The sentences of an SQL text, by the rules of functions.text.sentences(); abbreviations take two passes, as matches can't overlap."""
+def _held(x):
+    """An SQL text with chr(1) where functions.text.sentences() allows no end; abbreviations take two passes, as matches can't overlap."""
     blank = r"[^\S\n]+"
     x = f"replace(replace(regexp_replace({x}, '\\n{{2,}}', chr(2), 'g'), chr(10), ' '), chr(2), chr(10) || chr(10))"
     x = f"regexp_replace({x}, '{blank}(\\S*--\\S*)', chr(1) || '\\1', 'g')"
@@ -416,26 +433,50 @@ def _sentences(x):
     words = "|".join(a.replace(".", r"\.") for a in X.ABBREVIATIONS)
     for _ in range(2):
         x = f"regexp_replace({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}.])({words}){blank}', '\\1\\2' || chr(1), 'g')"
-    x = f"regexp_replace(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(3), 'g'), '\\n{{2,}}', chr(3), 'g')"
+    return x
+
+
+def _trimmed(x):
     return f"list_filter(list_transform(string_split({x}, chr(3)), lambda z: trim(replace(z, chr(1), ' '))), lambda z: z <> '')"
 
 
+def _sentences(x):
+    """The sentences of an SQL text, by the rules of functions.text.sentences()."""
+    x = f"regexp_replace(regexp_replace({_held(x)}, '([.!?])\\s+', '\\1' || chr(3), 'g'), '\\n{{2,}}', chr(3), 'g')"
+    return _trimmed(x)
+
+
 _AROUND = f"""WITH {_OFF}, x AS (SELECT 'b' || item_id AS cited, doc_id::VARCHAR AS citing, {_sentences("substr(text, 1, pl) || '[CITE]'")} AS before,
 {_sentences("substr(text, 1, pl) || '[CITE]' || substr(text, pl + len + 1)")} AS marked FROM o)
 SELECT cited, citing, array_to_string(marked[greatest(len(before) - 2, 0) + 1 : least(len(before) + 1, len(marked))], '|') AS context FROM x"""
 
 
-@query(_AROUND)
-def citation_contexts(s, d):
+def _corpus(s, d):
     """Passages of the benchmark inside documents are the citations; the passage is the cited paper."""
     found = _offsets(s, d)
     span = F.struct(F.col("at").alias("start"), (F.col("at") + F.col("len")).alias("end"), F.col("item_id").cast("string").alias("ref_id"))
     rows = found.groupBy("doc_id").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(span)).alias("spans"))
     bib = F.map_from_entries(F.transform("spans", lambda x: F.struct(x["ref_id"], F.struct(F.concat(F.lit("b"), x["ref_id"]).alias("link")))))
     body = F.array(F.struct("text", F.col("spans").alias("cite_spans")))
-    corpus = written(rows.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("paper_id"), body.alias("body_text"), bib.alias("bib_entries")), "corpus")
+    return written(rows.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("paper_id"), body.alias("body_text"), bib.alias("bib_entries")), "corpus")
+
+
+def _contexts(s, d, corpus, citing):
     cited = table(s, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("paper_id"))
-    return citances.contexts(corpus, cited, corpus.select("paper_id"), k=1).select("cited", "citing", F.array_join("sentences", "|").alias("context"))
+    return citances.contexts(corpus, cited, citing, k=1).select("cited", "citing", F.array_join("sentences", "|").alias("context"))
+
+
+@query(_AROUND)
+def citation_contexts(s, d):
+    """Contexts of every citation of the corpus."""
+    corpus = _corpus(s, d)
+    return _contexts(s, d, corpus, corpus.select("paper_id"))
+
+
+@query(f"{_AROUND} WHERE citing IN (SELECT doc_id::VARCHAR FROM documents WHERE lang = 'en')")
+def citation_contexts_citing(s, d):
+    """Contexts from the papers that may cite alone, here the English ones."""
+    return _contexts(s, d, _corpus(s, d), papers(s, d).where("lang = 'en'").select("paper_id"))
 
 
 @query(f"SELECT doc_id, len({_sentences('text')}) AS n, md5(array_to_string({_sentences('text')}, '|')) AS digest FROM documents")
@@ -444,6 +485,70 @@ def sentence_split(s, d):
     return table(s, d, "documents").select("doc_id", parts.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|").cast("binary")).alias("digest"))
 
 
+def _base(w):
+    return f"trim(lower({w}), '{_PUNCT}')"
+
+
+def _dotted(w):
+    bare = f"rtrim({w}, '{_PUNCT.translate({ord(c): None for c in '.?!'})}')"
+    return f"({bare} LIKE '%.' AND {bare} NOT LIKE '%..')"
+
+
+def _stops(w):
+    bare = "rtrim({}, '{}')".format(w, X.CLOSERS.replace("'", "''"))
+    return f"({bare} LIKE '%?' OR {bare} LIKE '%!' OR ({bare} LIKE '%.' AND {bare} NOT LIKE '%..'))"
+
+
+_WORDS = f"""ws AS (SELECT list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents), pr AS (SELECT unnest(ws) AS w, unnest(list_append(ws[2:], NULL)) AS x FROM ws),
+wc AS MATERIALIZED (SELECT {_base("w")} AS word, {_dotted("w")} AS dotted, {_stops("w")} AS stops, CASE WHEN {_stops("w")} THEN {_base("x")} END AS next, count(*) AS n FROM pr GROUP BY ALL),
+tt AS (SELECT sum(n)::DOUBLE AS n, sum(n) FILTER (dotted) / sum(n) AS r FROM wc),
+wa AS (SELECT word, coalesce(sum(n) FILTER (dotted), 0)::DOUBLE AS a, coalesce(sum(n) FILTER (NOT dotted), 0)::DOUBLE AS b, length(replace(word, '.', '')) AS k FROM wc WHERE regexp_matches(word, '\\p{{L}}') GROUP BY word),
+ab AS MATERIALIZED (SELECT word, 2 * (a * ln(0.99 / r) + b * ln(0.01 / (1 - r))) * exp(-k) * (length(word) - k + 1) * pow(k, -b) AS score FROM wa, tt WHERE a > 0 AND 2 * (a * ln(0.99 / r) + b * ln(0.01 / (1 - r))) * exp(-k) * (length(word) - k + 1) * pow(k, -b) >= 0.3)"""
+
+
+def _ll(p, k, n):
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END)"
+
+
+_FIXED = ", ".join(f"'{a.rstrip('.')}'" for a in X.ABBREVIATIONS)
+_BEGINS = f"""{_WORDS}, bg AS (SELECT next AS word, sum(n)::DOUBLE AS k FROM wc WHERE stops AND next IS NOT NULL AND NOT (dotted AND (word IN ({_FIXED}) OR word IN (SELECT word FROM ab))) GROUP BY next),
+bs AS (SELECT word, k AS k1, w - k AS k2, bt.b AS n1, tt.n - bt.b AS n2, w / tt.n AS p, k / bt.b AS p1, (w - k) / (tt.n - bt.b) AS p2 FROM bg JOIN (SELECT word, sum(n)::DOUBLE AS w FROM wc GROUP BY word) USING (word), (SELECT sum(k) AS b FROM bg) bt, tt WHERE regexp_matches(word, '\\p{{L}}')),
+st AS MATERIALIZED (SELECT word, 2 * ({_ll("p1", "k1", "n1")} + {_ll("p2", "k2", "n2")} - {_ll("p", "k1", "n1")} - {_ll("p", "k2", "n2")}) AS score FROM bs WHERE p1 > p)"""
+
+
+@query(f"WITH {_WORDS} SELECT word, round(score, 6) AS score FROM ab")
+def learned_abbreviations(s, d):
+    """Words that the corpus shows to be abbreviations."""
+    return segmenter.abbreviations(segmenter.word_counts(table(s, d, "documents"), "text")).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_BEGINS} SELECT word, round(score, 6) AS score FROM st WHERE score >= 30")
+def sentence_starters(s, d):
+    """Words that the corpus shows to begin sentences."""
+    counts = segmenter.word_counts(table(s, d, "documents"), "text")
+    return segmenter.starters(counts, written(segmenter.abbreviations(counts), "abbreviations")).withColumn("score", F.round("score", 6))
+
+
+def _learned_split():
+    plain = "translate({}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(1), '      ')".format
+    last, first = f"split_part({plain('ps[i - 1]')}, ' ', -1)", f"split_part(ltrim({plain('x')}), ' ', 1)"
+    glued = f"""({_dotted(last)} AND list_contains(a, {_base(last)}) AND NOT regexp_matches(x, '^\\s*\\n') AND NOT (list_contains(b, {_base(first)}) AND regexp_matches(ltrim({first}, '{_PUNCT}'), '^\\p{{Lu}}')))"""
+    marked = f"array_to_string(list_transform(ps, lambda x, i: CASE WHEN i = 1 OR {glued} THEN x ELSE chr(3) || regexp_replace(x, '^\\s+', '') END), '')"
+    return f"""WITH {_BEGINS}, pc AS (SELECT doc_id, string_split(regexp_replace({_held("text")}, '([.!?])(\\s)', '\\1' || chr(3) || '\\2', 'g'), chr(3)) AS ps FROM documents),
+ln AS (SELECT (SELECT coalesce(list(word), []) FROM ab) AS a, (SELECT coalesce(list(word), []) FROM st WHERE score >= 30) AS b),
+sg AS (SELECT doc_id, {_trimmed(f"regexp_replace({marked}, '\n{{2,}}', chr(3), 'g')")} AS p FROM pc, ln) SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS digest FROM sg"""
+
+
+@query(_learned_split())
+def sentence_split_learned(s, d):
+    """Sentences by the rules and by what the corpus itself teaches of abbreviations and starters."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    counts = segmenter.word_counts(docs, "text")
+    known = written(segmenter.abbreviations(counts), "abbreviations")
+    parts = segmenter.segmented(docs, "text", known, segmenter.starters(counts, known), "p")
+    return parts.select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|").cast("binary")).alias("digest"))
+
+
 @query("SELECT source AS shard, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
 def first_context(s, d):
     return table(s, d, "documents").groupBy(F.col("source").alias("shard")).agg(F.min("doc_id").alias("doc_id"), F.min_by("n_chars", "doc_id").alias("n_chars"))
