@@ -8,18 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import MARKER, sentences, splice, split_words, window
+from citeloom.functions.text import MARKER, learned_sentences, sentences, splice, split_words, window
 from citeloom.operators.graph import by_hash
+from citeloom.operators.segmenter import told
 from citeloom.plans.checkpoint import sized_broadcast, written
 
 
-def contexts(papers: DataFrame, targets: DataFrame, citing: DataFrame | None = None, k: int = 1) -> DataFrame:
+def contexts(papers: DataFrame, targets: DataFrame, citing: DataFrame | None = None, k: int = 1, learned: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(cited, citing, sentences): for each cited target the first citation in a paper, with k sentences around it.
 
     papers: ord (unique), paper_id, body_text, bib_entries. targets: paper_id. Spans whose reference is unknown or no target are
     dropped; a paper_id that repeats counts by its last row. The marked sentence is found by the spliced offset, so other
     markers in the text do no harm. Spans are ranked by their places alone; only then the one section of each chosen span is
-    read, so no text goes through the ranking.
+    read, so no text goes through the ranking. learned: abbreviations and starters of operators.segmenter, beside the rules.
     """
     rows = papers if citing is None else papers.join(citing.select("paper_id"), "paper_id", "left_semi")
     spans = rows.select("ord", "paper_id", "bib_entries", F.posexplode(F.transform("body_text", lambda s: s["cite_spans"])).alias("section", "s"))
@@ -31,9 +32,13 @@ def contexts(papers: DataFrame, targets: DataFrame, citing: DataFrame | None = N
     chosen = one.select("cited", "paper_id", "_o.ord", F.col("_o.at.section").alias("section"), F.col("_o.at.start").alias("start"), F.col("_o.at.end").alias("end"))
     sections = rows.select("ord", F.posexplode("body_text").alias("section", "s")).select("ord", "section", F.col("s.text").alias("text"))
     found = sections.join(sized_broadcast(written(chosen, "chosen-spans")), ["ord", "section"])
-    before = sentences(F.concat(F.substr("text", F.lit(1), F.col("start")), F.lit(MARKER)))
-    marked = sentences(splice(F.col("text"), F.col("start"), F.col("end")))
-    return found.select("cited", F.col("paper_id").alias("citing"), window(marked, F.size(before) - 1, k).alias("sentences"))
+    found = found.withColumn("_marked", splice(F.col("text"), F.col("start"), F.col("end")))
+    cut = sentences
+    if learned:
+        found = told(found, "_marked", *learned)
+        cut = lambda x: learned_sentences(x, F.col("_known"), F.col("_begins"))
+    before = cut(F.concat(F.substr("text", F.lit(1), F.col("start")), F.lit(MARKER)))
+    return found.select("cited", F.col("paper_id").alias("citing"), window(cut(F.col("_marked")), F.size(before) - 1, k).alias("sentences"))
 
 
 def good_context(joined: Column, min_tokens: int = 10) -> Column:

@@ -71,12 +71,11 @@ def starters(counts: DataFrame, known: DataFrame, least: float = 30.0) -> DataFr
     return rows.where(p1 > p).select("word", score.alias("score")).where(F.col("score") >= least)
 
 
-def segmented(documents: DataFrame, text: str, known: DataFrame, begins: DataFrame, out: str = "sentences") -> DataFrame:
-    """documents with the column out: sentences by the rules, the learned abbreviations and the learned starters.
+def told(documents: DataFrame, text: str, known: DataFrame, begins: DataFrame) -> DataFrame:
+    """documents with _known and _begins: which of a text's own words around possible ends are in known and begins (word), as arrays or null.
 
-    known, begins: word. Neither list has a bound: each text is first told which of its own words are in them, by a join of the
-    words around possible ends, and these few come back to the text by its digest; copies of a text share them. A null text has
-    null sentences, an empty one has none.
+    Neither list has a bound, so no text gets them whole: the words of the texts are joined with them, and the few found come back
+    to the text by its digest; copies of a text share them.
     """
     around = lambda parts, p, i: F.array(
         F.struct(F.lit(True).alias("_a"), F.when(i > 0, X.base(X.last_word(F.get(parts, i - 1)))).alias("word")),
@@ -87,5 +86,13 @@ def segmented(documents: DataFrame, text: str, known: DataFrame, begins: DataFra
     learned = known.select(F.lit(True).alias("_a"), "word").unionByName(begins.select(F.lit(False).alias("_a"), "word")).distinct()
     marks = words.where("word <> ''").join(sized_broadcast(written(learned, "learned-words")), ["_a", "word"])
     found = marks.groupBy("_text").agg(F.collect_set(F.when(F.col("_a"), F.col("word"))).alias("_known"), F.collect_set(F.when(~F.col("_a"), F.col("word"))).alias("_begins"))
-    rows = documents.withColumn("_text", F.md5(F.col(text).cast("binary"))).join(found, "_text", "left")
-    return rows.select(*[F.col(f"`{c}`") for c in documents.columns if c != out], X.learned_sentences(F.col(text), F.col("_known"), F.col("_begins")).alias(out))
+    return documents.withColumn("_text", F.md5(F.col(text).cast("binary"))).join(found, "_text", "left").drop("_text")
+
+
+def segmented(documents: DataFrame, text: str, known: DataFrame, begins: DataFrame, out: str = "sentences") -> DataFrame:
+    """documents with the column out: sentences by the rules, the learned abbreviations and the learned starters.
+
+    known, begins: word; see told(). A null text has null sentences, an empty one has none.
+    """
+    cut = X.learned_sentences(F.col(text), F.col("_known"), F.col("_begins"))
+    return told(documents, text, known, begins).select(*[F.col(f"`{c}`") for c in documents.columns if c != out], cut.alias(out))

@@ -461,9 +461,9 @@ def _corpus(s, d):
     return written(rows.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("paper_id"), body.alias("body_text"), bib.alias("bib_entries")), "corpus")
 
 
-def _contexts(s, d, corpus, citing):
+def _contexts(s, d, corpus, citing, learned=None):
     cited = table(s, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("paper_id"))
-    return citances.contexts(corpus, cited, citing, k=1).select("cited", "citing", F.array_join("sentences", "|").alias("context"))
+    return citances.contexts(corpus, cited, citing, k=1, learned=learned).select("cited", "citing", F.array_join("sentences", "|").alias("context"))
 
 
 @query(_AROUND)
@@ -516,6 +516,13 @@ bs AS (SELECT word, k AS k1, w - k AS k2, bt.b AS n1, tt.n - bt.b AS n2, w / tt.
 st AS MATERIALIZED (SELECT word, 2 * ({_ll("p1", "k1", "n1")} + {_ll("p2", "k2", "n2")} - {_ll("p", "k1", "n1")} - {_ll("p", "k2", "n2")}) AS score FROM bs WHERE p1 > p)"""
 
 
+def _learn(s, d):
+    """The abbreviations and starters of all documents."""
+    counts = segmenter.word_counts(table(s, d, "documents"), "text")
+    known = written(segmenter.abbreviations(counts), "abbreviations")
+    return known, segmenter.starters(counts, known)
+
+
 @query(f"WITH {_WORDS} SELECT word, round(score, 6) AS score FROM ab")
 def learned_abbreviations(s, d):
     """Words that the corpus shows to be abbreviations."""
@@ -525,30 +532,43 @@ def learned_abbreviations(s, d):
 @query(f"WITH {_BEGINS} SELECT word, round(score, 6) AS score FROM st WHERE score >= 30")
 def sentence_starters(s, d):
     """Words that the corpus shows to begin sentences."""
-    counts = segmenter.word_counts(table(s, d, "documents"), "text")
-    return segmenter.starters(counts, written(segmenter.abbreviations(counts), "abbreviations")).withColumn("score", F.round("score", 6))
+    return _learn(s, d)[1].withColumn("score", F.round("score", 6))
+
 
+def _pieces(x):
+    return f"string_split(regexp_replace({_held(x)}, '([.!?])(\\s)', '\\1' || chr(3) || '\\2', 'g'), chr(3))"
 
-def _learned_split():
+
+def _learned(ps):
+    """The sentences of a column of pieces; a and b are the lists of abbreviations and starters."""
     plain = "translate({}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(1), '      ')".format
-    last, first = f"split_part({plain('ps[i - 1]')}, ' ', -1)", f"split_part(ltrim({plain('x')}), ' ', 1)"
+    last, first = f"split_part({plain(f'{ps}[i - 1]')}, ' ', -1)", f"split_part(ltrim({plain('x')}), ' ', 1)"
     glued = f"""({_dotted(last)} AND list_contains(a, {_base(last)}) AND NOT regexp_matches(x, '^\\s*\\n') AND NOT (list_contains(b, {_base(first)}) AND regexp_matches(ltrim({first}, '{_PUNCT}'), '^\\p{{Lu}}')))"""
-    marked = f"array_to_string(list_transform(ps, lambda x, i: CASE WHEN i = 1 OR {glued} THEN x ELSE chr(3) || regexp_replace(x, '^\\s+', '') END), '')"
-    return f"""WITH {_BEGINS}, pc AS (SELECT doc_id, string_split(regexp_replace({_held("text")}, '([.!?])(\\s)', '\\1' || chr(3) || '\\2', 'g'), chr(3)) AS ps FROM documents),
-ln AS (SELECT (SELECT coalesce(list(word), []) FROM ab) AS a, (SELECT coalesce(list(word), []) FROM st WHERE score >= 30) AS b),
-sg AS (SELECT doc_id, {_trimmed(f"regexp_replace({marked}, '\n{{2,}}', chr(3), 'g')")} AS p FROM pc, ln) SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS digest FROM sg"""
+    marked = f"array_to_string(list_transform({ps}, lambda x, i: CASE WHEN i = 1 OR {glued} THEN x ELSE chr(3) || regexp_replace(x, '^\\s+', '') END), '')"
+    return _trimmed(f"regexp_replace({marked}, '\n{{2,}}', chr(3), 'g')")
+
 
+_LISTS = "ln AS (SELECT (SELECT coalesce(list(word), []) FROM ab) AS a, (SELECT coalesce(list(word), []) FROM st WHERE score >= 30) AS b)"
 
-@query(_learned_split())
+
+@query(f"WITH {_BEGINS}, {_LISTS}, pc AS (SELECT doc_id, {_pieces('text')} AS ps FROM documents), sg AS (SELECT doc_id, {_learned('ps')} AS p FROM pc, ln) SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS digest FROM sg")
 def sentence_split_learned(s, d):
     """Sentences by the rules and by what the corpus itself teaches of abbreviations and starters."""
-    docs = table(s, d, "documents").select("doc_id", "text")
-    counts = segmenter.word_counts(docs, "text")
-    known = written(segmenter.abbreviations(counts), "abbreviations")
-    parts = segmenter.segmented(docs, "text", known, segmenter.starters(counts, known), "p")
+    parts = segmenter.segmented(table(s, d, "documents").select("doc_id", "text"), "text", *_learn(s, d), out="p")
     return parts.select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|").cast("binary")).alias("digest"))
 
 
+_BEFORE = "substr(text, 1, pl) || '[CITE]'"
+
+
+@query(f"""WITH {_BEGINS}, {_LISTS}, {_OFF}, pc AS (SELECT item_id, doc_id, {_pieces(_BEFORE)} AS p1, {_pieces(_BEFORE + " || substr(text, pl + len + 1)")} AS p2 FROM o),
+x AS (SELECT 'b' || item_id AS cited, doc_id::VARCHAR AS citing, {_learned("p1")} AS before, {_learned("p2")} AS marked FROM pc, ln)
+SELECT cited, citing, array_to_string(marked[greatest(len(before) - 2, 0) + 1 : least(len(before) + 1, len(marked))], '|') AS context FROM x""")
+def citation_contexts_learned(s, d):
+    """Contexts in sentences that are cut by what the corpus teaches as well."""
+    return _contexts(s, d, _corpus(s, d), None, _learn(s, d))
+
+
 @query("SELECT source AS shard, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
 def first_context(s, d):
     return table(s, d, "documents").groupBy(F.col("source").alias("shard")).agg(F.min("doc_id").alias("doc_id"), F.min_by("n_chars", "doc_id").alias("n_chars"))

@@ -99,11 +99,27 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if taken <= limit else df
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the complete versions of a cached table, oldest first."""
+    store, found = hadoop_path(spark, path)
+    names = sorted(f.getPath().getName() for f in store.listStatus(found)) if store.exists(found) else []
+    return [f"{path}/{n}" for n in names if store.exists(hadoop_path(spark, f"{path}/{n}/_SUCCESS")[1])]
+
+
 def cached(spark: SparkSession, folder: str, build: Callable[[], DataFrame], inputs: dict, overwrite: bool = False) -> DataFrame:
-    """build() as a table under folder, named by a hash of all inputs; read back if it exists, unless overwrite."""
-    name = hashlib.sha256(repr(sorted(inputs.items())).encode()).hexdigest()[:32]
-    path = f"{folder.rstrip('/')}/{name}"
-    store, found = hadoop_path(spark, f"{path}/_SUCCESS")
-    if overwrite or not store.exists(found):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """build() as a table under folder, named by a hash of all inputs; read back if it exists, unless overwrite.
+
+    Each overwriting writes a new version, which counts once it is complete, so a reader of the one before goes on undisturbed
+    and a failed writing leaves it in force. Versions older than that one are deleted.
+    """
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(repr(sorted(inputs.items())).encode()).hexdigest()[:32]}"
+    old = _versions(spark, path)
+    if old and not overwrite:
+        return spark.read.parquet(old[-1])
+    number = int(old[-1].rsplit("/", 1)[1].split("-")[0][1:]) + 1 if old else 0
+    new = f"{path}/v{number:09d}-{uuid.uuid4().hex}"
+    build().write.parquet(new)
+    for gone in old[:-1]:
+        store, found = hadoop_path(spark, gone)
+        store.delete(found, True)
+    return spark.read.parquet(new)

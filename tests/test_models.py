@@ -386,6 +386,13 @@ def test_json_lines_and_cache(spark, tmp_path):
     for overwrite in (False, False, True):
         assert cached(spark, f"file://{tmp_path}/c", build, {"k": 1}, overwrite).count() == 2
     assert len(made) == 2 and cached(spark, f"file://{tmp_path}/c", build, {"k": 2}).count() == 2 and len(made) == 3
+    before = cached(spark, f"file://{tmp_path}/c", build, {"k": 2})
+    cached(spark, f"file://{tmp_path}/c", lambda: rows.limit(1), {"k": 2}, overwrite=True)
+    with pytest.raises(Exception):  # a writing that fails leaves the last version in force
+        cached(spark, f"file://{tmp_path}/c", lambda: rows.select(F.raise_error(F.lit("no"))), {"k": 2}, overwrite=True)
+    assert (before.count(), cached(spark, f"file://{tmp_path}/c", build, {"k": 2}).count()) == (2, 1)
+    cached(spark, f"file://{tmp_path}/c", lambda: rows, {"k": 2}, overwrite=True)
+    assert cached(spark, f"file://{tmp_path}/c", build, {"k": 2}).count() == 2 and len(made) == 3
 
 
 def test_scratch_tables_are_dropped(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import segmenter
+from citeloom.operators import citances, segmenter
 from citeloom.plans.checkpoint import written
 
 #: Short words that are always written with a full stop, and words that begin many sentences.
@@ -79,6 +79,17 @@ def test_nothing_learned_is_the_rules(spark, learned):
     assert [r for r in out.collect() if r["p"] != r["want"]] == [] and out.count() == len(texts)
 
 
+def test_contexts_with_the_learned_lists(spark, learned):
+    """The sentence around a citation goes on behind a learned abbreviation; the rules alone end it there."""
+    body = "One. As in fig. Two by XYZ and eq. Three too. However it ends. Last."
+    kind = "ord int, paper_id string, body_text array<struct<text:string,cite_spans:array<struct<start:int,end:int,ref_id:string>>>>, bib_entries map<string,struct<link:string>>"
+    papers = spark.createDataFrame([(1, "c", [(body, [(body.index("XYZ"), body.index("XYZ") + 3, "r")])], {"r": ("t",)})], kind)
+    target = spark.createDataFrame([("t",)], "paper_id string")
+    got = lambda k, lists: citances.contexts(papers, target, k=k, learned=lists).first()["sentences"]
+    assert got(0, learned) == ["As in fig. Two by [CITE] and eq. Three too."] and got(0, None) == ["Two by [CITE] and eq."]
+    assert got(1, learned) == ["One.", "As in fig. Two by [CITE] and eq. Three too.", "However it ends."]
+
+
 def test_odd_tables(spark, learned):
     """Empty tables, null texts, copies without ids, clashing names, words that all have full stops."""
     kind = "id long, text string, word string, n long, `a.b` string"
