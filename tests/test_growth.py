@@ -1,0 +1,62 @@
+"""What operators move between tasks, held against the size of their input."""
+
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from citeloom.functions import text as X
+from citeloom.operators import text
+
+
+def moved(spark, make):
+    """Rows of all shuffles while make() gives a DataFrame and that is read to its end."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    nothing, halves = spark.sparkContext._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(nothing, False, False, halves, nothing)
+        return {(x.stageId(), x.attemptId()): x for x in map(found.apply, range(found.size()))}
+
+    before = stages()
+    make().write.format("noop").mode("overwrite").save()
+    return sum(x.shuffleWriteRecords() for k, x in stages().items() if k not in before)
+
+
+def test_terms_are_counted_where_texts_are_read(spark):
+    texts = [(str(i), " ".join(f"w{(i * j) % 97}" for j in range(400))) for i in range(200)]
+    docs = spark.createDataFrame(texts, "id string, t string").repartition(3)
+    assert moved(spark, lambda: text.term_counts(docs, "id", "t")) < 2000  # 200 texts have over 15,000 terms
+    odd = [("1", "a A b. --a-- c"), ("1", "a d"), ("2", ""), ("3", None), (None, "x"), (None, "x y"), ("4", "one")]
+    got = {(r["doc"], r["term"]): r["tf"] for r in text.term_counts(spark.createDataFrame(odd, "id string, t string"), "id", "t").collect()}
+    assert got == {("1", "a"): 4, ("1", "b"): 1, ("1", "c"): 1, ("1", "d"): 1, (None, "x"): 2, (None, "y"): 1, ("4", "one"): 1}
+
+
+def test_tokens_of_odd_words(spark):
+    texts = ["", None, " ", "--a-b-- ...  'x'　y Z", "a--", "..", "\u0085a b\x1cc", "é-É! ß", "a.b..c...d", "\U0001f600-\U0001f600 !\U0001f600", "x" + "-" * 50_000 + " y" + ".z" * 50_000]
+    bare = lambda t: F.filter(F.transform(X.split_words(F.lower(t)), lambda w: F.btrim(w, F.lit(X.PUNCTUATION))), lambda w: w != "")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.where(~X.tokens(F.col("t")).eqNullSafe(bare(F.col("t")))).count() == 0
+
+
+def test_weights_are_sent_once_to_a_block(spark):
+    """Ten neighbours each: every key's own copy of their weights would be ten times the weights."""
+    n, terms = 600, 40
+    weights = [(str(i), f"t{(i * 7 + j * j) % 211}", float(j + 1)) for i in range(n) for j in range(terms)]
+    near = [(str(i), "both", str(i + k)) for i in range(n) for k in range(-5, 6) if k and 0 <= i + k < n]
+    pairs = near + [("0", "out", "1"), ("0", "out", "1"), ("0", "in", "nobody"), ("lone", "out", "nobody"), *[("hub", "out", str(i)) for i in range(0, n, 2)]]
+    rows, given = spark.createDataFrame(pairs, "key string, direction string, doc string"), spark.createDataFrame(weights, "doc string, term string, weight double").localCheckpoint()
+    assert moved(spark, lambda: text.neighbour_average(rows.where("key <> 'hub'"), given)) < 4 * len(weights)
+    of, known = defaultdict(list), {d for d, _, _ in weights}
+    for d, t, w in weights:
+        of[d].append((t, w))
+    sums, times, all_keys = defaultdict(float), Counter(), set()
+    for key, way, d in pairs:
+        all_keys.add((key, way))
+        times[key, way] += d in known
+        for t, w in of[d]:
+            sums[key, way, t] += w
+    want = {(*k, round(v / times[k[:2]], 9)) for k, v in sums.items()} | {(*k, None, None) for k in all_keys if not times[k]}
+    for many in (256, 5, 1000):  # the hub's 300 neighbours as rows, all keys as rows, all keys in blocks
+        got = text.neighbour_average(rows, given, many=many).withColumn("weight", F.round("weight", 9))
+        assert {tuple(r) for r in got.collect()} == want
