@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.plans.checkpoint import sized_broadcast, written
+from citeloom.plans.checkpoint import dealt, sized_broadcast, written
 
 # Two target ids that are known to be bad, and what replaces them.
 KNOWN_BAD = {
@@ -44,17 +44,42 @@ def link_or_fetch(ids: DataFrame, links: DataFrame, fetched: DataFrame, columns:
     return rows.select("id", F.when(linked, F.col("_linked")).otherwise(F.col("doc_id")).alias("doc_id"), *[F.when(~linked, F.col(c)).alias(c) for c in columns])
 
 
-def or_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str) -> DataFrame:
-    """Pairs that agree on any usable key: one equi-join for each key, made distinct (an OR would be a nested loop).
+#: Rows of either side of a tile: a key's larger groups of pairs are made in several tasks.
+TILE = 1024
 
-    left and right have all keys and an id each; the ids' names must differ.
+
+def or_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, tile: int = TILE) -> DataFrame:
+    """Distinct pairs that agree on any usable key: one equi-join for each key (an OR would be a nested loop).
+
+    left and right have all keys and an id each; the ids' names must differ. A pair is made by the first key it agrees on, so
+    nothing is made twice, and only where an id has several different rows are pairs made distinct. Pairs are as many as the
+    texts share keys, the square of a frequent key's rows: such a key is cut into tiles of at most about tile by tile rows, and tasks
+    follow the number of pairs, which is counted first.
     """
-    narrow = lambda rows, id_, k: rows.select(F.col(id_).alias("_left" if rows is left else "_right"), F.col(k).alias("_key"))
-    parts = [narrow(left, left_id, k).where(usable(F.col("_key").cast("string"))).join(narrow(right, right_id, k), "_key").select(F.col("_left").alias(left_id), F.col("_right").alias(right_id)) for k in keys]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    narrow = lambda rows, id_, side: rows.select(F.col(id_).alias(f"_{side}"), *[F.col(k).alias(f"_{side}{i}") for i, k in enumerate(keys)]).distinct()
+    lefts, rights = written(narrow(left, left_id, "l"), "left"), written(narrow(right, right_id, "r"), "right")
+    agree = lambda i: F.coalesce(usable(F.col(f"_l{i}").cast("string")) & (F.col(f"_l{i}") == F.col(f"_r{i}")), F.lit(False))
+    parts = []
+    for i in range(len(keys)):
+        mine, theirs = (rows.where(usable(F.col(f"_{side}{i}").cast("string"))).withColumn("_key", F.col(f"_{side}{i}")) for rows, side in ((lefts, "l"), (rights, "r")))
+        sizes = mine.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).join(theirs.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "_key")
+        sizes = written(sizes, "sizes")
+        pairs = sizes.agg(F.sum(F.col("_m") * F.col("_n"))).first()[0] or 0
+        cut = sizes.where(F.col("_m") * F.col("_n") > tile * tile).select("_key", F.ceil(F.col("_m") / tile).alias("_a"), F.ceil(F.col("_n") / tile).alias("_b"))
+        cut = sized_broadcast(written(cut, "large-keys"))
+
+        def tiled(rows: DataFrame, id_: str, own: str, other: str, cut: DataFrame = cut, pairs: int = pairs) -> DataFrame:
+            rows = rows.join(cut, "_key", "left")
+            rows = rows.withColumn(own, F.coalesce(F.pmod(F.xxhash64(id_), own), F.lit(0))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1)))
+            return dealt(rows, pairs, "_key", "_a", "_b")
+
+        found = tiled(mine, "_l", "_a", "_b").join(tiled(theirs, "_r", "_b", "_a"), ["_key", "_a", "_b"])
+        for j in range(i):
+            found = found.where(~agree(j))
+        parts.append(found.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id)))
+    out = reduce(DataFrame.unionByName, parts)
+    several = lambda rows, id_: not rows.groupBy(id_).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+    return out.distinct() if several(lefts, "_l") or several(rights, "_r") else out
 
 
 #: Rounds of priority_match() before what is left is parted into components, and candidates of one that a task finishes.

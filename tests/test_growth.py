@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import text
+from citeloom.operators import linkage, text
 
 
 def moved(spark, make):
@@ -60,3 +60,22 @@ def test_weights_are_sent_once_to_a_block(spark):
     for many in (256, 5, 1000):  # the hub's 300 neighbours as rows, all keys as rows, all keys in blocks
         got = text.neighbour_average(rows, given, many=many).withColumn("weight", F.round("weight", 9))
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_pairs_of_a_frequent_key(spark):
+    """Pairs are made once, by the first key they agree on, in tiles: no shuffle of pairs, and no task with all of a key's."""
+    n = 400
+    left = spark.createDataFrame([(i, f"h{i % 50}", "one") for i in range(n)], "a long, h string, t string")
+    right = spark.createDataFrame([(i, f"h{i % 40}", "one" if i % 8 else "") for i in range(n)], "b long, h string, t string")
+    make = lambda **o: linkage.or_match(left, right, ["h", "t"], "a", "b", **o)
+    assert moved(spark, make) < 20_000 < make().count()  # over 140,000 pairs
+    want = {(i, j) for i in range(n) for j in range(n) if i % 50 == j % 40 or j % 8}
+    got = make(tile=50)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < len(want) / 2
+    odd = [(1, "x", None), (1, "y", "t"), (2, None, None), (None, "x", ""), (3, "", "t"), (3, "", "t")]
+    left, right = (spark.createDataFrame(odd, f"{c} long, h string, t string") for c in "ab")
+    want = {(i[0], j[0]) for i in odd for j in odd if (i[1] and i[1] == j[1]) or (i[2] and i[2] == j[2])}
+    rows = [tuple(r) for r in make().collect()]
+    assert len(rows) == len(want) and set(rows) == want
