@@ -17,6 +17,8 @@ from citeloom.plans.checkpoint import sized_broadcast, written
 GRAM, FILTER_BITS = 8, 1 << 22
 #: Arrow rows that a task passes on at once, and the characters beside them.
 ROWS, CHARS = 20_000, 4_000_000
+#: Code points of texts that a task hashes at once, one text after another; a longer text goes alone.
+CHUNK = 1 << 20
 
 _ODD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -79,46 +81,73 @@ def _filters(anchors: DataFrame, bits: int) -> dict[int, np.ndarray]:
     return out
 
 
+def _chunks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about CHUNK code points together."""
+    begin, total = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if total and total + n > CHUNK:
+            yield begin, i
+            begin, total = i, 0
+        total += n
+    if total:
+        yield begin, len(lengths)
+
+
 def _candidates(filters: dict[int, np.ndarray], bits: int, names: Sequence[str]):
     """Every place of a text whose gram may be an anchor, with the characters around that a phrase of the class may take."""
+    widths: dict[int, list[int]] = {}
+    for of in filters:
+        widths.setdefault(bounds(of)[0], []).append(of)
+
+    def places(points: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(class, most code points, row, place, gram) of texts that stand one after another; grams over an end are none."""
+        for width, classes in widths.items():
+            hashed = grams(points, width)
+            any_ = filters[classes[0]] if len(classes) == 1 else np.bitwise_or.reduce([filters[of] for of in classes])
+            set_ = lambda bitmap, h: np.flatnonzero(bitmap[(h & np.uint64(bits - 1)) >> np.uint64(5)] >> (h & np.uint64(31)).astype(np.uint32) & np.uint32(1))
+            at = set_(any_, hashed)
+            row = np.searchsorted(ends, at, side="right")
+            inside = at + width <= ends[row]
+            at, row = at[inside], row[inside]
+            for of in classes:
+                most, mine = bounds(of)[1], set_(filters[of], hashed[at])
+                found, rows, gram = at[mine], row[mine], hashed[at[mine]].view(np.int64)
+                if most == width:  # the gram is the phrase: its first place in a text is enough
+                    order = np.lexsort((found, gram, rows))
+                    first = np.ones(len(order), bool)
+                    first[1:] = (np.diff(gram[order]) != 0) | (np.diff(rows[order]) != 0)
+                    found, rows, gram = found[order][first], rows[order][first], gram[order][first]
+                yield of, most - width, rows, found, gram
 
     def run(batches):
         out: list[list] = [[], [], [], [], [], []]
 
-        def flush(batch):
+        def flush(kept):
             of, gram, at, lead, around = (pa.array(x, kind) for x, kind in zip(out[1:], (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True))
-            made = pa.RecordBatch.from_arrays([*batch.take(pa.array(out[0], pa.int64())).columns[1:], of, gram, at, lead, around], names)
+            rows = pa.array(out[0], pa.int64())
+            made = pa.RecordBatch.from_arrays([*[c.take(rows) for c in kept], of, gram, at, lead, around], names)
             for x in out:
                 x.clear()
             return made
 
         for batch in batches:
-            chars = 0
-            for row, value in enumerate(batch.column(0)):
-                text = value.as_py()
-                if not text:
-                    continue
-                points, hashed = _points(text), {}
-                for of, bitmap in filters.items():
-                    width, most = bounds(of)
-                    if width not in hashed:
-                        hashed[width] = grams(points, width)
-                    slots = hashed[width] & np.uint64(bits - 1)
-                    places = np.flatnonzero(bitmap[slots >> np.uint64(5)] >> (slots & np.uint64(31)).astype(np.uint32) & np.uint32(1))
-                    found = hashed[width][places].view(np.int64)
-                    if most == width:  # the gram is the phrase: its first place is enough
-                        found, first = np.unique(found, return_index=True)
-                        places = places[first]
-                    for at, gram in zip(places.tolist(), found.tolist(), strict=True):
-                        begin = max(0, at - most + width)
-                        around = text[begin : at + most]
-                        for x, v in zip(out, (row, of, gram, at, at - begin, around), strict=True):
+            chars, texts, kept = 0, batch.column(0), batch.columns[1:]
+            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for begin, end in _chunks(lengths):
+                joined = "".join(x for x in texts.slice(begin, end - begin).to_pylist() if x)
+                ends = np.cumsum(lengths[begin:end])
+                starts = ends - lengths[begin:end]
+                for of, more, rows, found, gram in places(_points(joined), ends):
+                    for row, at, g, low, high in zip(rows.tolist(), found.tolist(), gram.tolist(), starts[rows].tolist(), ends[rows].tolist(), strict=True):
+                        first = max(low, at - more)
+                        around = joined[first : min(high, at + bounds(of)[1])]
+                        for x, v in zip(out, (begin + row, of, g, at - low, at - first, around), strict=True):
                             x.append(v)
                         chars += len(around)
                         if len(out[0]) >= ROWS or chars >= CHARS:
-                            yield flush(batch)
+                            yield flush(kept)
                             chars = 0
-            yield flush(batch)
+            yield flush(kept)
 
     return run
 

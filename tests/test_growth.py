@@ -2,10 +2,12 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import linkage, text
+from citeloom.operators import linkage, matching, text
 
 
 def moved(spark, make):
@@ -79,3 +81,34 @@ def test_pairs_of_a_frequent_key(spark):
     want = {(i[0], j[0]) for i in odd for j in odd if (i[1] and i[1] == j[1]) or (i[2] and i[2] == j[2])}
     rows = [tuple(r) for r in make().collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_texts_do_not_follow_their_places():
+    """A task passes on places with the characters around, and never holds a text once for each of them."""
+    import resource
+
+    texts = ["ab cdefgh" * 20_000, "", None, "xab cdefghy", "ab cde", "fgh"]  # no phrase stands over two texts
+    phrases = ["ab cdefgh", "e", "b c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["_text", "id"])
+    filters = {}
+    for p in phrases:
+        of = matching.size_class(len(p))
+        g = int(matching.grams(matching._points(p), matching.bounds(of)[0])[0]) % 1024
+        filters.setdefault(of, np.zeros(32, np.uint32))[g // 32] |= np.uint32(1 << g % 32)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    made = list(matching._candidates(filters, 1024, ["id", "_class", "_gram", "_at", "_lead", "_around"])(iter([batch])))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # 20,000 places and more of a text of 180,000
+    rows = [r for b in made for r in b.to_pylist()]
+    got = {(r["id"], p, r["_at"]) for r in rows for p in phrases if r["_class"] == matching.size_class(len(p)) and r["_around"][r["_lead"] :].startswith(p)}
+    first = {(i, p, t.index(p)) for i, t in enumerate(texts) for p in phrases if t and p in t}
+    assert first <= got and all(texts[i].startswith(p, at) for i, p, at in got)
+    assert sum(p == "ab cdefgh" and not i for i, p, _ in got) == 20_000
+
+
+def test_many_short_texts_are_hashed_together(monkeypatch):
+    calls, real = [], matching.grams
+    monkeypatch.setattr(matching, "grams", lambda points, width: calls.append(1) or real(points, width))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a line"] * 5000), pa.array(range(5000))], ["_text", "id"])
+    for _ in matching._candidates({10: np.zeros(32, np.uint32)}, 1024, ["id", "_class", "_gram", "_at", "_lead", "_around"])(iter([batch])):
+        pass
+    assert len(calls) < 10
