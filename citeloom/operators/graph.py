@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.linkage import dense_rank_from_zero, places
-from citeloom.plans.checkpoint import cached, sized_broadcast, written
+from citeloom.plans.checkpoint import cached, dealt, sized_broadcast, written
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge, distinct."""
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+def undirected(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """Both directions of every edge, distinct; rows: how many edges there are at most, else they are counted."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return dealt(both, 2 * (edges.count() if rows is None else rows), "src", "dst").distinct()
 
 
 def adjacency(edges: DataFrame, ordinal: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import linkage, matching, text
+from citeloom.operators import citances, graph, linkage, matching, text
+from citeloom.plans import checkpoint
 
 
 def moved(spark, make):
@@ -112,3 +113,41 @@ def test_many_short_texts_are_hashed_together(monkeypatch):
     for _ in matching._candidates({10: np.zeros(32, np.uint32)}, 1024, ["id", "_class", "_gram", "_at", "_lead", "_around"])(iter([batch])):
         pass
     assert len(calls) < 10
+
+
+def test_tasks_follow_rows(spark, monkeypatch):
+    """Eight times the rows are no more rows for a task."""
+    monkeypatch.setattr(checkpoint, "TASK_ROWS", 500)
+    monkeypatch.setattr(citances, "TASK_ROWS", 500)
+    for n in (1000, 8000):
+        edges = spark.range(n).select(F.concat(F.lit("o"), F.col("id") % (n // 2)).alias("src"), F.concat(F.lit("p"), F.col("id")).alias("dst"), F.col("id").alias("ord"))
+        both = graph.undirected(edges)
+        assert both.count() == 2 * n and max(r["count"] for r in both.groupBy(F.spark_partition_id()).count().collect()) < 1000
+        mark = checkpoint.made()
+        got = [tuple(r) for r in linkage.dense_rank_from_zero(edges.select("ord"), "ord", "n").collect()]
+        assert sorted(got) == [(i, i) for i in range(n)]
+        ranges = next(p for p in checkpoint._made[mark:] if "citeloom-ranges-" in p)
+        sizes = [r["count"] for r in spark.read.parquet(ranges).groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) >= n // 500 and max(sizes) < 1000
+        numbers = {r["node"]: r["node_id"] for r in graph.number_nodes(edges, "ord").collect()}
+        assert numbers["o0"] == 1 and numbers["p0"] == 2 and sorted(numbers.values()) == list(range(1, len(numbers) + 1))
+    rows = spark.range(8000).select(F.when(F.col("id") < 6000, 0).otherwise(F.col("id")).alias("cited"), F.col("id").alias("citing"))  # one large group
+    key = graph.by_hash("contexts", "cited", "citing")
+    want = sorted(r["citing"] for r in rows.where("cited = 0").orderBy(key, "citing").limit(20).collect()) + list(range(6000, 8000))
+    got = citances.select_contexts(rows, 20)
+    assert sorted(r["citing"] for r in got.collect()) == want
+    assert got.rdd.getNumPartitions() >= 16
+
+
+def test_rules_that_are_skipped_change_nothing(spark):
+    """The rules' expressions in their plain form, on all texts, hold the same blanks."""
+    texts = ["", None, "a\n\nb\nc", "Mr. Dr.  X. said -- no --  yes", "x--y z... A", "u.s. \n u.k.  U.N. v", "p.mr. b xmr. c éMR. d", "... \n--\n ...", "-\n- a", "\tst.  b", "mr.dr. c", "a.  --b", "\n\n\n", "mr.\n\ndr. x"]
+    held = F.regexp_replace(F.col("t"), r"(?<!\n)\n(?!\n)", " ")
+    held = F.regexp_replace(held, r"(?<![^\S\n])[^\S\n]++(?=\S*--)", "\u0001")
+    held = F.regexp_replace(held, F.lit(r"((?<!\S)(?>\S*--\S*+)|\.\.\.)[^\S\n]+"), F.lit("$1\u0001"))
+    words = "|".join(a.replace(".", r"\.") for a in X.ABBREVIATIONS)
+    held = F.regexp_replace(held, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}.])({words})[^\S\n]+"), F.lit("$1\u0001"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("text").alias("t")))
+    plain = F.translate("t", "\t\n\x0b\f\r\u0001", " " * 6)
+    same = X._held(F.col("t")).eqNullSafe(held) & X.last_word(F.col("t")).eqNullSafe(F.substring_index(plain, " ", -1)) & X.first_word(F.col("t")).eqNullSafe(F.substring_index(F.ltrim(plain), " ", 1))
+    assert rows.where(~same).count() == 0
