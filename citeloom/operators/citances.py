@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import MARKER, learned_sentences, sentences, splice, split_words, window
 from citeloom.operators.graph import by_hash
 from citeloom.operators.segmenter import told
-from citeloom.plans.checkpoint import sized_broadcast, written
+from citeloom.plans.checkpoint import TASK_ROWS, dealt, sized_broadcast, written
 
 
 def contexts(papers: DataFrame, targets: DataFrame, citing: DataFrame | None = None, k: int = 1, learned: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -58,11 +58,15 @@ def select_contexts(rows: DataFrame, n: int = 20, method: str = "random", group:
     else:
         by = [F.col(distance).asc() if order == "nearest" else F.col(distance).desc(), F.col(item)]
         good = F.lit(True)
-    # Only a group's size decides how it is cut: counted map-side, joined back, and ranks beyond n go before the shuffle.
-    sizes = sized_broadcast(written(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), "sizes"))
-    sized = rows.join(sizes, group).withColumn("_large", F.col("_size") > n)
+    # Only a group's size decides how it is cut: counted map-side and joined back. The sizes also tell how many tasks rank.
+    sizes = written(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    total, most = (x or 0 for x in sizes.agg(F.sum("_size"), F.max("_size")).first())
+    sized = rows.join(sized_broadcast(sizes), group).withColumn("_large", F.col("_size") > n)
     sized = sized.where(F.col("_large") & good) if strict else sized.where(~F.col("_large") | good)
-    return sized.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("_n") <= n).select(*rows.columns)
+    top = lambda of, keys: dealt(of, total, *keys).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("_n") <= n).drop("_n")
+    if most > TASK_ROWS:  # first the best of each part of a large group
+        sized = top(sized.withColumn("_part", F.pmod(F.xxhash64(item), F.ceil(F.col("_size") / TASK_ROWS))), [group, "_part"])
+    return top(sized, [group]).select(*rows.columns)
 
 
 def augment(documents: DataFrame, added: DataFrame) -> DataFrame:
