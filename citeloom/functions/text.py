@@ -98,14 +98,18 @@ def sentences(text: Column) -> Column:
 
 
 def _held(text: Column) -> Column:
-    """text with single newlines as blanks, and U+0001 for each blank at which the rules of sentences() allow no end."""
-    joined = F.lit("$1\u0001")
-    held = F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
+    """text with single newlines as blanks, and U+0001 for each blank at which the rules of sentences() allow no end.
+
+    Most texts lack what a rule is about, so they are searched for it before the rule's expression runs over them. Expressions
+    that look at blanks ask first whether there is one, and only then what stands before it.
+    """
+    held = F.when(text.contains("\n"), F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")).otherwise(text)
     # Matches start at the start of a run and don't go back inside it, so that a long run costs no more than its length.
-    held = F.regexp_replace(held, r"(?<![^\S\n])[^\S\n]++(?=\S*--)", "\u0001")
-    held = F.regexp_replace(held, F.lit(r"((?<!\S)(?>\S*--\S*+)|\.\.\.)[^\S\n]+"), joined)
+    held = F.when(text.contains("--"), F.regexp_replace(held, r"(?=[^\S\n])(?<![^\S\n])[^\S\n]++(?=\S*--)", "\u0001")).otherwise(held)
+    dashes = F.regexp_replace(held, F.lit(r"((?<!\S)(?>\S*--\S*+)|\.\.\.)[^\S\n]+"), F.lit("$1\u0001"))
+    held = F.when(text.contains("--") | text.contains("..."), dashes).otherwise(held)
     words = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    return F.regexp_replace(held, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}.])({words})[^\S\n]+"), joined)
+    return F.regexp_replace(held, rf"(?i)(?=[^\S\n])(?<=\.)(?<=(?<![\p{{L}}\p{{N}}.])(?:{words}))[^\S\n]++", "\u0001")
 
 
 def _sentences(parts: Column) -> Column:
@@ -136,19 +140,20 @@ def stops(word: Column) -> Column:
 
 def pieces(text: Column) -> Column:
     """The text parted before every white space behind . ? or ! at which the rules of sentences() allow an end."""
-    return F.split(_held(text), r"(?<=[.!?])(?=\s)")
+    return F.split(_held(text), r"(?=\s)(?<=[.!?])")
 
 
-def _plain(piece: Column) -> Column:
-    return F.translate(piece, "\t\n\x0b\f\r\u0001", " " * 6)
+# ASCII white space and the mark of _held(), as a class of regular expressions.
+_BLANKS = r"\t\n\x0B\f\r\x01 "
 
 
 def last_word(piece: Column) -> Column:
-    return F.substring_index(_plain(piece), " ", -1)
+    """What stands behind the last blank: the greedy run goes to the end and back to that blank, no further."""
+    return F.regexp_replace(piece, rf"(?s)\A.*[{_BLANKS}]", "")
 
 
 def first_word(piece: Column) -> Column:
-    return F.substring_index(F.ltrim(_plain(piece)), " ", 1)
+    return F.regexp_extract(piece, rf"\A[{_BLANKS}]*+([^{_BLANKS}]*+)", 1)
 
 
 def learned_sentences(text: Column, abbreviations: Column, starters: Column) -> Column:
@@ -163,7 +168,7 @@ def learned_sentences(text: Column, abbreviations: Column, starters: Column) ->
         last, first = last_word(F.get(parts, i - 1)), first_word(piece)
         starts = F.array_contains(begins, base(first)) & F.ltrim(first, F.lit(PUNCTUATION)).rlike(r"^\p{Lu}")
         glued = dotted(last) & F.array_contains(known, base(last)) & ~piece.rlike(r"^\s*\n") & ~starts
-        return F.when((i == 0) | glued, piece).otherwise(F.concat(F.lit("\u0003"), F.regexp_replace(piece, r"^\s+", "")))
+        return F.when((i == 0) | glued, piece).otherwise(F.concat(F.lit("\u0003"), F.ltrim(piece, F.lit(" \t\n\x0b\f\r"))))
 
     joined = once(pieces(text), lambda parts: F.array_join(F.transform(parts, lambda piece, i: marked(parts, piece, i)), ""))
     return _sentences(F.split(joined, "\n{2,}|\u0003"))
