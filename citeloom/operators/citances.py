@@ -5,6 +5,8 @@ Columns of inputs must not begin with an underscore: such names are used inside.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +71,32 @@ def select_contexts(rows: DataFrame, n: int = 20, method: str = "random", group:
     return top(sized, [group]).select(*rows.columns)
 
 
-def augment(documents: DataFrame, added: DataFrame) -> DataFrame:
+def _met(documents: DataFrame, added: DataFrame) -> DataFrame:
+    """documents joined with added by doc_id, null where a document has none.
+
+    Where the ids of added can be broadcast, only documents with contexts go through the join's shuffle; the others stay where
+    they are read. documents is then read twice. Contexts are texts, so they never go whole through the driver.
+    """
+    added = added.hint("merge")
+    ids = written(added.select("doc_id").distinct(), "docs-with-contexts")
+    known = sized_broadcast(ids)
+    if known is ids:
+        return documents.join(added, "doc_id", "left")
+    both = documents.join(known, "doc_id", "left_semi").join(added, "doc_id")
+    return both.unionByName(documents.join(known, "doc_id", "left_anti"), allowMissingColumns=True)
+
+
+def augment(documents: DataFrame, added: DataFrame, shaped: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """documents (doc_id, words, sentences, sections) with contexts appended; citances = [start, end) over words.
 
     added: doc_id, contexts as array<array<array<string>>> (contexts of sentences of words). Each context is a section.
     Documents without contexts are unchanged, with citances [n, n].
+
+    Both may have other columns in place of these, from which shaped makes them once the rows have met (those of added are null
+    for documents without contexts): a text is a fraction of its words, so texts travel and words are cut behind the join.
     """
     none = F.array().cast("array<array<array<string>>>")
-    rows = documents.drop("citances").join(added, "doc_id", "left").withColumn("_c", F.coalesce("contexts", none)).withColumn("_n", F.size("words"))
+    rows = shaped(_met(documents.drop("citances"), added)).withColumn("_c", F.coalesce("contexts", none)).withColumn("_n", F.size("words"))
     flat = F.flatten("_c")
 
     def bounds(lengths: Column) -> Column:
@@ -90,11 +110,12 @@ def augment(documents: DataFrame, added: DataFrame) -> DataFrame:
     return rows.withColumn("sentences", F.concat("sentences", by_sentence)).withColumn("sections", F.concat("sections", by_context)).withColumn("words", words).withColumn("citances", F.array("_n", F.size("words"))).drop("_c", "_n", "contexts")
 
 
-def augmented_corpus(splits: DataFrame, added: DataFrame, untouched: tuple[str, ...] = ("dev",)) -> DataFrame:
+def augmented_corpus(splits: DataFrame, added: DataFrame, untouched: tuple[str, ...] = ("dev",), shaped: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """augment() of all splits but the untouched, which pass as they are and have null citances.
 
-    splits: the columns of augment() and split. added: doc_id, contexts.
+    splits: the columns of augment() and split. added: doc_id, contexts. shaped: see augment().
     """
-    changed = augment(splits.where(~F.col("split").isin(*untouched)), added)
-    same = splits.where(F.col("split").isin(*untouched)).withColumn("citances", F.lit(None).cast("array<int>"))
+    changed = augment(splits.where(~F.col("split").isin(*untouched)), added, shaped)
+    same = splits.where(F.col("split").isin(*untouched)).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added.schema if f.name != "doc_id"])
+    same = shaped(same).withColumn("citances", F.lit(None).cast("array<int>"))
     return changed.unionByName(same.select(*changed.columns))

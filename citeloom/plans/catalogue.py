@@ -628,15 +628,23 @@ def augment_offsets(s, d):
     return rows.select("conv_id", "turn", before.cast("long").alias("start"), (before + F.col("n")).cast("long").alias("stop"))
 
 
+def _turns(s, d):
+    """Each conversation's turns in order, as texts: contexts of the document of that id."""
+    turns = table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.struct("turn", "text").alias("t"))
+    return turns.groupBy("doc_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+
+
+def _in_words(rows):
+    """Texts and their turns as words: a document is one section of one sentence, and so is each turn. A null turn has no words."""
+    contexts = F.transform("turns", lambda t: F.array(X.split_words(F.coalesce(t["text"], F.lit("")))))
+    rows = rows.select("*", X.split_words(F.col("text")).alias("words"), contexts.alias("contexts")).drop("text", "turns")
+    whole = F.array(F.array(F.lit(0), F.size("words")))
+    return rows.select("*", whole.alias("sentences"), whole.alias("sections"))
+
+
 @query("WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS n FROM documents), c AS (SELECT conv_id AS doc_id, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::INT AS m, count(*)::INT AS k FROM conversations GROUP BY conv_id) SELECT doc_id, n + coalesce(m, 0) AS n_words, n AS start, n + coalesce(m, 0) AS stop, 1 + coalesce(k, 0) AS n_sections FROM w LEFT JOIN c USING (doc_id)")
 def augmented_documents(s, d):
-    turns = table(s, d, "conversations").select("conv_id", "turn", X.split_words(F.col("text")).alias("w"))
-    by = F.transform(F.array_sort(F.collect_list(F.struct("turn", "w"))), lambda x: F.array(x["w"]))
-    added = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(by.alias("contexts"))
-    docs = table(s, d, "documents").select("doc_id", X.split_words(F.col("text")).alias("words"))
-    n = F.size("words")
-    docs = docs.select("doc_id", "words", F.array(F.array(F.lit(0), n)).alias("sentences"), F.array(F.array(F.lit(0), n)).alias("sections"), F.lit(None).cast("array<int>").alias("citances"))
-    out = citances.augment(docs, added)
+    out = citances.augment(table(s, d, "documents").select("doc_id", "text"), _turns(s, d), _in_words)
     return out.select("doc_id", F.size("words").alias("n_words"), F.get("citances", F.lit(0)).alias("start"), F.get("citances", F.lit(1)).alias("stop"), F.size("sections").alias("n_sections"))
 
 
@@ -644,13 +652,8 @@ def augmented_documents(s, d):
 SELECT doc_id, CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'dev' ELSE 'test' END AS split, CASE lang WHEN 'fr' THEN n ELSE n + coalesce(m, 0) END AS n_words, CASE WHEN lang <> 'fr' THEN n END AS start, CASE WHEN lang <> 'fr' THEN n + coalesce(m, 0) END AS stop FROM w LEFT JOIN c USING (doc_id)""")
 def augmented_splits(s, d):
     """Languages stand for splits; French is the dev split, which passes untouched."""
-    turns = table(s, d, "conversations").select("conv_id", "turn", X.split_words(F.col("text")).alias("w"))
-    by = F.transform(F.array_sort(F.collect_list(F.struct("turn", "w"))), lambda x: F.array(x["w"]))
-    added = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(by.alias("contexts"))
     split = F.when(F.col("lang") == "en", "train").when(F.col("lang") == "fr", "dev").otherwise("test")
-    whole = F.array(F.array(F.lit(0), F.size("words")))
-    docs = table(s, d, "documents").select("doc_id", split.alias("split"), X.split_words(F.col("text")).alias("words"))
-    out = citances.augmented_corpus(docs.select("*", whole.alias("sentences"), whole.alias("sections")), added)
+    out = citances.augmented_corpus(table(s, d, "documents").select("doc_id", split.alias("split"), "text"), _turns(s, d), shaped=_in_words)
     return out.select("doc_id", "split", F.size("words").alias("n_words"), F.get("citances", F.lit(0)).alias("start"), F.get("citances", F.lit(1)).alias("stop"))
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
 from citeloom.operators import citances, graph, linkage, matching, text
-from citeloom.plans import checkpoint
+from citeloom.plans import catalogue, checkpoint
 
 
-def moved(spark, make):
-    """Rows of all shuffles while make() gives a DataFrame and that is read to its end."""
+def moved(spark, make, of=lambda stage: stage.shuffleWriteRecords()):
+    """Rows, or what of tells, of all shuffles while make() gives a DataFrame and that is read to its end."""
     store = spark.sparkContext._jsc.sc().statusStore()
     nothing, halves = spark.sparkContext._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
 
@@ -23,7 +23,7 @@ def moved(spark, make):
 
     before = stages()
     make().write.format("noop").mode("overwrite").save()
-    return sum(x.shuffleWriteRecords() for k, x in stages().items() if k not in before)
+    return sum(of(x) for k, x in stages().items() if k not in before)
 
 
 def test_terms_are_counted_where_texts_are_read(spark):
@@ -139,6 +139,44 @@ def test_tasks_follow_rows(spark, monkeypatch):
     assert got.rdd.getNumPartitions() >= 16
 
 
+def test_documents_without_contexts_stay_where_they_are_read(spark, tmp_path, monkeypatch):
+    """And those that have some travel as texts, a fraction of their words' arrays."""
+    n, text_ = 2000, lambda i, k: " ".join(format((i * 1000 + j) * 2654435761 % 2**32, "x") for j in range(k))
+    docs = [(i, text_(i, 200), "en fr de".split()[i % 3]) for i in range(n)] + [(None, "no id", "en"), (None, "none", "fr"), (n, "", "en"), (n + 1, None, "de"), (n + 2, "twice a", "en"), (n + 2, "twice", "de")]
+    turns = [(i, j, text_((i or 7) + j, 3)) for i in [*range(0, n, 10), n, n + 2, n + 9, None] for j in (1, 0)] + [(n + 1, 0, "x y"), (0, 2, ""), (10, 2, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, j, t) for i in range(n) for j, t in enumerate(["p q", "r"])], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/all/conversations.parquet")
+    (tmp_path / "all" / "documents.parquet").symlink_to(tmp_path / "documents.parquet")
+    size = sum(len(t or "") for _, t, _ in docs)
+    added = defaultdict(list)
+    for i, _, t in turns:
+        added[i].append(len((t or "").split()))
+    for query, untouched in ((catalogue.augmented_documents, ()), (catalogue.augmented_splits, ("fr",))):
+        want = []
+        for i, t, lang in docs:
+            more, own = [] if i is None or lang in untouched else added[i], None if t is None else len(t.split())
+            total = None if own is None else own + sum(more)
+            if query is catalogue.augmented_documents:
+                want.append((i, total, own, total, 1 + len(more)))
+            else:
+                want.append((i, {"en": "train", "fr": "dev"}.get(lang, "test"), total, None if lang in untouched else own, None if lang in untouched else total))
+        written_bytes = lambda x: x.shuffleWriteBytes()
+        got = lambda: sorted(map(repr, map(tuple, query(spark, str(tmp_path)).collect())))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with contexts beyond it
+        try:
+            assert moved(spark, lambda: query(spark, str(tmp_path))) < n
+            assert moved(spark, lambda: query(spark, str(tmp_path)), written_bytes) < size / 4
+            assert moved(spark, lambda: query(spark, f"{tmp_path}/all"), written_bytes) < 1.1 * size
+            assert got() == sorted(map(repr, want))
+            with monkeypatch.context() as m:  # ids beyond a broadcast: all documents meet by shuffle
+                m.setattr(citances, "sized_broadcast", lambda df: df)
+                assert got() == sorted(map(repr, want))
+                assert moved(spark, lambda: query(spark, f"{tmp_path}/all"), written_bytes) < 1.1 * size
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rules_that_are_skipped_change_nothing(spark):
     """The rules' expressions in their plain form, on all texts, hold the same blanks."""
     texts = ["", None, "a\n\nb\nc", "Mr. Dr.  X. said -- no --  yes", "x--y z... A", "u.s. \n u.k.  U.N. v", "p.mr. b xmr. c éMR. d", "... \n--\n ...", "-\n- a", "\tst.  b", "mr.dr. c", "a.  --b", "\n\n\n", "mr.\n\ndr. x"]
