@@ -65,6 +65,43 @@ def test_weights_are_sent_once_to_a_block(spark):
         assert {tuple(r) for r in got.collect()} == want
 
 
+def test_weights_travel_packed(spark, monkeypatch):
+    """A document's weights are one row in every shuffle, also where blocks and documents meet by one; lengths come without any."""
+    n, terms = 200, 400
+    weights = [(str(i), f"é{(i * 7 + j * j) % 9973}-{j}" if j else "", float((i * j) % 13 + 1)) for i in range(n) for j in range(terms)]
+    pairs = [(str(i), "both", str(i + k)) for i in range(n) for k in range(-5, 6) if k and i + k >= 0]
+    rows, given = spark.createDataFrame(pairs, "key string, direction string, doc string"), spark.createDataFrame(weights, "doc string, term string, weight double").localCheckpoint()
+    of, length = defaultdict(list), Counter()
+    for d, t, w in weights:
+        of[d].append((t, w))
+        length[d] += w * w
+    sums, times = defaultdict(float), Counter(key for key, _, d in pairs if d in of)
+    for key, way, d in pairs:
+        for t, w in of[d]:
+            sums[key, way, t] += w / length[d] ** 0.5
+    want = {(*k, round(v / times[k[0]], 9)) for k, v in sums.items()}
+    got = lambda **o: {tuple(r) for r in text.neighbour_average(rows, given, unit=True, **o).withColumn("weight", F.round("weight", 9)).collect()}
+    assert moved(spark, lambda: text.neighbour_average(rows, given, unit=True)) < len(weights) / 2
+    assert got() == got(many=5) == want
+    monkeypatch.setattr(text, "sized_broadcast", lambda df: df)  # as with tables beyond it
+    assert moved(spark, lambda: text.neighbour_average(rows, given, unit=True)) < len(weights) / 2
+    assert got() == want
+    given = given.orderBy(F.xxhash64("term", "doc"))  # no document's rows stand together
+    assert got() == want
+
+
+def test_unscaled_weights_stay_where_counts_are(spark):
+    docs = spark.createDataFrame([(str(i), " ".join(f"w{(i * j) % 97} r{(i + j) // 2}" for j in range(100))) for i in range(100)], "id string, t string").repartition(3)
+    counts = text.term_counts(docs, "id", "t").localCheckpoint()
+    vocab = text.vocabulary(counts).localCheckpoint()
+    rows = lambda **o: {(r["doc"], r["term"]): r["weight"] for r in text.tf_idf(counts, vocab, docs, **o).collect()}
+    assert moved(spark, lambda: text.tf_idf(counts, vocab, docs, scaled=False)) < counts.count() / 4
+    raw, scaled, length = rows(scaled=False), rows(), Counter()
+    for (d, _), w in raw.items():
+        length[d] += w * w
+    assert {k: round(w / length[k[0]] ** 0.5, 9) for k, w in raw.items()} == {k: round(w, 9) for k, w in scaled.items()}
+
+
 def test_pairs_of_a_frequent_key(spark):
     """Pairs are made once, by the first key they agree on, in tiles: no shuffle of pairs, and no task with all of a key's."""
     n = 400
